@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.missing import is_missing, value_or_null
 from ..functions.text import title_case
 from .quantiles import approximate_quantiles, exact_quantiles
-from .schema import DATE, NUMERIC, OTHER, TEXT, comparable, fields_of_kind, kind_of, per_column, schema_rows
+from .schema import NUMERIC, TEXT, comparable, fields_of_kind, kind_of, per_column, schema_rows
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -287,7 +287,7 @@ FIXED_WIDTH = {
 }
 
 
-def _data_bytes(f: T.StructField) -> Column:
+def data_bytes(f: T.StructField) -> Column:
     c, data_type = F.col("`" + f.name.replace("`", "``") + "`"), f.dataType
     width = FIXED_WIDTH.get(type(data_type))
     if width is not None:
@@ -303,7 +303,7 @@ def _data_bytes(f: T.StructField) -> Column:
 
 def column_bytes(df: DataFrame) -> DataFrame:
     """Bytes of data per column: width times rows, or the length of text."""
-    sized = per_column(df, df.schema.fields, {"bytes": lambda f: _data_bytes(f).cast("long")})
+    sized = per_column(df, df.schema.fields, {"bytes": lambda f: data_bytes(f).cast("long")})
     return sized.withColumn("megabytes", F.col("bytes") / F.lit(float(1024**2)))
 
 
@@ -334,48 +334,3 @@ def column_panel(df: DataFrame, column: str, k: int = 10) -> DataFrame:
             F.lit("top"), F.col("value").cast("string"), F.col("count").cast("double"), dtype
         )
     return summary.union(body)
-
-
-def dataset_metadata(df: DataFrame, quantiles: Quantiles | None = None, exact: bool = True) -> DataFrame:
-    """The whole profile in long form: (column, metric, item, value)."""
-    nothing = F.lit(None).cast("string")
-    shape = _items(table_shape(df), [], ["rows", "columns"]).select(
-        F.lit("*").alias("column"), "metric", nothing.alias("item"), "value"
-    )
-    detail = column_detail(df, exact)
-    types = detail.select("column", F.lit("dtype"), "dtype", F.lit(None).cast("double"))
-    counts = _items(detail, ["column"], ["null_percent", "distinct"]).select("column", "metric", nothing, "value")
-    numbers = _items(numeric_stats(df, quantiles), ["column"], ["min", "max", "mean", "median"]).select(
-        "column", "metric", nothing, "value"
-    )
-    samples = categorical_top_k(df).select(
-        "column", F.concat(F.lit("top_"), F.col("rank")), "value", F.col("count").cast("double")
-    )
-    return shape.union(types).union(counts).union(numbers).union(samples)
-
-
-__all__ = [
-    "DATE",
-    "NUMERIC",
-    "OTHER",
-    "TEXT",
-    "categorical_share",
-    "categorical_top_k",
-    "column_bytes",
-    "column_detail",
-    "column_panel",
-    "column_types",
-    "column_value_counts",
-    "completeness",
-    "dataset_metadata",
-    "describe_numeric",
-    "distinct_counts",
-    "head_rows",
-    "mode_with_count",
-    "null_percent",
-    "numeric_stats",
-    "quartiles",
-    "table_shape",
-    "top_k",
-    "value_counts",
-]

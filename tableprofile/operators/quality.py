@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, value_or_null
 from .profile import Quantiles, distinct_counts, null_percent, quartiles
-from .schema import NUMERIC, TEXT, comparable, fields_of_kind, kind_of, per_column
+from .schema import NUMERIC, TEXT, column_array, comparable, fields_of_kind, kind_of, per_column
 
 # Fixed values of the quality rules.
 IQR_FACTOR = 1.5
@@ -75,28 +75,23 @@ def high_null_columns(df: DataFrame, limit: float = HIGH_NULL_PERCENT) -> DataFr
     )
 
 
-def quality_record(df: DataFrame, quantiles: Quantiles | None = None) -> DataFrame:
-    """The quality result as one row, with maps for the per-column findings.
+def outlier_count(field, quantiles: Quantiles) -> Column:
+    """How many values lie outside the fences; zero for columns that are not numeric."""
+    return _outside(quantiles, field) if kind_of(field.dataType) == NUMERIC else F.lit(0).cast("long")
 
-    One scan counts nulls and outliers of all columns; the duplicate count is a scalar
-    subquery. Everything else is arithmetic on that row.
-    """
-    known = quartiles(df) if quantiles is None else quantiles
-    columns = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.count_if(is_missing(f)).alias("nulls"),
-            (_outside(known, f) if kind_of(f.dataType) == NUMERIC else F.lit(0).cast("long")).alias("outliers"),
-        )
-        for f in df.schema.fields
-    ]
-    width = len(columns)
-    numeric = max(len(fields_of_kind(df, NUMERIC)), 1)
 
-    facts = df.agg(F.count("*").alias("total_rows"), F.array(*columns).alias("columns")).select(
-        "*", duplicate_rows(df).select("duplicates").scalar().alias("duplicates")
-    )
-    rows = F.col("total_rows")
+def duplicate_count(df: DataFrame) -> Column:
+    """The number of duplicate rows as a scalar subquery."""
+    return duplicate_rows(df).select("duplicates").scalar()
+
+
+def quality_of(facts: DataFrame, width: int, numeric: int, *carry: str) -> DataFrame:
+    """Add the quality result to a row of facts.
+
+    ``facts`` has ``rows``, ``duplicates`` and ``columns``, an array of structs with
+    ``column``, ``nulls`` and ``outliers``. Arithmetic on one row, no further scan.
+    """
+    rows = F.col("rows")
     nulls = F.aggregate("columns", F.lit(0).cast("long"), lambda total, c: total + c["nulls"])
     with_outliers = F.filter("columns", lambda c: c["outliers"] > 0)
     with_nulls = F.filter(
@@ -107,39 +102,43 @@ def quality_record(df: DataFrame, quantiles: Quantiles | None = None) -> DataFra
         lambda c: c["percent"] > HIGH_NULL_PERCENT,
     )
     measured = facts.select(
-        "total_rows",
+        *carry,
+        rows.alias("total_rows"),
         F.lit(width).cast("long").alias("total_columns"),
         "duplicates",
-        F.coalesce(F.try_divide(rows * width - nulls, rows * width) * 100, F.lit(0.0)).alias("completeness"),
+        F.coalesce(F.try_divide(rows * width - nulls, rows * width) * 100, F.lit(0.0)).alias("_completeness"),
         F.map_from_entries(F.transform(with_outliers, lambda c: F.struct(c["column"], c["outliers"]))).alias("outliers"),
         F.map_from_entries(
             F.transform(with_nulls, lambda c: F.struct(c["column"], F.round(c["percent"], 1)))
         ).alias("high_null_columns"),
     )
+    completeness = F.col("_completeness")
     n_outlier_columns, n_null_columns = F.size("outliers"), F.size("high_null_columns")
-    penalty = F.least(n_outlier_columns / F.lit(numeric) * 100, F.lit(100.0))
+    penalty = F.least(n_outlier_columns / F.lit(max(numeric, 1)) * 100, F.lit(100.0))
     score = F.round(
-        F.col("completeness") * SCORE_WEIGHTS["completeness"]
+        completeness * SCORE_WEIGHTS["completeness"]
         + (100 - F.try_divide("duplicates", "total_rows") * 100) * SCORE_WEIGHTS["duplicates"]
         + (100 - penalty) * SCORE_WEIGHTS["outliers"],
         1,
     )
+    band = F.when(score >= GOOD_SCORE, "green").when(score >= FAIR_SCORE, "yellow").when(score.isNotNull(), "red")
 
     def issue(when: Column, name: str, value: Column) -> Column:
         return F.when(when, F.struct(F.lit(name).alias("issue"), value.cast("double").alias("value")))
 
     issues = F.array_compact(
         F.array(
-            issue(F.col("completeness") < LOW_COMPLETENESS, "low_completeness", F.round("completeness", 1)),
+            issue(completeness < LOW_COMPLETENESS, "low_completeness", F.round(completeness, 1)),
             issue(F.col("duplicates") > 0, "duplicate_rows", F.col("duplicates")),
             issue(n_outlier_columns > 0, "outlier_columns", n_outlier_columns),
             issue(n_null_columns > 0, "high_null_columns", n_null_columns),
         )
     )
     return measured.select(
+        *carry,
         score.alias("score"),
-        F.when(score >= GOOD_SCORE, "green").when(score >= FAIR_SCORE, "yellow").when(score.isNotNull(), "red").alias("band"),
-        F.round("completeness", 1).alias("completeness"),
+        band.alias("band"),
+        F.round(completeness, 1).alias("completeness"),
         "duplicates",
         "outliers",
         "high_null_columns",
@@ -149,6 +148,23 @@ def quality_record(df: DataFrame, quantiles: Quantiles | None = None) -> DataFra
     )
 
 
+def quality_record(df: DataFrame, quantiles: Quantiles | None = None) -> DataFrame:
+    """The quality result as one row, with maps for the per-column findings.
+
+    One scan counts nulls and outliers of all columns; the duplicate count is a scalar
+    subquery. Everything else is arithmetic on that row.
+    """
+    known = quartiles(df) if quantiles is None else quantiles
+    columns = column_array(
+        df.schema.fields,
+        {"nulls": lambda f: F.count_if(is_missing(f)), "outliers": lambda f: outlier_count(f, known)},
+    )
+    facts = df.agg(F.count("*").alias("rows"), columns.alias("columns"))
+    return quality_of(
+        facts.withColumn("duplicates", duplicate_count(df)), len(df.columns), len(fields_of_kind(df, NUMERIC))
+    )
+
+
 def quality_score(df: DataFrame, quantiles: Quantiles | None = None) -> DataFrame:
     """Score and band with the figures they come from; an empty table has no score."""
     return quality_record(df, quantiles).select(
@@ -205,28 +221,32 @@ def high_cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def recommendations(df: DataFrame, quantiles: Quantiles | None = None, exact: bool = True) -> DataFrame:
-    """(ord, recommendation, value): what to do about the table, or ``excellent``."""
-    cardinality = _text_cardinality(df, exact).agg(
-        F.struct(
-            F.count_if(F.col("distinct") < FEW_VALUES).alias("low"),
-            F.count_if(F.col("distinct") > F.col("rows") * ID_LIKE_SHARE).alias("high"),
-        )
-    )
-    facts = quality_record(df, quantiles).select("*", cardinality.scalar().alias("text"))
+def advice_on(low_cardinality: Column, high_cardinality: Column) -> Column:
+    """An array of what to do about a table, from the columns of ``quality_of``."""
     rules = [
         ("drop_duplicates", F.col("duplicates") > 0, F.col("duplicates")),
         ("review_high_null_columns", F.size("high_null_columns") > 0, F.size("high_null_columns")),
         ("review_outliers", F.size("outliers") > 0, F.size("outliers")),
         ("deep_clean", F.col("score") < GOOD_SCORE, F.col("score")),
-        ("encode_low_cardinality", F.col("text.low") > 0, F.col("text.low")),
-        ("review_high_cardinality", F.col("text.high") > 0, F.col("text.high")),
+        ("encode_low_cardinality", low_cardinality > 0, low_cardinality),
+        ("review_high_cardinality", high_cardinality > 0, high_cardinality),
     ]
     advice = F.array_compact(
         F.array(*(F.when(rule, _advice(i, name, value)) for i, (name, rule, value) in enumerate(rules, 1)))
     )
-    fine = F.array(_advice(0, "excellent", F.col("score")))
-    return facts.select(F.inline(F.when(F.size(advice) > 0, advice).otherwise(fine)))
+    return F.when(F.size(advice) > 0, advice).otherwise(F.array(_advice(0, "excellent", F.col("score"))))
+
+
+def recommendations(df: DataFrame, quantiles: Quantiles | None = None, exact: bool = True) -> DataFrame:
+    """(ord, recommendation, value): what to do about the table, or ``excellent``."""
+    cardinality = _text_cardinality(df, exact).agg(
+        F.struct(
+            F.count_if(F.col("distinct") < FEW_VALUES).alias("low"),
+            F.count_if(F.col("distinct") > F.col("rows") * ID_LIKE_SHARE).alias("high"),
+        )
+    )
+    facts = quality_record(df, quantiles).select("*", cardinality.scalar().alias("text"))
+    return facts.select(F.inline(advice_on(F.col("text.low"), F.col("text.high"))))
 
 
 def _advice(order: int, name: str, value: Column) -> Column:

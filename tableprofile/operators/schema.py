@@ -53,6 +53,16 @@ def comparable(field: T.StructField) -> Column:
     return c
 
 
+def column_array(fields: Sequence[T.StructField], metrics: Mapping[str, Callable[[T.StructField], Column]]) -> Column:
+    """An array with one struct per field: its name and the given aggregates."""
+    return F.array(
+        *(
+            F.struct(F.lit(f.name).alias("column"), *(make(f).alias(name) for name, make in metrics.items()))
+            for f in fields
+        )
+    )
+
+
 def per_column(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -66,11 +76,7 @@ def per_column(
         # No column of the wanted kind: the same columns, and no rows.
         probe = T.StructField(df.columns[0], df.schema.fields[0].dataType)
         return per_column(df.limit(0), [probe], metrics).where(F.lit(False))
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), *(make(f).alias(name) for name, make in metrics.items()))
-        for f in fields
-    ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return df.agg(column_array(fields, metrics).alias("rows")).select(F.inline("rows"))
 
 
 def schema_rows(df: DataFrame) -> DataFrame:

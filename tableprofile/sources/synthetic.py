@@ -1,0 +1,55 @@
+"""Made-up incident rows of any number, the same on every cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import uniform_from_key
+
+# Start of the hourly dates, and the categories with their weights.
+START = "2020-01-01 00:00:00"
+CATEGORIES = {
+    "TIPO_SINIESTRO": (("Choque", 0.25), ("Atropello", 0.25), ("Volcamiento", 0.25), ("Caída", 0.25)),
+    "JORNADA": (("Mañana", 0.25), ("Tarde", 0.25), ("Noche", 0.25), ("Madrugada", 0.25)),
+    "GENERO": (("Masculino", 0.6), ("Femenino", 0.35), ("No reporta", 0.05)),
+    "ZONA": (("Urbana", 0.75), ("Rural", 0.25)),
+    "HIPOTESIS": (
+        ("Imprudencia conductor", 0.25),
+        ("Estado embriaguez", 0.25),
+        ("Exceso velocidad", 0.25),
+        ("Desacato señales", 0.25),
+    ),
+    "GRAVEDAD": (("Leve", 0.6), ("Grave", 0.3), ("Mortal", 0.1)),
+}
+NUMBERS = {"EDAD": (15, 75), "HORA": (0, 24)}
+
+
+def _choice(u: Column, weighted: tuple[tuple[str, float], ...]) -> Column:
+    """The value whose slice of [0, 1) holds ``u``; slices follow the weights."""
+    *head, (last, _) = weighted
+    below, picked = 0.0, None
+    for value, weight in head:
+        below += weight
+        condition = u < F.lit(round(below, 6))
+        picked = F.when(condition, value) if picked is None else picked.when(condition, value)
+    return picked.otherwise(last)
+
+
+def synthetic_incidents(ids: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """One incident row per row of ``ids``; ``key`` counts the hours from the start."""
+    moment = F.timestamp_add("HOUR", F.col(key), F.lit(START).cast("timestamp_ntz"))
+    return ids.select(
+        key,
+        moment.alias("FECHA"),
+        *(_choice(uniform_from_key(F.col(key), seed, name), values).alias(name) for name, values in CATEGORIES.items()),
+        *(
+            (F.floor(uniform_from_key(F.col(key), seed, name) * (high - low)) + low).cast("long").alias(name)
+            for name, (low, high) in NUMBERS.items()
+        ),
+    )
+
+
+def synthetic_rows(spark: SparkSession, n: int = 3500, seed: int = 42) -> DataFrame:
+    """``n`` made-up incident rows."""
+    return synthetic_incidents(spark.range(n), "id", seed).drop("id")
