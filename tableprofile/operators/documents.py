@@ -19,8 +19,10 @@ PAGES_PER_PART = 1000
 
 
 def _with_marker(page: Column, text: Column) -> Column:
+    """A page from its marker up to the line that separates it from the next marker."""
     before, after = PAGE_MARKER.split("{}")
-    return F.concat(F.lit("\n" + before), page.cast("string"), F.lit(after + "\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    opening = F.concat(F.lit(before), page.cast("string"), F.lit(after + "\n"))
+    return F.concat(opening, F.coalesce(text, F.lit("")), F.lit("\n\n"))
 
 
 def assemble_pages(
@@ -28,24 +30,33 @@ def assemble_pages(
 ) -> DataFrame:
     """(doc, part_no, n_pages, text): the pages of each document in order, with markers.
 
-    A document of up to ``pages_per_part`` page numbers is one row. The parts of a longer
-    one, one after the other, are the document. ``doc`` and ``page`` identify a row.
+    A document whose page numbers stay below ``pages_per_part`` is one row. The parts of
+    a longer one, one after the other, are the document; the whole of it never has to fit
+    into one task. ``doc`` and ``page`` (from 0 or 1) identify a row.
     """
-    numbered = pages.select(
-        F.col(doc),
-        F.floor(F.col(page) / pages_per_part).alias("part_no"),
-        F.struct(F.col(page).alias("page"), _with_marker(F.col(page), F.col(text)).alias("text")).alias("_page"),
+    parts = (
+        pages.select(
+            doc,
+            F.floor(F.col(page) / pages_per_part).alias("part_no"),
+            F.struct(F.col(page).alias("page"), _with_marker(F.col(page), F.col(text)).alias("text")).alias("_page"),
+        )
+        .groupBy(doc, "part_no")
+        .agg(F.array_sort(F.collect_list("_page")).alias("_pages"))
+    )
+    # Only the end of a document is stripped. Which part ends a document has to be looked
+    # up for long documents alone; a filter on the page number leaves few rows for it.
+    long_ends = (
+        pages.where(F.col(page) >= pages_per_part)
+        .groupBy(doc)
+        .agg(F.floor(F.max(page) / pages_per_part).alias("_last"))
     )
-    parts = numbered.groupBy(doc, "part_no").agg(F.array_sort(F.collect_list("_page")).alias("_pages"))
-    ends = numbered.groupBy(doc).agg(F.min("part_no").alias("_first"), F.max("part_no").alias("_last"))
     joined = F.array_join(F.transform("_pages", lambda p: p["text"]), "")
-    outer = F.lit(WHITESPACE)
-    opened = F.when(F.col("part_no") == F.col("_first"), F.ltrim(F.col("_text"), outer)).otherwise(F.col("_text"))
-    closed = F.when(F.col("part_no") == F.col("_last"), F.rtrim(opened, outer)).otherwise(opened)
-    return (
-        parts.select(doc, "part_no", F.size("_pages").cast("long").alias("n_pages"), joined.alias("_text"))
-        .join(ends, doc)
-        .select(doc, "part_no", "n_pages", closed.alias("text"))
+    is_end = F.col("part_no") == F.coalesce("_last", F.lit(0))
+    return parts.join(long_ends, doc, "left").select(
+        doc,
+        "part_no",
+        F.size("_pages").cast("long").alias("n_pages"),
+        F.when(is_end, F.rtrim(joined, F.lit(WHITESPACE))).otherwise(joined).alias("text"),
     )
 
 
@@ -81,7 +92,8 @@ def good_text(text: Column) -> Column:
 def text_quality_gate(extracted: DataFrame, fallback: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
     """Keep good text; run the costly ``fallback`` on the other rows only.
 
-    ``fallback`` takes the rejected rows and returns them with new text.
+    ``fallback`` takes the rejected rows and returns them with new text. ``extracted`` is
+    read twice, so it should be a written table, as ``incremental_extract`` gives.
     """
     accepted = good_text(F.col(text))
     if "part_no" in extracted.columns:

@@ -2,18 +2,18 @@
 
 Spark's ``percentile`` keeps every distinct value of a column in the memory of one
 task. That is right for small columns and fails for large ones. Here a column with
-many values is narrowed down first: approximate quantiles propose two values near
-the wanted rank, one scan counts the rows below and equal to each, and this repeats
-until few values are left between them. Every step is a global aggregate, so a task
-shuffles one small row however many rows it read. The counts decide, never the
-approximation, so the results are exact. A value that fills many rows needs no care:
+many values is searched: a small random draw proposes two values near the wanted
+rank, one scan counts all rows below and equal to each, and this repeats until few
+values are left between them. The draw only chooses where to look next; the counts
+over all rows decide, so the results are exact. A scan shuffles one row of counts per
+task, a draw a bounded number of values. A value that fills many rows needs no care:
 once proposed, its count shows that the rank falls on it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,49 +22,50 @@ from pyspark.sql import types as T
 
 from ..functions.missing import value_or_null
 
-# A column with at most this many values is handled by one aggregate buffer.
-IN_MEMORY_VALUES = 200_000
+# A column, or an interval of it, with at most this many values is handled as a whole.
+IN_MEMORY_VALUES = 50_000
+# Rows drawn per interval that is searched, for each value handled as a whole.
+DRAWN_PER_VALUE = 5
 ACCURACY = 10_000
-MARGIN = 2 / ACCURACY
+# Tasks that receive drawn values; keeps the number of partial summaries small.
+DRAW_PARTITIONS = 16
+
+Interval = tuple[str, float | None, float | None]
 
 
 @dataclass
 class _Rank:
     """One position in one sorted column, and the open interval its value lies in."""
 
-    values: Column
+    column: str
     index: int
-    low: float | None
-    high: float | None
-    up_to_low: int  # rows <= low
     below_high: int  # rows < high
+    up_to_low: int = 0  # rows <= low
+    low: float | None = None
+    high: float | None = None
     found: float | None = None
 
     @property
     def inside(self) -> int:
         return self.below_high - self.up_to_low
 
-    def between(self) -> Column:
-        rows = F.lit(True)
-        if self.low is not None:
-            rows = rows & (self.values > F.lit(self.low))
-        if self.high is not None:
-            rows = rows & (self.values < F.lit(self.high))
-        return F.when(rows, self.values)
+    @property
+    def interval(self) -> Interval:
+        return self.column, self.low, self.high
 
-    def near(self, margin: float, accuracy: int) -> Column:
-        """Values of the interval on both sides of the position, ``margin`` apart from it."""
+    def shares(self, margin: float) -> list[float]:
+        """The position within the interval, with a margin on both sides."""
         share = (self.index - self.up_to_low + 0.5) / self.inside
-        shares = [max(share - margin, 0.0), min(share + margin, 1.0)]
-        return F.percentile_approx(self.between(), shares, accuracy)
+        return [max(share - margin, 0.0), min(share + margin, 1.0)]
 
     def learn(self, value: float, below: int, up_to: int) -> None:
         """Use that ``below`` rows are smaller than ``value`` and ``up_to`` rows at most equal."""
         if self.index < below:
-            self.high, self.below_high = value, below
+            if self.high is None or value < self.high:
+                self.high, self.below_high = value, below
         elif self.index < up_to:
             self.found = value
-        else:
+        elif self.low is None or value > self.low:
             self.low, self.up_to_low = value, up_to
 
 
@@ -101,11 +102,11 @@ def exact_quantiles(
         for j, p in enumerate(probabilities)
     }
     ranks = {
-        (name, index): _Rank(values[name], index, None, None, 0, counts[name])
+        (name, index): _Rank(name, index, counts[name])
         for (name, _), at in positions.items()
         for index in (math.floor(at), math.ceil(at))
     }
-    _locate(df, list(ranks.values()), in_memory_values)
+    _locate(df, values, list(ranks.values()), in_memory_values)
     for (name, j), at in positions.items():
         left, right = ranks[name, math.floor(at)].found, ranks[name, math.ceil(at)].found
         weight = at - math.floor(at)
@@ -114,47 +115,84 @@ def exact_quantiles(
 
 
 def approximate_quantiles(
-    df: DataFrame, fields: Sequence[T.StructField], probabilities: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, fields: Sequence[T.StructField], probabilities: Sequence[float], accuracy: int = 1000
 ) -> dict[str, list[float | None]]:
     """The same from one scan, each within ``1/accuracy`` of the wanted rank."""
     if not fields:
         return {}
+    numbers = df.select(*(value_or_null(f).cast("double").alias(f"c{i}") for i, f in enumerate(fields)))
+    found = numbers.approxQuantile(numbers.columns, [float(p) for p in probabilities], 1 / accuracy)
+    return {f.name: list(q) or [None] * len(probabilities) for f, q in zip(fields, found)}
+
+
+def _locate(df: DataFrame, values: Mapping[str, Column], ranks: list[_Rank], in_memory_values: int) -> None:
+    draw = DRAWN_PER_VALUE * in_memory_values
+    seed = 0
+    while wide := [r for r in ranks if r.found is None and r.inside > in_memory_values]:
+        seed += 1
+        fraction = draw / max(r.inside for r in wide)
+        near = _near(df, values, wide, 2 / math.sqrt(draw), ACCURACY, fraction, seed)
+        proposed = sorted({(r.column, value) for r in wide for value in near[r.column, r.index]})
+        # A draw that proposes nothing is repeated with another seed.
+        counts = _aggregate(
+            df,
+            (
+                count
+                for name, value in proposed
+                for count in (F.count_if(values[name] < F.lit(value)), F.count_if(values[name] <= F.lit(value)))
+            ),
+        ) if proposed else []
+        for i, (name, value) in enumerate(proposed):
+            for r in wide:
+                if r.column == name and r.found is None:
+                    r.learn(value, counts[2 * i], counts[2 * i + 1])
+
+    # With an accuracy above the number of values a summary keeps all of them and
+    # returns the value at the position itself.
+    if rest := [r for r in ranks if r.found is None]:
+        near = _near(df, values, rest, 0.0, 10 * in_memory_values)
+        for r in rest:
+            r.found = near[r.column, r.index][0]
+
+
+def _near(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    ranks: list[_Rank],
+    margin: float,
+    accuracy: int,
+    fraction: float = 1.0,
+    seed: int = 0,
+) -> dict[tuple[str, int], list[float]]:
+    """Values next to each position, from one scan and one summary per interval.
+
+    The rows of the intervals, or a draw of them, are few. They go to a few tasks first,
+    as merging a summary from every task of a large scan would keep one task busy.
+    """
+    intervals = list(dict.fromkeys(r.interval for r in ranks))
+    members = [[r for r in ranks if r.interval == interval] for interval in intervals]
+    rows = df.select(*(_within(values[name], low, high).alias(f"v{i}") for i, (name, low, high) in enumerate(intervals)))
+    rows = rows.dropna("all")
+    if fraction < 1:
+        rows = rows.sample(fraction, seed)
     found = _aggregate(
-        df,
+        rows.repartition(DRAW_PARTITIONS),
         (
-            F.percentile_approx(value_or_null(f).cast("double"), [float(p) for p in probabilities], accuracy)
-            for f in fields
+            F.percentile_approx(f"v{i}", [s for r in group for s in r.shares(margin)], accuracy)
+            for i, group in enumerate(members)
         ),
     )
-    return {f.name: list(q) if q is not None else [None] * len(probabilities) for f, q in zip(fields, found)}
+    return {
+        (r.column, r.index): list(pairs[2 * j : 2 * j + 2]) if pairs is not None else []
+        for group, pairs in zip(members, found)
+        for j, r in enumerate(group)
+    }
 
 
-def _locate(df: DataFrame, ranks: list[_Rank], in_memory_values: int) -> None:
-    while todo := [r for r in ranks if r.found is None]:
-        # With an accuracy above the number of values the summary keeps all of them
-        # and returns the value at the position itself.
-        small = [r for r in todo if r.inside <= in_memory_values]
-        wide = [r for r in todo if r.inside > in_memory_values]
-        guesses = _aggregate(
-            df,
-            [r.near(0.0, 10 * in_memory_values) for r in small] + [r.near(MARGIN, ACCURACY) for r in wide],
-        )
-        for r, (value, _) in zip(small, guesses):
-            r.found = value
-        if not wide:
-            continue
-        proposed = [(r, value) for r, pair in zip(wide, guesses[len(small) :]) for value in sorted(set(pair))]
-        counts = iter(
-            _aggregate(
-                df,
-                (
-                    count
-                    for r, value in proposed
-                    for count in (F.count_if(r.values < F.lit(value)), F.count_if(r.values <= F.lit(value)))
-                ),
-            )
-        )
-        for r, value in proposed:
-            below, up_to = next(counts), next(counts)
-            if r.found is None and (r.low is None or value > r.low) and (r.high is None or value < r.high):
-                r.learn(value, below, up_to)
+def _within(value: Column, low: float | None, high: float | None) -> Column:
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (value > F.lit(low))
+    if high is not None:
+        inside = inside & (value < F.lit(high))
+    return F.when(inside, value)

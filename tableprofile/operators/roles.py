@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.missing import is_missing
 from ..functions.text import normalise_name
 from .profile import value_counts
-from .schema import per_column
+from .schema import one_row, per_column
 
 Roles = Mapping[str, Sequence[str]]
 
@@ -87,7 +87,7 @@ def detected_roles(datasets: Mapping[str, DataFrame], roles: Roles = INCIDENT_RO
         used = [f for f in df.schema.fields if f.name in found.values()]
         filled = per_column(df, used or df.schema.fields[:1], {"values": lambda f: F.count_if(~is_missing(f))})
         return (
-            df.sparkSession.range(1)
+            one_row(df)
             .select(F.inline(F.array(*rows)))
             .join(filled, "column", "left")
             .select(

@@ -79,6 +79,11 @@ def per_column(
     return df.agg(column_array(fields, metrics).alias("rows")).select(F.inline("rows"))
 
 
+def one_row(df: DataFrame) -> DataFrame:
+    """A frame of one row in one partition, to put literals on."""
+    return df.sparkSession.range(0, 1, 1, 1)
+
+
 def schema_rows(df: DataFrame) -> DataFrame:
     """The schema as a table: column, position, dtype, kind."""
     rows = [
@@ -90,4 +95,4 @@ def schema_rows(df: DataFrame) -> DataFrame:
         )
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return one_row(df).select(F.inline(F.array(*rows)))

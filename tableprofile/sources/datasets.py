@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cleaning import clean_dataset
-from .files import scan_json_records, write_table
+from .files import scan_csv, scan_json_records, write_table
 
 
 def folder_name(dataset: str) -> str:
@@ -25,18 +26,18 @@ def ingest_dataset(
     limit: int | None = None,
     drop_any: bool = False,
     fmt: str = "parquet",
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """Scan landed JSON records, clean them, write them, and return the written table.
 
-    One narrow job without a shuffle. Nothing is written for an empty source.
+    One narrow job without a shuffle; a ``schema`` saves the scan that infers one.
+    Nothing is written for an empty source.
     """
-    cleaned = clean_dataset(scan_json_records(spark, path, limit), drop_any)
+    cleaned = clean_dataset(scan_json_records(spark, path, limit, schema), drop_any)
     if cleaned.isEmpty():
         return cleaned
     target = write_table(cleaned, f"{out_dir.rstrip('/')}/{folder_name(name)}", fmt)
     if fmt == "csv":
-        from .files import scan_csv
-
         return scan_csv(spark, target, cleaned.schema)
     return spark.read.format(fmt).load(target)
 

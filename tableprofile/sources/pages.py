@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Pages that a worker hands back at a time.
+PAGES_PER_BATCH = 2000
+
 Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
 
 
@@ -34,14 +37,21 @@ def extract_pages(files: DataFrame, extractor: Extractor, key: str = "stem") ->
         ]
     )
 
+    def as_batch(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=schema.names).astype({"page_no": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for name, content in zip(batch[key], batch["content"]):
                 try:
-                    rows = [(name, number, text, None) for number, text in extractor(bytes(content))]
+                    rows += [(name, number, text, None) for number, text in extractor(bytes(content))]
                 except Exception as e:  # noqa: BLE001 - any failure of the injected function
-                    rows = [(name, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=schema.names).astype({"page_no": "Int64"})
+                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+                if len(rows) >= PAGES_PER_BATCH:
+                    yield as_batch(rows)
+                    rows = []
+            yield as_batch(rows)
 
     return files.select(key, "content").mapInPandas(run, schema)
 
