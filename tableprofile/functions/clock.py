@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .text import strip_whitespace
 
+# Two integers around one mark, from 0:00 to 23:59. They may have leading zeros, a
+# sign and spaces, as integers may have.
+CLOCK_PATTERN = r"^\s*([+]?0*(1?[0-9]|2[0-3])|-0+)\s*:\s*([+]?0*[1-5]?[0-9]|-0+)\s*$"
+
 
 def fix_hour(c: Column) -> Column:
     """Rewrite a hand-typed clock time as ``HH:MM``; null when it is not a time.
@@ -17,25 +21,15 @@ def fix_hour(c: Column) -> Column:
     text = strip_whitespace(c.cast("string"))
     for typed, meant in ((";", ":"), ("::", ":"), (" ", "")):
         text = F.replace(text, F.lit(typed), F.lit(meant))
+    marked = F.regexp_replace(text, "^([^:]{1,2})([^:]{2})$", "$1:$2")
+
+    def checked(clock: Column) -> Column:
+        return F.when(clock.rlike(CLOCK_PATTERN), F.concat_ws(":", _two_digits(clock, 1), _two_digits(clock, 2)))
+
+    # The text is used three times; a one-element array has it computed once.
+    return F.transform(F.array(marked), checked)[0]
+
 
-    # One regular expression decides the shape: either two integers around one
-    # mark, or a bare run whose last two characters are the minutes.
-    number = r"\s*[+-]?[0-9]+\s*"
-    marked = text.rlike(f"^{number}:{number}$")
-    bare = F.length(text).isin(3, 4) & ~F.contains(text, F.lit(":"))
-    split_at = F.length(text) - 2
-    hours = F.when(marked, F.split_part(text, F.lit(":"), F.lit(1))).when(
-        bare, F.substring(text, F.lit(1), split_at)
-    )
-    minutes = F.when(marked, F.split_part(text, F.lit(":"), F.lit(2))).when(
-        bare, F.substring(text, split_at + 1, F.lit(2))
-    )
-    hh, mm = _whole_number(hours, number), _whole_number(minutes, number)
-    return F.when(
-        hh.between(0, 23) & mm.between(0, 59),
-        F.concat_ws(":", F.lpad(hh.cast("string"), 2, "0"), F.lpad(mm.cast("string"), 2, "0")),
-    )
-
-
-def _whole_number(c: Column, pattern: str) -> Column:
-    return F.when(c.rlike(f"^{pattern}$"), strip_whitespace(c).try_cast("int"))
+def _two_digits(clock: Column, part: int) -> Column:
+    number = F.split_part(clock, F.lit(":"), F.lit(part)).try_cast("int")
+    return F.lpad(number.cast("string"), 2, "0")

@@ -28,20 +28,22 @@ def _with_marker(page: Column, text: Column) -> Column:
 def assemble_pages(
     pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text", pages_per_part: int = PAGES_PER_PART
 ) -> DataFrame:
-    """(doc, part_no, n_pages, text): the pages of each document in order, with markers.
+    """(doc, part_no, n_pages, chars, text): the pages of each document in order, with markers.
 
     A document whose page numbers stay below ``pages_per_part`` is one row. The parts of
     a longer one, one after the other, are the document; the whole of it never has to fit
-    into one task. ``doc`` and ``page`` (from 0 or 1) identify a row.
+    into one task. ``doc`` and ``page`` (from 0 or 1) identify a row. A row without a page
+    number, as a failed extraction gives, adds no text.
     """
     parts = (
         pages.select(
             doc,
-            F.floor(F.col(page) / pages_per_part).alias("part_no"),
+            F.coalesce(F.floor(F.col(page) / pages_per_part), F.lit(0)).alias("part_no"),
+            F.col(page).alias("_number"),
             F.struct(F.col(page).alias("page"), _with_marker(F.col(page), F.col(text)).alias("text")).alias("_page"),
         )
         .groupBy(doc, "part_no")
-        .agg(F.array_sort(F.collect_list("_page")).alias("_pages"))
+        .agg(F.count("_number").alias("n_pages"), F.array_sort(F.collect_list("_page")).alias("_pages"))
     )
     # Only the end of a document is stripped. Which part ends a document has to be looked
     # up for long documents alone; a filter on the page number leaves few rows for it.
@@ -52,22 +54,20 @@ def assemble_pages(
     )
     joined = F.array_join(F.transform("_pages", lambda p: p["text"]), "")
     is_end = F.col("part_no") == F.coalesce("_last", F.lit(0))
-    return parts.join(long_ends, doc, "left").select(
-        doc,
-        "part_no",
-        F.size("_pages").cast("long").alias("n_pages"),
-        F.when(is_end, F.rtrim(joined, F.lit(WHITESPACE))).otherwise(joined).alias("text"),
-    )
+    text_of_part = F.when(is_end, F.rtrim(joined, F.lit(WHITESPACE))).otherwise(joined)
+    assembled = parts.join(long_ends, doc, "left").select(doc, "part_no", "n_pages", text_of_part.alias("text"))
+    return assembled.select(doc, "part_no", "n_pages", F.length("text").cast("long").alias("chars"), "text")
 
 
 def document_context(parts: DataFrame, chars: int, doc: str = "doc_id") -> DataFrame:
     """(doc, text, truncated): the first ``chars`` characters of each assembled document.
 
-    Only part lengths are added up per document; of the texts, only those parts are
-    read on that the result needs, and at most ``chars`` characters meet in one row.
+    ``parts`` comes from ``assemble_pages``, best as a written table. Only part lengths are
+    added up per document; of the texts, only the parts that the result needs go on, and
+    at most ``chars`` characters meet in one row.
     """
     in_order = Window.partitionBy(doc).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = parts.select(doc, "part_no", F.length("text").cast("long").alias("_chars"))
+    lengths = parts.select(doc, "part_no", F.col("chars").alias("_chars"))
     offsets = lengths.withColumn("_start", F.coalesce(F.sum("_chars").over(in_order), F.lit(0)))
     needed = offsets.where(F.col("_start") <= chars)
     piece = F.substring(F.col("text"), F.lit(1), (F.lit(chars) - F.col("_start")).cast("int"))

@@ -227,7 +227,7 @@ def column_detail(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _known(quantiles: Quantiles, at: int):
-    return lambda f: F.lit(quantiles[f.name][at]).cast("double")
+    return lambda f: F.lit(quantiles[f.name][at] if f.name in quantiles else None).cast("double")
 
 
 def _double(f: T.StructField) -> Column:

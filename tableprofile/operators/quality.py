@@ -34,7 +34,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def _fences(quantiles: Quantiles, column: str) -> tuple[Column, Column]:
-    low, _, high = quantiles[column]
+    low, _, high = quantiles.get(column, (None, None, None))
     if low is None or high is None:
         return F.lit(None).cast("double"), F.lit(None).cast("double")
     reach = IQR_FACTOR * (high - low)

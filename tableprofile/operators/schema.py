@@ -73,9 +73,9 @@ def per_column(
     The partial aggregates have one row per task, so only those rows are shuffled.
     """
     if not fields:
-        # No column of the wanted kind: the same columns, and no rows.
-        probe = T.StructField(df.columns[0], df.schema.fields[0].dataType)
-        return per_column(df.limit(0), [probe], metrics).where(F.lit(False))
+        # No column of the wanted kind: the same result columns, and no rows.
+        nothing = df.sparkSession.range(0, 0, 1, 1)
+        return per_column(nothing, nothing.schema.fields, metrics).where(F.lit(False))
     return df.agg(column_array(fields, metrics).alias("rows")).select(F.inline("rows"))
 
 

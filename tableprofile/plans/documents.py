@@ -37,9 +37,10 @@ def truncate_context(spark, folder):
     return documents.truncate_context(read(spark, folder, "documents"), "doc_id", context.UNIFIED_CHARS)
 
 
-_ASSEMBLED = r"""assembled AS (SELECT conv_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_pages,
+_ASSEMBLED = r"""assembled AS (SELECT *, length(text) AS chars FROM (
+    SELECT conv_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_pages,
     regexp_replace(string_agg(chr(10) || '--- PÁGINA ' || turn || ' ---' || chr(10) || text || chr(10), '' ORDER BY turn),
-      '^\s+|\s+$', '', 'g') AS text FROM conversations GROUP BY conv_id)"""
+      '^\s+|\s+$', '', 'g') AS text FROM conversations GROUP BY conv_id))"""
 
 
 def _assembled(spark, folder):
