@@ -16,13 +16,18 @@ FAILED_ANSWER = "(the answer could not be generated)"
 Answer = Callable[[str], str]
 
 
-def answer_prompts(prompts: DataFrame, make_answer: Callable[[], Answer], prompt: str = "prompt") -> DataFrame:
+def answer_prompts(
+    prompts: DataFrame, make_answer: Callable[[], Answer], prompt: str = "prompt", tasks: int | None = None
+) -> DataFrame:
     """Replace the prompt by ``answer`` and ``error``.
 
     ``make_answer`` is called once per task and returns the function that answers one
     prompt, so that a client is opened once per task. A prompt that fails gives a
     fixed text and the error, and the others go on. A task that is repeated asks again.
+    ``tasks`` spreads slow calls over more tasks than the size of the prompts asks for.
     """
+    if tasks is not None:
+        prompts = prompts.repartition(tasks)
     keys = [f for f in prompts.schema.fields if f.name != prompt]
     schema = T.StructType([*keys, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -53,10 +58,11 @@ def batch_answers(
     build_prompts: Callable[[DataFrame], DataFrame],
     make_answer: Callable[[], Answer],
     keys: Sequence[str] = ("question",),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Answer every different question once.
 
     Repeated questions collapse before prompts are built, so copies cost no call and
     the long prompts are not shuffled for it.
     """
-    return answer_prompts(build_prompts(questions.select(*keys).distinct()), make_answer)
+    return answer_prompts(build_prompts(questions.select(*keys).distinct()), make_answer, tasks=tasks)

@@ -97,7 +97,7 @@ def null_percent(df: DataFrame) -> DataFrame:
 def _value_families(df: DataFrame, fields: Sequence[T.StructField]) -> list[DataFrame]:
     """Long form (column, value) of the fields, one frame per value type.
 
-    Grouping whole numbers and doubles as such is much cheaper than grouping their text.
+    Grouping numbers and times as such is much cheaper than grouping their text.
     """
     families: dict[str, list[T.StructField]] = {}
     for f in fields:
@@ -105,6 +105,8 @@ def _value_families(df: DataFrame, fields: Sequence[T.StructField]) -> list[Data
             family = "bigint"
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             family = "double"
+        elif isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            family = f.dataType.simpleString()
         else:
             family = "string"
         families.setdefault(family, []).append(f)

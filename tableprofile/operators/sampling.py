@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sample_order
-from .schema import TEXT, fields_of_kind
+from .schema import TEXT, fields_of_kind, one_row
 
 # Tables up to this size are used whole, larger ones give this sample.
 WHOLE_TABLE_ROWS = 3000
 SAMPLE_ROWS = 500
 SEED = 42
 
+# Sorts after every MD5 digest.
+PAST_ALL = "g"
+
 # Ranks are taken within slices of a stratum first, so no task sorts a whole stratum.
 SLICES = 32
 
@@ -26,15 +29,22 @@ def exceeds(df: DataFrame, rows: int) -> bool:
     return len(df.select(F.lit(1)).take(rows + 1)) > rows
 
 
+def _bound(wanted: int, rows: int) -> str:
+    """A bound on the sample order that some more than ``wanted`` of ``rows`` rows should pass."""
+    share = (wanted + 10 * wanted**0.5 + 50) / max(rows, 1)
+    return f"{int(share * 16**12):012x}" if share < 0.5 else PAST_ALL
+
+
 def random_sample(df: DataFrame, key: str, size: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
-    """The ``size`` rows that come first in the order of the sample key."""
+    """The ``size`` rows that come first in the order of the sample key.
+
+    A bound keeps rows out of the sort that can hardly be among the first. Whether
+    enough rows pass it is counted; if not, all rows are sorted.
+    """
     ordered = df.withColumn("_order", sample_order(F.col(key), seed))
-    rows = df.count()
-    if rows > 100 * size:
-        # Most rows cannot be among the first ``size``. A bound on the order that some
-        # more rows than needed are expected to pass keeps the others out of the sort.
-        share = (size + 10 * size**0.5 + 50) / rows
-        near = ordered.where(F.col("_order") < f"{int(share * 16**12):012x}")
+    bound = _bound(size, df.count())
+    if bound != PAST_ALL:
+        near = ordered.where(F.col("_order") < bound)
         if exceeds(near, size - 1):
             ordered = near
     return ordered.orderBy("_order", key).limit(size).drop("_order")
@@ -64,22 +74,65 @@ def stratified_sample(
         return random_sample(df, key, size, seed)
 
     quota = max(1, size // categories)
+    strata = categories + keep_null
     rows = df if keep_null else df.where(F.col(category).isNotNull())
+    rows = rows.withColumn("_order", sample_order(F.col(key), seed))
+    near = _first_of_each(rows, category, quota) if strata <= size else _first_of_many(rows, category, size)
+
     # Literal quotas let Spark cut every task's rows per group before each shuffle.
     first = ["_order", key]
     in_slice = Window.partitionBy(category, "_slice").orderBy(*first)
     in_stratum = Window.partitionBy(category).orderBy(*first)
     drawn = (
-        rows.withColumn("_order", sample_order(F.col(key), seed))
-        .withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
+        near.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
         .withColumn("_rank", F.row_number().over(in_slice))
         .where(F.col("_rank") <= quota)
         .withColumn("_rank", F.row_number().over(in_stratum))
         .where(F.col("_rank") <= quota)
     )
-    if (categories + keep_null) * quota > size:
+    if strata * quota > size:
         drawn = drawn.orderBy(*first).limit(size)
-    return drawn.drop("_order", "_slice", "_rank")
+    return drawn.select(*df.columns)
+
+
+def _first_of_each(rows: DataFrame, category: str, quota: int) -> DataFrame:
+    """Rows among which are the first ``quota`` of every category; there are few categories.
+
+    Each category has its own bound on the order. One count per category shows whether
+    enough rows pass; if not, all rows are returned.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(category).count().collect()}
+    bounds = {value: _bound(quota, n) for value, n in counts.items()}
+    if all(b == PAST_ALL for b in bounds.values()):
+        return rows
+    table = one_row(rows).select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(v).cast(rows.schema[category].dataType).alias("_category"), F.lit(b).alias("_bound"))
+                    for v, b in bounds.items()
+                )
+            )
+        )
+    )
+    # At most as many rows as the sample has.
+    near = (
+        rows.join(F.broadcast(table), rows[category].eqNullSafe(table["_category"]))
+        .where(F.col("_order") < F.col("_bound"))
+        .select(*rows.columns)
+    )
+    passed = {r[0]: r[1] for r in near.groupBy(category).count().collect()}
+    return near if all(passed.get(v, 0) >= min(quota, n) for v, n in counts.items()) else rows
+
+
+def _first_of_many(rows: DataFrame, category: str, size: int) -> DataFrame:
+    """Rows among which are the ``size`` categories that come first, with their first row."""
+    bound = _bound(4 * size, rows.count())
+    if bound == PAST_ALL:
+        return rows
+    near = rows.where(F.col("_order") < bound)
+    groups = near.select(category).distinct().count()
+    return near if groups >= size else rows
 
 
 def sample_coverage(df: DataFrame, sample: DataFrame) -> DataFrame:

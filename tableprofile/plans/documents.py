@@ -71,12 +71,12 @@ def document_context(spark, folder):
 
 @query(
     "text_quality_gate",
-    """SELECT doc_id, CASE WHEN length(text) > 100 THEN text ELSE upper(text) END AS text,
+    """SELECT doc_id, CASE WHEN length(text) > 100 THEN text ELSE reverse(text) END AS text,
     CASE WHEN length(text) > 100 THEN 'primary' ELSE 'fallback' END AS method FROM documents""",
 )
 def text_quality_gate(spark, folder):
     texts = read(spark, folder, "documents").select("doc_id", "text")
-    return documents.text_quality_gate(texts, lambda weak: weak.withColumn("text", F.upper("text")))
+    return documents.text_quality_gate(texts, lambda weak: weak.withColumn("text", F.reverse("text")))
 
 
 def _prompt_sql(task: str, *blocks: tuple[str, str]) -> str:

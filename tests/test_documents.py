@@ -128,7 +128,8 @@ def test_answers_collapse_repeats_and_survive_failures(spark, asked):
     assert got["d1"] == (enrich.FAILED_ANSWER, "RuntimeError: down")
     assert got["d2"] == (enrich.EMPTY_ANSWER, None)
     assert got["d3"] == (enrich.FAILED_ANSWER, "no prompt")
-    long = enrich.answer_prompts(spark.createDataFrame([(1, "other")], "id int, prompt string"), client).first()
+    other = spark.createDataFrame([(1, "other")], "id int, prompt string")
+    long = enrich.answer_prompts(other, client, tasks=3).first()
     assert len(long["answer"]) == enrich.MAX_ANSWER_CHARS
 
 

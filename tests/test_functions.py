@@ -16,7 +16,7 @@ HOURS = {
     "7": None, "": None, "310": "03:10", "1430": "14:30", "14 : 30": "14:30", "14: :30": None, "12:60": None,
     "1:30PM": None, "14305": None, None: None, "+7:30": "07:30", "-0:30": "00:30", "-1:30": None, "007:05": "07:05",
     "310.0": None, "23:59": "23:59", "0:0": "00:00", ":30": None, "12:": None, "\t8:15\n": "08:15", "ab:cd": None,
-    "7.5:30": None, " 7:05": "07:05", "99": None, "2460": None, "12:\t5": "12:05",
+    "7.5:30": None, " 7:05": "07:05", "99": None, "07:05\n": "07:05", "2460": None, "12:\t5": "12:05",
 }
 DECIMALS = {
     "3,5361": 3.5361, "-76,30": -76.3, "1.234,5": None, "no aplica": None, "1e2": 100.0, "1.5d": None, " 4,0 ": 4.0,

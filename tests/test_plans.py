@@ -65,7 +65,7 @@ def test_duplicates_combine_before_one_shuffle_of_rows(spark, folder):
 
 def test_each_value_type_is_scanned_for_its_own_columns(spark, folder):
     plan = _plan(profile.distinct_counts(spark.read.parquet(f"{folder}/orders.parquet")))
-    assert plan.count("FileScan") == 3
+    assert plan.count("FileScan") == 4
     assert "ReadSchema: struct<o_totalprice:double>" in plan
     near = _plan(profile.distinct_counts(spark.read.parquet(f"{folder}/orders.parquet"), exact=False))
     assert "Expand" not in near and near.count("Exchange") == 1

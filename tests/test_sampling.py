@@ -58,6 +58,16 @@ def test_more_categories_than_rows_wanted(spark):
     assert sample.select("kind").distinct().count() == 500
 
 
+def test_bounds_do_not_change_the_sample(spark, monkeypatch):
+    many = spark.range(20_000).select("id", (F.col("id") % 7000).cast("string").alias("kind"))
+    few = _table(spark, 20_000)
+    bounded = [sampling.stratified_sample(t, "id", size=30).collect() for t in (many, few)]
+    for wrong in (lambda wanted, rows: sampling.PAST_ALL, lambda wanted, rows: "0000"):  # no bound, too tight a bound
+        monkeypatch.setattr(sampling, "_bound", wrong)
+        assert [set(sampling.stratified_sample(t, "id", size=30).collect()) for t in (many, few)] == [set(b) for b in bounded]
+        assert {r["id"] for r in sampling.random_sample(few, "id", 30).collect()} == _expected(range(20_000), 30)
+
+
 def test_coverage(spark):
     df = _table(spark)
     row = sampling.sample_coverage(df, sampling.random_sample(df, "id", 600)).first()
