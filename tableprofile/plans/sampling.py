@@ -11,7 +11,8 @@ _ORDER = "md5(CAST(o_orderkey AS VARCHAR) || '|42')"
 _STRATIFIED = f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (
     SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORDER}, o_orderkey) AS rnk,
       (SELECT greatest(1, 500 // count(DISTINCT o_orderstatus)) FROM orders) AS quota
-    FROM orders WHERE o_orderstatus IS NOT NULL) WHERE rnk <= quota"""
+    FROM orders WHERE o_orderstatus IS NOT NULL)
+    WHERE rnk <= quota OR (SELECT count(*) FROM orders) <= 3000"""
 
 
 @query("random_sample", f"SELECT * FROM orders ORDER BY {_ORDER}, o_orderkey LIMIT 500")
