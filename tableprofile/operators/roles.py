@@ -94,7 +94,7 @@ def detected_roles(datasets: Mapping[str, DataFrame], roles: Roles = INCIDENT_RO
                 F.lit(name).alias("dataset"),
                 "role",
                 "column",
-                "values",
+                F.coalesce("values", F.lit(0)).alias("values"),
                 F.lit(len(df.columns)).cast("long").alias("n_columns"),
             )
         )

@@ -48,7 +48,7 @@ WIDTHS = {"bigint": 8, "int": 4, "double": 8, "timestamp_ntz": 8}
 
 def _fact(table: str, position: int, name: str, dtype: str, kind: str) -> str:
     size = f"{WIDTHS[dtype]} * count(*)" if dtype in WIDTHS else f"coalesce(sum(strlen({name})), 0)"
-    common = f"""{position} AS position, '{name}' AS col, '{dtype}' AS dtype, '{kind}' AS kind,
+    common = f"""CAST({position} AS BIGINT) AS position, '{name}' AS col, '{dtype}' AS dtype, '{kind}' AS kind,
         count(*) AS n, count(*) - count({name}) AS nulls, count(DISTINCT {name}) AS dist,
         CAST({size} AS BIGINT) AS bytes"""
     if kind != "numeric":

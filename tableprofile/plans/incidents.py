@@ -12,7 +12,7 @@ from .registry import read
 INCIDENTS = """
 SELECT
   event_id AS ipat,
-  year(ts) AS a_o,
+  CAST(year(ts) AS INT) AS a_o,
   upper(event_type) AS clase_siniestro,
   substr(CAST(ts AS STRING), 1, 10) AS fecha,
   CASE event_id % 9

@@ -21,7 +21,7 @@ _EVENTS = "WITH " + checks.facts("events", checks.EVENTS) + "\n"
 _TOPS = "WITH " + CTE + ",\n" + checks.tops("incidents", COLUMNS) + "\n"
 
 
-@query("table_shape", 'SELECT count(*) AS "rows", 11 AS "columns", count(*) * 11 AS cells FROM lineitem')
+@query("table_shape", 'SELECT count(*) AS "rows", CAST(11 AS BIGINT) AS "columns", count(*) * 11 AS cells FROM lineitem')
 def table_shape(spark, folder):
     return profile.table_shape(read(spark, folder, "lineitem"))
 
@@ -92,14 +92,14 @@ def describe_numeric(spark, folder):
     return _rounded(_rounded(described, "min", "p25", "p50", "p75", "max"), "mean", "std", digits=4)
 
 
-@query("categorical_top_k", _TOPS + 'SELECT col AS "column", val AS "value", cnt AS "count", rnk AS rank FROM tops')
+@query("categorical_top_k", _TOPS + 'SELECT col AS "column", val AS "value", cnt AS "count", CAST(rnk AS INT) AS rank FROM tops')
 def categorical_top_k(spark, folder):
     return profile.categorical_top_k(incidents(spark, folder))
 
 
 @query(
     "categorical_share",
-    _TOPS + """SELECT col AS "column", rnk AS rank, val AS "value", cnt AS "count", round(cnt / filled * 100, 6) AS share,
+    _TOPS + """SELECT col AS "column", CAST(rnk AS INT) AS rank, val AS "value", cnt AS "count", round(cnt / filled * 100, 6) AS share,
     CAST(floor(cnt / filled * 100 / 2) AS BIGINT) AS bar_length FROM tops""",
 )
 def categorical_share(spark, folder):

@@ -35,7 +35,7 @@ _FOUND = {
     "detected_roles",
     WITH + "\nUNION ALL\n".join(
         f"""SELECT 'incidents' AS dataset, '{role}' AS role, {f"'{c}'" if c else "CAST(NULL AS VARCHAR)"} AS "column",
-        {f"count({c})" if c else "CAST(NULL AS BIGINT)"} AS "values", CAST(15 AS BIGINT) AS n_columns
+        {f"count({c})" if c else "CAST(0 AS BIGINT)"} AS "values", CAST(15 AS BIGINT) AS n_columns
         FROM {"incidents" if c else "(SELECT 1)"}"""
         for role, c in _FOUND.items()
     ),
