@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 
 from ..functions.missing import value_or_null
 
-# A column, or an interval of it, with at most this many values is handled as a whole.
-IN_MEMORY_VALUES = 50_000
-# Rows drawn per interval that is searched, for each value handled as a whole.
-DRAWN_PER_VALUE = 5
+# Values that one task may hold, over all columns.
+IN_MEMORY_VALUES = 1_000_000
+# Fewest rows drawn from an interval that is searched.
+MIN_DRAW = 2_000
 ACCURACY = 10_000
 # Tasks that receive drawn values; keeps the number of partial summaries small.
 DRAW_PARTITIONS = 16
@@ -54,9 +54,12 @@ class _Rank:
         return self.column, self.low, self.high
 
     def shares(self, margin: float) -> list[float]:
-        """The position within the interval, with a margin on both sides."""
+        """The position within the interval, or shares on both sides of it."""
         share = (self.index - self.up_to_low + 0.5) / self.inside
-        return [max(share - margin, 0.0), min(share + margin, 1.0)]
+        if margin == 0:
+            return [share]
+        # Rounding makes neighbouring positions propose the same values.
+        return [max(round(share - margin, 4), 0.0), min(round(share + margin, 4), 1.0)]
 
     def learn(self, value: float, below: int, up_to: int) -> None:
         """Use that ``below`` rows are smaller than ``value`` and ``up_to`` rows at most equal."""
@@ -87,10 +90,11 @@ def exact_quantiles(
     if not fields:
         return {}
     values = {f.name: value_or_null(f).cast("double") for f in fields}
+    limit = max(in_memory_values // len(fields), 1)
     counts = dict(zip(values, _aggregate(df, (F.count(v) for v in values.values()))))
     result: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in values}
 
-    small = [name for name, n in counts.items() if 0 < n <= in_memory_values]
+    small = [name for name, n in counts.items() if 0 < n <= limit]
     if small:
         wanted = F.array(*(F.lit(float(p)) for p in probabilities))
         result.update(zip(small, _aggregate(df, (F.percentile(values[name], wanted) for name in small))))
@@ -98,7 +102,7 @@ def exact_quantiles(
     positions = {
         (name, j): (n - 1) * p
         for name, n in counts.items()
-        if n > in_memory_values
+        if n > limit
         for j, p in enumerate(probabilities)
     }
     ranks = {
@@ -106,7 +110,7 @@ def exact_quantiles(
         for (name, _), at in positions.items()
         for index in (math.floor(at), math.ceil(at))
     }
-    _locate(df, values, list(ranks.values()), in_memory_values)
+    _locate(df, values, list(ranks.values()), limit)
     for (name, j), at in positions.items():
         left, right = ranks[name, math.floor(at)].found, ranks[name, math.ceil(at)].found
         weight = at - math.floor(at)
@@ -125,10 +129,10 @@ def approximate_quantiles(
     return {f.name: list(q) or [None] * len(probabilities) for f, q in zip(fields, found)}
 
 
-def _locate(df: DataFrame, values: Mapping[str, Column], ranks: list[_Rank], in_memory_values: int) -> None:
-    draw = DRAWN_PER_VALUE * in_memory_values
+def _locate(df: DataFrame, values: Mapping[str, Column], ranks: list[_Rank], limit: int) -> None:
+    draw = max(limit, MIN_DRAW)
     seed = 0
-    while wide := [r for r in ranks if r.found is None and r.inside > in_memory_values]:
+    while wide := [r for r in ranks if r.found is None and r.inside > limit]:
         seed += 1
         fraction = draw / max(r.inside for r in wide)
         near = _near(df, values, wide, 2 / math.sqrt(draw), ACCURACY, fraction, seed)
@@ -150,7 +154,7 @@ def _locate(df: DataFrame, values: Mapping[str, Column], ranks: list[_Rank], in_
     # With an accuracy above the number of values a summary keeps all of them and
     # returns the value at the position itself.
     if rest := [r for r in ranks if r.found is None]:
-        near = _near(df, values, rest, 0.0, 10 * in_memory_values)
+        near = _near(df, values, rest, 0.0, 10 * limit)
         for r in rest:
             r.found = near[r.column, r.index][0]
 
@@ -178,15 +182,16 @@ def _near(
     found = _aggregate(
         rows.repartition(DRAW_PARTITIONS),
         (
-            F.percentile_approx(f"v{i}", [s for r in group for s in r.shares(margin)], accuracy)
-            for i, group in enumerate(members)
+            F.percentile_approx(f"v{i}", shares, accuracy)
+            for i, shares in enumerate([s for r in group for s in r.shares(margin)] for group in members)
         ),
     )
-    return {
-        (r.column, r.index): list(pairs[2 * j : 2 * j + 2]) if pairs is not None else []
-        for group, pairs in zip(members, found)
-        for j, r in enumerate(group)
-    }
+    near: dict[tuple[str, int], list[float]] = {}
+    for group, proposals in zip(members, found):
+        proposals = iter(proposals or ())
+        for r in group:
+            near[r.column, r.index] = [value for _, value in zip(r.shares(margin), proposals)]
+    return near
 
 
 def _within(value: Column, low: float | None, high: float | None) -> Column:

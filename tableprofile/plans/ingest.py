@@ -61,8 +61,11 @@ def _land(spark, df, label: str) -> str:
 
 @query("ingest_dataset", WITH + f"SELECT {_CLEAN} FROM incidents")
 def ingest_dataset(spark, folder):
-    landed = _land(spark, incidents(spark, folder), "landed")
-    ingested = datasets.ingest_dataset(spark, landed, "City incidents-2024", scratch_path(spark, "clean"))
+    rows = incidents(spark, folder)
+    landed = _land(spark, rows, "landed")
+    ingested = datasets.ingest_dataset(
+        spark, landed, "City incidents-2024", scratch_path(spark, "clean"), schema=rows.schema
+    )
     return ingested.select(*(name for name, _, _ in COLUMNS))
 
 
