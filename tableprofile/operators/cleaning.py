@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import fix_hour, is_missing, locale_decimal, na_to_null, parse_decimal
 from .schema import TEXT, kind_of
 
-# Names under which the columns to clean appear, in any case.
-LATITUDE_NAMES = ("lat", "latitud")
-LONGITUDE_NAMES = ("long", "longitud")
-AGE_NAMES = ("edad",)
+# Names, in any case, of the columns that hold numbers to clean, and the
+# part of a name that marks a column of clock times.
+NUMBER_COLUMNS = {
+    "latitude": ("lat", "latitud"),
+    "longitude": ("long", "longitud"),
+    "age": ("edad",),
+}
 HOUR_PART = "hora"
 
 
@@ -34,19 +37,20 @@ def drop_any_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def cleaning_columns(columns: Sequence[str]) -> dict[str, str]:
-    """Which columns hold latitude, longitude, age and clock time; the first of each."""
+def _cleaning_role(name: str) -> str | None:
+    for role, names in NUMBER_COLUMNS.items():
+        if name.lower() in names:
+            return role
+    return "hour" if HOUR_PART in name.lower() else None
 
-    def first(fits: Callable[[str], bool]) -> str | None:
-        return next((c for c in columns if fits(c.lower())), None)
 
-    found = {
-        "latitude": first(lambda c: c in LATITUDE_NAMES),
-        "longitude": first(lambda c: c in LONGITUDE_NAMES),
-        "age": first(lambda c: c in AGE_NAMES),
-        "hour": first(lambda c: HOUR_PART in c),
-    }
-    return {role: column for role, column in found.items() if column is not None}
+def cleaning_columns(columns: Sequence[str]) -> dict[str, str]:
+    """Which columns hold latitude, longitude, age and clock time; the first of each."""
+    found: dict[str, str] = {}
+    for column in columns:
+        if (role := _cleaning_role(column)) is not None:
+            found.setdefault(role, column)
+    return found
 
 
 def clean_dataset(df: DataFrame, drop_any: bool = False) -> DataFrame:

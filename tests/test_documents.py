@@ -129,8 +129,9 @@ def test_answers_collapse_repeats_and_survive_failures(spark, asked):
     assert got["d2"] == (enrich.EMPTY_ANSWER, None)
     assert got["d3"] == (enrich.FAILED_ANSWER, "no prompt")
     other = spark.createDataFrame([(1, "other")], "id int, prompt string")
-    long = enrich.answer_prompts(other, client, tasks=3).first()
-    assert len(long["answer"]) == enrich.MAX_ANSWER_CHARS
+    assert len(enrich.answer_prompts(other, client, tasks=3).first()["answer"]) == 5000
+    cut = enrich.answer_prompts(other, client, max_chars=enrich.TABLE_ANSWER_CHARS).first()
+    assert len(cut["answer"]) == enrich.TABLE_ANSWER_CHARS
 
 
 def test_a_failed_extraction_adds_no_text_and_goes_to_the_fallback(spark):
