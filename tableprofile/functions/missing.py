@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import column
+
 # The text tokens that a table reader takes as missing.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -18,13 +20,9 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def value_or_null(field: T.StructField) -> Column:
     """The column of ``field``, with NaN read as null."""
-    c = _quoted(field.name)
+    c = column(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c)
     return c
@@ -32,7 +30,7 @@ def value_or_null(field: T.StructField) -> Column:
 
 def is_missing(field: T.StructField) -> Column:
     """True for null and, in floating-point columns, for NaN."""
-    c = _quoted(field.name)
+    c = column(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fix_hour, is_missing, locale_decimal, na_to_null, parse_decimal
+from ..functions.names import column
 from .schema import TEXT, kind_of
 
 # Names, in any case, of the columns that hold numbers to clean, and the
@@ -23,18 +25,26 @@ HOUR_PART = "hora"
 def normalise_na(df: DataFrame) -> DataFrame:
     """Null for every NA token in the text columns."""
     return df.withColumns(
-        {f.name: na_to_null(F.col(_q(f.name))) for f in df.schema.fields if kind_of(f.dataType) == TEXT}
+        {f.name: na_to_null(column(f.name)) for f in df.schema.fields if kind_of(f.dataType) == TEXT}
     )
 
 
+def _has_value(df: DataFrame) -> Column:
+    return reduce(Column.__or__, (~is_missing(f) for f in df.schema.fields))
+
+
+def _is_complete(df: DataFrame) -> Column:
+    return reduce(Column.__and__, (~is_missing(f) for f in df.schema.fields))
+
+
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
     """Without the rows that hold no value at all; NaN counts as no value."""
-    return df.dropna("all")
+    return df.where(_has_value(df))
 
 
 def drop_any_null_rows(df: DataFrame) -> DataFrame:
     """Without the rows in which any value is missing."""
-    return df.dropna("any")
+    return df.where(_is_complete(df))
 
 
 def _cleaning_role(name: str) -> str | None:
@@ -47,9 +57,9 @@ def _cleaning_role(name: str) -> str | None:
 def cleaning_columns(columns: Sequence[str]) -> dict[str, str]:
     """Which columns hold latitude, longitude, age and clock time; the first of each."""
     found: dict[str, str] = {}
-    for column in columns:
-        if (role := _cleaning_role(column)) is not None:
-            found.setdefault(role, column)
+    for name in columns:
+        if (role := _cleaning_role(name)) is not None:
+            found.setdefault(role, name)
     return found
 
 
@@ -63,36 +73,24 @@ def clean_dataset(df: DataFrame, drop_any: bool = False) -> DataFrame:
     if drop_any:
         kept = drop_any_null_rows(kept)
     roles = cleaning_columns(df.columns)
-    rewritten = {c: parse_decimal(F.col(_q(c))) for role, c in roles.items() if role != "hour"}
+    rewritten = {c: parse_decimal(column(c)) for role, c in roles.items() if role != "hour"}
     if "hour" in roles:
-        rewritten[roles["hour"]] = fix_hour(F.col(_q(roles["hour"])))
+        rewritten[roles["hour"]] = fix_hour(column(roles["hour"]))
     return kept.withColumns(rewritten) if rewritten else kept
 
 
 def locale_export(df: DataFrame) -> DataFrame:
     """Coordinates and age as text with a decimal comma, for spreadsheet programs."""
     roles = cleaning_columns(df.columns)
-    return df.withColumns({c: locale_decimal(F.col(_q(c))) for role, c in roles.items() if role != "hour"})
+    return df.withColumns({c: locale_decimal(column(c)) for role, c in roles.items() if role != "hour"})
 
 
 def retention_report(df: DataFrame, name: str = "dataset", drop_any: bool = False) -> DataFrame:
     """Rows before and after ``clean_dataset`` and the percentage kept, from one scan."""
-    missing = [is_missing(f) for f in df.schema.fields]
-    kept = _all([~m for m in missing]) if drop_any else ~_all(missing)
+    kept = _is_complete(df) if drop_any else _has_value(df)
     return df.agg(F.count("*").alias("initial_rows"), F.count_if(kept).alias("final_rows")).select(
         F.lit(name).alias("dataset"),
         "initial_rows",
         "final_rows",
         F.coalesce(F.try_divide("final_rows", "initial_rows") * 100, F.lit(0.0)).alias("percent"),
     )
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    result = F.lit(True)
-    for condition in conditions:
-        result = result & condition
-    return result
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

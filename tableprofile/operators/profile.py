@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import is_missing, value_or_null
+from ..functions.names import column as named
 from ..functions.text import title_case
 from .quantiles import approximate_quantiles, exact_quantiles
 from .schema import NUMERIC, TEXT, comparable, fields_of_kind, kind_of, per_column, schema_rows
@@ -28,10 +29,6 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole) * 100
 
 
-def _text_of(df: DataFrame, column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 # Shape and schema -----------------------------------------------------------
 
 
@@ -112,7 +109,7 @@ def _value_families(df: DataFrame, fields: Sequence[T.StructField]) -> list[Data
         families.setdefault(family, []).append(f)
     return [
         df.select(*(comparable(f).cast(family).alias(f.name) for f in members)).unpivot(
-            [], [_text_of(df, f.name) for f in members], "column", "value"
+            [], [named(f.name) for f in members], "column", "value"
         )
         for family, members in families.items()
     ]
@@ -138,15 +135,15 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     for other in counted[1:]:
         found = found.union(other)
     # An empty table has no groups, yet every column has a count.
-    names = schema_rows(df.select(*(_text_of(df, f.name) for f in fields))).select("column")
+    names = schema_rows(df.select(*(named(f.name) for f in fields))).select("column")
     return names.join(found, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def column_value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """(column, value, count) of text columns, nulls left out, from one scan and one shuffle."""
     return (
-        df.select(*(_text_of(df, f.name) for f in fields))
-        .unpivot([], [_text_of(df, f.name) for f in fields], "column", "value")
+        df.select(*(named(f.name) for f in fields))
+        .unpivot([], [named(f.name) for f in fields], "column", "value")
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
         .count()
@@ -169,7 +166,7 @@ def categorical_top_k(df: DataFrame, k: int = 5) -> DataFrame:
 def categorical_share(df: DataFrame, k: int = 5, bar_percent: float = 2.0) -> DataFrame:
     """``categorical_top_k`` with each value's share of the column's non-null values."""
     fields = fields_of_kind(df, TEXT)
-    filled = per_column(df, fields, {"filled": lambda f: F.count(_text_of(df, f.name))})
+    filled = per_column(df, fields, {"filled": lambda f: F.count(named(f.name))})
     share = _percent(F.col("count"), F.col("filled"))
     return (
         categorical_top_k(df, k)
@@ -181,7 +178,7 @@ def categorical_share(df: DataFrame, k: int = 5, bar_percent: float = 2.0) -> Da
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, count) of one column, nulls left out, most frequent first."""
     return (
-        df.select(_text_of(df, column).alias("value"))
+        df.select(named(column).alias("value"))
         .where(F.col("value").isNotNull())
         .groupBy("value")
         .count()
@@ -290,7 +287,7 @@ FIXED_WIDTH = {
 
 
 def data_bytes(f: T.StructField) -> Column:
-    c, data_type = F.col("`" + f.name.replace("`", "``") + "`"), f.dataType
+    c, data_type = named(f.name), f.dataType
     width = FIXED_WIDTH.get(type(data_type))
     if width is not None:
         return F.count("*") * width
@@ -321,7 +318,7 @@ def _items(df: DataFrame, keep: Sequence[str], values: Sequence[str]) -> DataFra
 
 def column_panel(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """One column's panel: distinct and null counts, then top values or a description."""
-    one = df.select(_text_of(df, column))
+    one = df.select(named(column))
     field = one.schema.fields[0]
     dtype = F.lit(field.dataType.simpleString())
     summary = _items(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import is_missing
+from ..functions.names import column as named
 from ..functions.text import normalise_name
 from .profile import value_counts
 from .schema import one_row, per_column
@@ -73,7 +74,7 @@ def harmonise_columns(datasets: Mapping[str, DataFrame], roles: Roles) -> DataFr
     for name, df in datasets.items():
         found = {role: column for role, column in find_roles(df, roles).items() if column is not None}
         parts.append(
-            df.select(F.lit(name).alias("dataset"), *(F.col(_q(c)).alias(role) for role, c in found.items()))
+            df.select(F.lit(name).alias("dataset"), *(named(c).alias(role) for role, c in found.items()))
         )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -110,7 +111,3 @@ def role_breakdown(df: DataFrame, wanted: Sequence[str] = ("genero", "gravedad")
             return value_counts(df, column).select(F.lit(role).alias("role"), F.lit(column).alias("column"), "value", "count")
     schema = T.StructType().add("role", "string").add("column", "string").add("value", "string").add("count", "long")
     return df.sparkSession.createDataFrame([], schema)
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import month_label, parse_decimal, parse_timestamp
 from ..functions.dates import DATE_FORMATS
+from ..functions.names import column as named
 from .schema import TEXT, kind_of
 
 
 def moment(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """The column as a timestamp; text is parsed, and unreadable text is null."""
-    c = F.col(column)
+    c = named(column)
     return parse_timestamp(c, formats) if kind_of(df.schema[column].dataType) == TEXT else c
 
 
@@ -42,7 +43,7 @@ def _on_earth() -> Column:
 
 
 def _coordinates(df: DataFrame, latitude: str, longitude: str) -> DataFrame:
-    return df.select(parse_decimal(F.col(latitude)).alias("lat"), parse_decimal(F.col(longitude)).alias("lon"))
+    return df.select(parse_decimal(named(latitude)).alias("lat"), parse_decimal(named(longitude)).alias("lon"))
 
 
 def valid_points(df: DataFrame, latitude: str, longitude: str) -> DataFrame:

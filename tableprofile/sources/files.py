@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strip_whitespace
+from ..functions.names import column
 from ..functions.numbers import NUMBER_PATTERN
 from ..operators.cleaning import normalise_na
 from ..operators.report import report_lines
@@ -39,7 +40,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
     checks = []
     for name in texts:
-        c = F.col(_q(name))
+        c = column(name)
         plain = strip_whitespace(c)
         checks += [
             unfit(c, plain.rlike(WHOLE_NUMBER) & plain.try_cast("bigint").isNotNull()),
@@ -50,7 +51,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     found = list(df.agg(*(c.alias(f"c{i}") for i, c in enumerate(checks))).first())
     typed = {}
     for i, name in enumerate(texts):
-        c, (not_whole, not_number, not_boolean, filled) = F.col(_q(name)), found[4 * i : 4 * i + 4]
+        c, (not_whole, not_number, not_boolean, filled) = column(name), found[4 * i : 4 * i + 4]
         if filled and not not_whole:
             typed[name] = strip_whitespace(c).try_cast("bigint")
         elif not not_number:
@@ -75,7 +76,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if schema is None:
         return infer_types(texts)
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return texts.select(*(F.col(_q(f.name)).try_cast(f.dataType).alias(f.name) for f in wanted.fields))
+    return texts.select(*(column(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields))
 
 
 def scan_json_records(
@@ -112,7 +113,3 @@ def write_report(report: DataFrame, path: str) -> str:
     """Write a dataset report as text, a few lines per table column, in one ordered file."""
     report_lines(report).coalesce(1).write.mode("overwrite").text(path)
     return path
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

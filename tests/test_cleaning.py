@@ -98,3 +98,13 @@ def test_questions_agree_with_each_other(table):
     groups = questions.age_groups(table).agg(F.sum("count")).first()[0]
     assert groups == questions.mean_age(table).first()["ages"]
     assert 0 <= int(questions.risk_hour(table).first()["value"]) < 24
+
+
+def test_columns_with_odd_names(spark):
+    df = spark.createDataFrame([("14;30", "3,5", "2024-01-02"), (None, None, None)], "`hora.x` string, `lat` string, `d.a te` string")
+    assert [tuple(r) for r in cleaning.clean_dataset(df).collect()] == [("14:30", 3.5, "2024-01-02")]
+    assert trends.count_by_year(df, "d.a te").first()["year"] == 2024
+    assert questions.risk_hour(df, "hora.x").first()["value"] == "14"
+    assert trends.points_coverage(df, "lat", "lat").first()["valid_points"] == 1
+    assert roles.harmonise_columns({"a": df}, {"zeit": ["hora.x"]}).count() == 2
+    assert cleaning.normalise_na(df).count() == 2

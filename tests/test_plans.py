@@ -34,6 +34,8 @@ def test_cleaning_needs_no_shuffle(spark, folder):
 
 def test_filters_and_columns_reach_the_scan(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    complete = _plan(cleaning.drop_any_null_rows(lines.select("l_orderkey", "l_returnflag")))
+    assert "PushedFilters: [IsNotNull(l_orderkey), IsNotNull(l_returnflag)]" in complete
     plan = _plan(profile.value_counts(lines, "l_returnflag"))
     assert "PushedFilters: [IsNotNull(l_returnflag)]" in plan
     assert "ReadSchema: struct<l_returnflag:string>" in plan
