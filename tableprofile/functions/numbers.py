@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_whitespace
-
-# A plain decimal number. Spark's own cast also takes Java suffixes ("1.5d"), so
-# the text is checked before it is cast.
-NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+# A plain decimal number between spaces. Spark's own cast also takes Java suffixes
+# ("1.5d"), so the text is checked before it is cast; the cast drops the spaces.
+NUMBER_PATTERN = r"^\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def parse_decimal(c: Column) -> Column:
@@ -17,7 +15,7 @@ def parse_decimal(c: Column) -> Column:
 
     A thousands point next to a decimal comma ("1.234,5") has two marks and is null.
     """
-    plain = F.replace(strip_whitespace(c.cast("string")), F.lit(","), F.lit("."))
+    plain = F.replace(c.cast("string"), F.lit(","), F.lit("."))
     return F.when(plain.rlike(NUMBER_PATTERN), plain.try_cast("double"))
 
 

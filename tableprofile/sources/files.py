@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import strip_whitespace
 from ..functions.names import column
 from ..functions.numbers import NUMBER_PATTERN
 from ..operators.cleaning import normalise_na
@@ -19,7 +18,7 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
-WHOLE_NUMBER = "^[+-]?[0-9]+$"
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
 # The spellings of truth values in a text table.
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
@@ -41,10 +40,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     checks = []
     for name in texts:
         c = column(name)
-        plain = strip_whitespace(c)
         checks += [
-            unfit(c, plain.rlike(WHOLE_NUMBER) & plain.try_cast("bigint").isNotNull()),
-            unfit(c, plain.rlike(NUMBER_PATTERN)),
+            unfit(c, c.rlike(WHOLE_NUMBER) & c.try_cast("bigint").isNotNull()),
+            unfit(c, c.rlike(NUMBER_PATTERN)),
             unfit(c, c.isin(*TRUE_TOKENS, *FALSE_TOKENS)),
             F.count(c),
         ]
@@ -53,9 +51,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, name in enumerate(texts):
         c, (not_whole, not_number, not_boolean, filled) = column(name), found[4 * i : 4 * i + 4]
         if filled and not not_whole:
-            typed[name] = strip_whitespace(c).try_cast("bigint")
+            typed[name] = c.try_cast("bigint")
         elif not not_number:
-            typed[name] = strip_whitespace(c).try_cast("double")
+            typed[name] = c.try_cast("double")
         elif not not_boolean:
             typed[name] = c.isin(*TRUE_TOKENS)
     return df.withColumns(typed) if typed else df

@@ -21,7 +21,7 @@ HOURS = {
 DECIMALS = {
     "3,5361": 3.5361, "-76,30": -76.3, "1.234,5": None, "no aplica": None, "1e2": 100.0, "1.5d": None, " 4,0 ": 4.0,
     None: None, "1.5f": None, ".5": 0.5, "5.": 5.0, "+2,5": 2.5, "": None, "nan": None, "0x10": None, "1_0": None,
-    "inf": float("inf"), "1,5e-3": 0.0015, "--1": None,
+    "inf": float("inf"), "1,5e-3": 0.0015, "--1": None, "\t4\n": 4.0, " inf ": float("inf"), "4 5": None, "-Infinity": float("-inf"),
 }
 NORMALISED = {
     "Dirección": "direccion", "direcci_n": "direccin", "AÑO 2023": "ano2023", "___": "", "é": "e", "ÅNGSTRÖM": "angstrom",
