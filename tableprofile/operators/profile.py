@@ -115,22 +115,33 @@ def _value_families(df: DataFrame, fields: Sequence[T.StructField]) -> list[Data
     ]
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def distinct_counts(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exact: bool = True,
+    text_counts: DataFrame | None = None,
+) -> DataFrame:
     """One row per column: how many different non-null values it holds.
 
     Exact counts shuffle every distinct value once, after a map-side combine, and long
     text only as a digest. ``exact=False`` takes HyperLogLog sketches from one scan and
-    shuffles no values.
+    shuffles no values. ``text_counts``, the ``column_value_counts`` of the text columns,
+    is used for those where it is needed anyway.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if not exact:
         return per_column(df, fields, {"distinct": lambda f: F.approx_count_distinct(comparable(f))})
     if not fields:
         return per_column(df, fields, {"distinct": lambda f: F.count("*")})
+    grouped = [f for f in fields if text_counts is None or kind_of(f.dataType) != TEXT]
     counted = [
         long.groupBy("column", "value").count().groupBy("column").agg(F.count("value").alias("distinct"))
-        for long in _value_families(df, fields)
+        for long in _value_families(df, grouped)
     ]
+    if text_counts is not None:
+        # Using the count keeps the grouping the same as that of the top values, so that
+        # Spark shuffles once for both.
+        counted.append(text_counts.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("distinct")))
     found = counted[0]
     for other in counted[1:]:
         found = found.union(other)
@@ -154,10 +165,19 @@ def _empty_counts(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "column string, value string, count long")
 
 
+def text_value_counts(df: DataFrame) -> DataFrame:
+    """``column_value_counts`` of all text columns."""
+    fields = fields_of_kind(df, TEXT)
+    return column_value_counts(df, fields) if fields else _empty_counts(df)
+
+
 def categorical_top_k(df: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent values of every text column; ties in value order."""
-    fields = fields_of_kind(df, TEXT)
-    counts = column_value_counts(df, fields) if fields else _empty_counts(df)
+    return top_of_counts(text_value_counts(df), k)
+
+
+def top_of_counts(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent values per column of ``column_value_counts``."""
     # A literal limit lets Spark cut each task's rows to ``k`` per column before the shuffle.
     best = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

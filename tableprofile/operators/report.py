@@ -1,8 +1,8 @@
 """The dataset report, its metadata and its short summary, as ordered rows and as text.
 
 All of them come from ``profile_record``, one row of facts about a table. Its parts are
-one scan for all per-column aggregates, one shuffle of distinct values, one of text
-values and one of rows; the parts that a result does not use are not computed.
+one scan for all per-column aggregates, one shuffle of text values, one of other
+distinct values per type and one of rows; the parts that a result does not use are not computed.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, value_or_null
-from .profile import Quantiles, categorical_top_k, data_bytes, distinct_counts, quartiles
+from .profile import Quantiles, data_bytes, distinct_counts, quartiles, text_value_counts, top_of_counts
 from .quality import FEW_VALUES, ID_LIKE_SHARE, advice_on, duplicate_count, outlier_count, quality_of
 from .schema import DATE, NUMERIC, TEXT, column_array, fields_of_kind, kind_of
 
-# Longest summary of a table, longest value shown, percent per bar step.
+# Longest summary of a table, longest value shown, top values per column.
 MAX_SUMMARY_CHARS = 8000
 SHOWN_VALUE_CHARS = 40
+TOP_VALUES = 5
 
 SECTIONS = (
     "quality",
@@ -71,8 +72,10 @@ def profile_record(df: DataFrame, quantiles: Quantiles | None = None, exact: boo
         },
     )
     # Maps and lists of a few entries per column.
-    distinct = distinct_counts(df, exact=exact).agg(F.map_from_entries(F.collect_list(F.struct("column", "distinct"))))
-    top = categorical_top_k(df).agg(F.collect_list(F.struct("column", "rank", "value", "count")))
+    texts = text_value_counts(df)
+    counted = distinct_counts(df, exact=exact, text_counts=texts)
+    distinct = counted.agg(F.map_from_entries(F.collect_list(F.struct("column", "distinct"))))
+    top = top_of_counts(texts, TOP_VALUES).agg(F.collect_list(F.struct("column", "rank", "value", "count")))
     return df.agg(F.count("*").alias("rows"), columns.alias("columns")).select(
         "*",
         distinct.scalar().alias("distinct"),

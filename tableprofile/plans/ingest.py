@@ -26,6 +26,18 @@ def scan_csv(spark, folder):
     return files.scan_csv(spark, path)
 
 
+_TYPED = {"a_o": "BIGINT", "edad": "BIGINT"}
+
+
+@query(
+    "scan_csv_nulls",
+    WITH + f"SELECT {', '.join(f'CAST({c} AS {_TYPED[c]}) AS {c}' if c in _TYPED else c for c, _, _ in COLUMNS)} FROM incidents",
+)
+def scan_csv_nulls(spark, folder):
+    path = files.write_table(incidents(spark, folder), scratch_path(spark, "csv"), "csv")
+    return files.scan_csv(spark, path)
+
+
 @query("write_table", "SELECT * FROM lineitem")
 def write_table(spark, folder):
     path = files.write_table(read(spark, folder, "lineitem"), scratch_path(spark, "table"), partition_by=("l_returnflag",))

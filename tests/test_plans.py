@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
-from tableprofile.operators import cleaning, documents, profile, quality, sampling
+from tableprofile.operators import cleaning, documents, profile, quality, report, sampling
 
 QUERIES = entry_module.queries()
 PYTHON_QUERIES = {"extract_pages", "batch_answers"}
@@ -86,3 +86,13 @@ def test_assembled_parts_are_shuffled_once_for_their_contexts(spark, folder):
     parts = documents.assemble_pages(pages, "conv_id", "turn")
     plan = _final_plan(documents.document_context(parts, 100, "conv_id"))
     assert "ReusedExchange" in plan
+
+
+def test_report_shuffles_text_values_once(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    known = profile.quartiles(orders)
+    df = report.dataset_report(orders, known)
+    df.collect()
+    plan = _plan(df)
+    assert "ReusedExchange [column" in plan
+    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 3  # distinct values, top values, duplicates
