@@ -100,7 +100,10 @@ def text_quality_gate(extracted: DataFrame, fallback: Callable[[DataFrame], Data
         # Only a document in a single part can be short.
         accepted = accepted | (F.col("part_no") > 0)
     kept = extracted.where(accepted).withColumn("method", F.lit("primary"))
-    return kept.unionByName(fallback(extracted.where(~accepted)).withColumn("method", F.lit("fallback")))
+    replaced = fallback(extracted.where(~accepted)).withColumn("method", F.lit("fallback"))
+    if "chars" in extracted.columns:
+        replaced = replaced.withColumn("chars", F.length(text).cast("long"))
+    return kept.unionByName(replaced)
 
 
 def text_stats(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -141,3 +141,5 @@ def test_a_failed_extraction_adds_no_text_and_goes_to_the_fallback(spark):
     assert got["bad"] == (0, 0) and got["good"][0] == 1
     gate = documents.text_quality_gate(parts, lambda weak: weak.withColumn("text", F.lit("again")))
     assert {r["doc_id"]: r["method"] for r in gate.collect()} == {"bad": "fallback", "good": "primary"}
+    contexts = {r["doc_id"]: (r["text"], r["truncated"]) for r in documents.document_context(gate, 4).collect()}
+    assert contexts == {"bad": ("agai", True), "good": ("--- ", True)}
