@@ -18,19 +18,37 @@ GOOD_SCORE, FAIR_SCORE = 80.0, 60.0
 FEW_VALUES = 10
 ID_LIKE_SHARE = 0.8
 
+# Most row hashes (8 bytes each) that are sent to every task.
+MAX_SHARED_HASHES = 1_000_000
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, distinct rows, and rows beyond the first of their kind.
 
-    Copies of one row meet in the map-side combine, so a row that fills a third of the
-    table costs one group per task. Long text travels as a digest.
+def duplicate_count(df: DataFrame, max_shared_hashes: int = MAX_SHARED_HASHES) -> Column:
+    """The number of rows beyond the first of their kind, as a scalar.
+
+    Equal rows have equal hashes, so a first job shuffles one 64-bit hash per row and
+    counts the hashes that several rows share. Most tables have none, and that settles
+    it. Otherwise only rows with a shared hash are grouped as a whole, which keeps rows
+    apart whose hashes are equal by chance. Where too many hashes are shared to send
+    them to every task, all rows are grouped. Copies meet in the map-side combine.
     """
-    groups = df.groupBy(*(comparable(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields))).count()
-    return groups.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
-        F.count("*").alias("distinct_rows"),
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"),
-    )
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*(comparable(f).alias(name) for f, name in zip(df.schema.fields, names)))
+    rows = rows.withColumn("_hash", F.xxhash64(*names))
+    shared = rows.groupBy("_hash").count().where(F.col("count") > 1).select("_hash")
+    n_shared = shared.count()
+    if n_shared == 0:
+        return F.lit(0).cast("long")
+    if n_shared <= max_shared_hashes:
+        rows = rows.join(F.broadcast(shared), "_hash", "left_semi")
+    groups = rows.groupBy(*names).count()
+    return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).scalar()
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: rows, distinct rows, and rows beyond the first of their kind."""
+    duplicates = duplicate_count(df).alias("duplicates")
+    counted = df.agg(F.count("*").alias("rows")).select("rows", duplicates)
+    return counted.select("rows", (F.col("rows") - F.col("duplicates")).alias("distinct_rows"), "duplicates")
 
 
 def _fences(quantiles: Quantiles, column: str) -> tuple[Column, Column]:
@@ -80,11 +98,6 @@ def outlier_count(field, quantiles: Quantiles) -> Column:
     return _outside(quantiles, field) if kind_of(field.dataType) == NUMERIC else F.lit(0).cast("long")
 
 
-def duplicate_count(df: DataFrame) -> Column:
-    """The number of duplicate rows as a scalar subquery."""
-    return duplicate_rows(df).select("duplicates").scalar()
-
-
 def quality_of(facts: DataFrame, width: int, numeric: int, *carry: str) -> DataFrame:
     """Add the quality result to a row of facts.
 

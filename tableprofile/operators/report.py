@@ -1,8 +1,8 @@
 """The dataset report, its metadata and its short summary, as ordered rows and as text.
 
 All of them come from ``profile_record``, one row of facts about a table. Its parts are
-one scan for all per-column aggregates, one shuffle of text values, one of other
-distinct values per type and one of rows; the parts that a result does not use are not computed.
+one scan for all per-column aggregates, one shuffle of text values and one of other
+distinct values per type; the parts that a result does not use are not computed.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SECTIONS = (
 
 
 def profile_record(df: DataFrame, quantiles: Quantiles | None = None, exact: bool = True) -> DataFrame:
-    """One row: rows, columns (an array of per-column facts), distinct, top, duplicates.
+    """One row: rows, columns (an array of per-column facts), distinct, top.
 
     Its size grows with the number of columns only.
     """
@@ -80,7 +80,6 @@ def profile_record(df: DataFrame, quantiles: Quantiles | None = None, exact: boo
         "*",
         distinct.scalar().alias("distinct"),
         top.scalar().alias("top"),
-        duplicate_count(df).alias("duplicates"),
     )
 
 
@@ -171,9 +170,8 @@ def dataset_report(df: DataFrame, quantiles: Quantiles | None = None, exact: boo
     A few rows per column, whatever the size of the table.
     """
     n_of = {kind: len(fields_of_kind(df, kind)) for kind in (NUMERIC, TEXT, DATE)}
-    record = quality_of(
-        profile_record(df, quantiles, exact), len(df.columns), n_of[NUMERIC], "rows", "columns", "distinct", "top"
-    )
+    facts = profile_record(df, quantiles, exact).withColumn("duplicates", duplicate_count(df))
+    record = quality_of(facts, len(df.columns), n_of[NUMERIC], "rows", "columns", "distinct", "top")
     rows = F.col("rows")
 
     quality = _listed(
