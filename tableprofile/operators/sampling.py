@@ -6,6 +6,8 @@ are drawn on any cluster, whatever the partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +71,24 @@ def stratified_sample(
         return df
     if category is None:
         category = next((f.name for f in fields_of_kind(df, TEXT)), None)
-    categories = df.agg(F.count_distinct(category)).first()[0] if category is not None else 0
-    if not categories:
+    if category is None:
+        return random_sample(df, key, size, seed)
+
+    # Enough groups to tell whether there are more categories than rows wanted.
+    counts = {r[0]: r[1] for r in df.groupBy(category).count().limit(size + 2).collect()}
+    categories = len(counts) - (None in counts)
+    if categories == 0:
         return random_sample(df, key, size, seed)
+    if not keep_null:
+        counts.pop(None, None)
 
     quota = max(1, size // categories)
-    strata = categories + keep_null
     rows = df if keep_null else df.where(F.col(category).isNotNull())
     rows = rows.withColumn("_order", sample_order(F.col(key), seed))
-    near = _first_of_each(rows, category, quota) if strata <= size else _first_of_many(rows, category, size)
+    if len(counts) <= size:
+        near = _first_of_each(rows, category, quota, counts)
+    else:
+        near = _first_of_many(rows, category, size)
 
     # Literal quotas let Spark cut every task's rows per group before each shuffle.
     first = ["_order", key]
@@ -90,18 +101,17 @@ def stratified_sample(
         .withColumn("_rank", F.row_number().over(in_stratum))
         .where(F.col("_rank") <= quota)
     )
-    if strata * quota > size:
+    if len(counts) * quota > size:
         drawn = drawn.orderBy(*first).limit(size)
     return drawn.select(*df.columns)
 
 
-def _first_of_each(rows: DataFrame, category: str, quota: int) -> DataFrame:
+def _first_of_each(rows: DataFrame, category: str, quota: int, counts: Mapping[str | None, int]) -> DataFrame:
     """Rows among which are the first ``quota`` of every category; there are few categories.
 
     Each category has its own bound on the order. One count per category shows whether
     enough rows pass; if not, all rows are returned.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(category).count().collect()}
     bounds = {value: _bound(quota, n) for value, n in counts.items()}
     if all(b == PAST_ALL for b in bounds.values()):
         return rows
