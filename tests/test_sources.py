@@ -113,3 +113,11 @@ def test_synthetic_rows(spark):
     ages = df.agg(F.min("EDAD"), F.max("EDAD"), F.min("HORA"), F.max("HORA")).first()
     assert tuple(ages) == (15, 74, 0, 23)
     assert df.exceptAll(synthetic.synthetic_rows(spark, 3500).repartition(3)).count() == 0
+
+
+def test_scratch_paths_are_fresh_and_below_the_named_folder(spark):
+    from tableprofile.session import CHECKPOINT_CONF, scratch_path
+
+    first, second = scratch_path(spark, "t"), scratch_path(spark, "t")
+    assert first != second
+    assert first.startswith(spark.conf.get(CHECKPOINT_CONF))
