@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# For sessions of one process that name no shared folder, as in tests.
+LOCAL_SCRATCH = "file:///tmp/checkpoints"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "tableprofile") -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
@@ -27,13 +29,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``.
 
-    All executors must see what a job writes, so the cluster names the folder.
-    Only where it names none (local runs) is a temporary folder made.
+    All executors must see what a job writes, so the cluster names the folder. Only a
+    session on one machine that names none gets ``LOCAL_SCRATCH``.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tableprofile-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/tableprofile/{label}-{uuid.uuid4().hex}"
