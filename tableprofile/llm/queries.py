@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import byte_pairs, exact_dedup, ngram_join, token_files
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,32 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_pairs.encode_and_decode(_read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.drop("ids")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, folder, "documents"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    definition = public_tokenizers.path("byte_bpe_50k.json")
+    files = token_files.write_tokens(_read(spark, folder, "documents"), definition)
+    return token_files.read_tokens(files).drop("ids")
+
+
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_join(_read(spark, folder, "documents"), words=3, percent=90)
+
+
 def builders() -> dict[str, Build]:
-    return {f.__name__: f for f in (op4_exact_dedup,)}
+    return {f.__name__: f for f in (op2_byte_pairs, op4_exact_dedup, op6_token_files, op7_ngram_join)}
 
 
 def oracles() -> dict[str, str]:
