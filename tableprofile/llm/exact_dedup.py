@@ -98,6 +98,8 @@ def exact_dedup(
     groups = identity.groupBy("level", "hash", "tie").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    # Written, so that the join shuffles both sides anew and a large group can be split.
+    groups = stored(groups, "groups")
     return identity.join(groups, ["level", "hash", "tie"]).select(
         "doc_id",
         "keep_id",
