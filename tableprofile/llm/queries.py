@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, exact_dedup, ngram_join, token_files
+from . import byte_pairs, exact_dedup, language_id, language_model, ngram_join, quality, token_files
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,29 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, folder, "documents"), words=3, percent=90)
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.label_languages(_read(spark, folder, "documents"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(_read(spark, folder, "documents"))
+
+
 def builders() -> dict[str, Build]:
-    return {f.__name__: f for f in (op2_byte_pairs, op4_exact_dedup, op6_token_files, op7_ngram_join)}
+    operators = (
+        op2_byte_pairs,
+        op4_exact_dedup,
+        op6_token_files,
+        op7_ngram_join,
+        op8_language_id,
+        op9_quality,
+        op10_language_model,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracles() -> dict[str, str]:
