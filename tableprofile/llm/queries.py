@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, language_id, language_model, ngram_join, quality, token_files
+from . import byte_pairs, exact_dedup, language_id, language_model, nearest, ngram_join, quality, token_files
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,10 @@ def op2_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("ids")
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest_neighbours(_read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, folder, "documents"))
 
@@ -54,6 +59,7 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 def builders() -> dict[str, Build]:
     operators = (
         op2_byte_pairs,
+        op3_nearest,
         op4_exact_dedup,
         op6_token_files,
         op7_ngram_join,
