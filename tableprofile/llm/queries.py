@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, language_id, language_model, nearest, ngram_join, quality, token_files
+from . import byte_pairs, exact_dedup, language_id, language_model, nearest, ngram_join, packing, quality, token_files, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", url_filter.fetched_at(F.col("page_id")))
+    return url_filter.filter_urls(captures, url_filter.list_entries(pages))
+
+
 def op2_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, folder, "documents"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,9 +68,11 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def builders() -> dict[str, Build]:
     operators = (
+        op1_url_filter,
         op2_byte_pairs,
         op3_nearest,
         op4_exact_dedup,
+        op5_packing,
         op6_token_files,
         op7_ngram_join,
         op8_language_id,
@@ -71,4 +83,4 @@ def builders() -> dict[str, Build]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_packing": packing.sql()}
