@@ -10,10 +10,9 @@ from .common import stored
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``."""
-    roots = edges.select(F.col("v").alias("u"))
-    return (
-        edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(roots, "u", "left_semi").isEmpty()
-    )
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end")
+    nodes = edges.select(ends).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.min("end.up").alias("least"))
+    return nodes.where("up > 1 OR (up = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

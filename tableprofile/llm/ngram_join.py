@@ -16,8 +16,9 @@ from .common import mix, slices, stored, word_hashes
 from .components import components
 from .set_trie import similar
 
-# Documents of one trie. A larger block is dealt out over several tries.
-BLOCK_DOCS = 2000
+# Size of one trie; a document counts as one, and one more for each 1000 n-grams. A larger
+# block is dealt out over several tries.
+BLOCK_DOCS = 4000
 # Slots of the filter that keeps documents outside all blocks from being moved: a table of
 # at most so many numbers.
 FILTER_SLOTS = 1 << 20
@@ -157,10 +158,14 @@ def _blocks(sets: DataFrame) -> DataFrame:
     return stored(components(edges, "blocks").select(F.col("node"), F.col("root").alias("block")), "blocks")
 
 
+def _weight(n: Column) -> Column:
+    return 1 + F.floor(n / 1000)
+
+
 def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): the links that join the labels of the rows of each task, by a trie for each.
+    """(a, b): labels that links of a task join, b the smallest of them, by a trie for each task.
 
-    ``rows``: task string, doc_id, set_id, label, probe, text. A task ends before the next
+    ``rows``: task string, doc_id, set_id, label, probe, text. A label is an id. A task ends before the next
     one of its partition begins, so one trie at a time is in memory.
     """
 
@@ -171,9 +176,9 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             if doc not in seen and _set_id(sets[at]) == set_id:  # an id may have a second row, with another text
                 seen.add(doc)
                 kept.append(at)
-        pairs = similar([sets[i] for i in kept], [rows[i][2] for i in kept], [rows[i][3] for i in kept], percent)
-        ends = [[rows[kept[pair[side]]][0] for pair in pairs] for side in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+        joined = similar([sets[i] for i in kept], [rows[i][2] for i in kept], [rows[i][3] for i in kept], percent)
+        ends = pa.array(list(joined), pa.int64()), pa.array(list(joined.values()), pa.int64())
+        return pa.RecordBatch.from_arrays(list(ends), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -221,13 +226,11 @@ def _links_of_large_blocks(members: DataFrame, n: int, percent: int, block_docs:
     task = F.concat_ws("/", "block", "chunk").alias("task")
     rows = firsts.unionByName(others).select(task, *columns, F.col("doc_id").alias("label"), "probe")
     near = stored(_links(rows, n, percent), "links")
-    first = members.where("is_first").select(F.col("doc_id").alias("first"))
-    linked = near.join(first, F.col("a") == F.col("first")).select(
-        F.col("b").alias("doc_id"), F.lit(True).alias("linked")
-    )
+    linked = near.select(F.col("a").alias("doc_id"), F.lit(True).alias("linked"))
     marked = members.join(linked, "doc_id", "left").withColumn("linked", F.col("is_first") | F.coalesce("linked", F.lit(False)))
     counts = marked.groupBy("block").agg(
-        F.sum(F.col("linked").cast("long")).alias("n_linked"), F.sum((~F.col("linked")).cast("long")).alias("n_rest")
+        F.sum(F.when(F.col("linked"), F.col("weight")).otherwise(0)).alias("n_linked"),
+        F.sum(F.when(~F.col("linked"), F.col("weight")).otherwise(0)).alias("n_rest"),
     )
     placed = marked.drop("docs").join(counts.where("n_rest > 0"), "block")
     rest, core = placed.where("NOT linked"), placed.where("linked")
@@ -268,20 +271,20 @@ def ngram_join(
     nodes = stored(
         sets.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_id", "node")
-        .agg(F.min("doc_id").alias("doc_id")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")),
         "nodes",
     )
     blocks = _blocks(sets)
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("docs"))
-    members = stored(nodes.join(blocks, "node").join(sizes, "block").select("doc_id", "set_id", "block", "docs"), "members")
+    placed = stored(nodes.join(blocks, "node").select("doc_id", "set_id", "block", _weight(F.col("n")).alias("weight")), "placed")
+    # The first of a block is its smallest id: a window over blocks would gather a large one.
+    sizes = stored(placed.groupBy("block").agg(F.sum("weight").alias("docs"), F.min("doc_id").alias("first")), "sizes")
+    members = stored(placed.join(sizes, "block"), "members")
     slot = F.pmod(F.xxhash64("doc_id"), FILTER_SLOTS).cast("int")
     slots = members.select(slot.alias("slot")).distinct()
     # At most FILTER_SLOTS rows of four bytes are broadcast.
     some = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    # The first of a block is its smallest id: a window over blocks would gather a large one.
-    first = members.groupBy("block").agg(F.min("doc_id").alias("first"))
-    texts = some.join(members.join(first, "block"), "doc_id").select(
-        "doc_id", "set_id", F.col("first").alias("block"), "docs", (F.col("doc_id") == F.col("first")).alias("is_first"), "text"
+    texts = some.join(members, "doc_id").select(
+        "doc_id", "set_id", F.col("first").alias("block"), "docs", "weight", (F.col("doc_id") == F.col("first")).alias("is_first"), "text"
     )
     small = texts.where(F.col("docs") <= block_docs).select(
         F.col("block").cast("string").alias("task"), "doc_id", "set_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "text"
