@@ -25,6 +25,7 @@ HIDDEN = 12
 SPAN = 32  # bytes that the network sees at once; words beyond it are cut
 ROWS = 512  # of a training step
 STEPS = 500
+CLEAR_SCORE = 0.4  # mixed texts of two languages score more, noise less
 CACHE_WORDS = 1 << 19
 SEED = 7
 
@@ -157,13 +158,10 @@ class Labeller:
         for at, text in enumerate(texts):
             words = text.lower().split()
             places = list(map(self._places.get, words))
-            if None in places:
+            while None in places:  # a second time where the memory was emptied
                 self._learn({w for w, p in zip(words, places, strict=True) if p is None})
                 places = list(map(self._places.get, words))
-                if None in places:  # the memory was emptied
-                    self._learn({w for w, p in zip(words, places, strict=True) if p is None})
-                    places = list(map(self._places.get, words))
-            if places:
+            if places and self.network.languages:
                 counts = np.bincount(places)
                 seen = np.flatnonzero(counts)
                 size = counts[seen] @ self._sizes[seen]
@@ -173,11 +171,27 @@ class Labeller:
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         pooled = self.pooled(texts)
-        best = pooled.argmax(1) if pooled.shape[1] else np.zeros(len(texts), int)
-        scores = [float(min(1.0, row[i])) if len(row) else 0.0 for row, i in zip(pooled, best, strict=True)]
+        if not self.network.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        best = pooled.argmax(1)
+        scores = [float(min(1.0, row[i])) for row, i in zip(pooled, best, strict=True)]
         return [self.network.languages[i] if s else UNDETERMINED for i, s in zip(best, scores, strict=True)], scores
 
 
+_labellers: dict[bytes, Labeller] = {}  # of this worker
+
+
+def _labeller(network: ByteNetwork | None) -> Labeller:
+    """What a worker remembers of words outlives a task."""
+    if network is None:
+        return Labeller(ByteNetwork.random([], np.random.default_rng(SEED)))
+    key = network.out.tobytes()
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(network)
+    return _labellers[key]
+
+
 def fit(docs: DataFrame) -> ByteNetwork | None:
     """A network from documents (doc_id, text, lang) of the folds that may be learnt from; None without any.
 
@@ -229,10 +243,9 @@ def label_languages(df: DataFrame, doc: str = "doc_id", text: str = "text", lang
     network = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(network) if network else None
+        labeller = _labeller(network)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found, scores = labeller.label(texts) if labeller else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
+            found, scores = labeller.label([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -244,3 +257,22 @@ def label_languages(df: DataFrame, doc: str = "doc_id", text: str = "text", lang
         "lang_pred",
         "score",
     )
+
+
+def keep_clear(
+    df: DataFrame, least: float = CLEAR_SCORE, doc: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The rows of ``df`` in a language that ``label_languages`` knows, with a score of at least ``least``.
+
+    Rows stay as they are and are not moved.
+    """
+    docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"), column(lang).alias("lang"))
+    network = fit(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _labeller(network)
+        for batch in batches:
+            _, scores = labeller.label([t or "" for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -121,8 +121,8 @@ class Classifier:
         return model
 
 
-def _binary(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+def _binary(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
+    return [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
 
 
 def _features_of(docs: DataFrame, keys: DataFrame) -> np.ndarray:
@@ -159,6 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Class
     return Classifier.fit(positive, unlabelled, prior) if len(positive) else None
 
 
+def _model(df: DataFrame, labels: DataFrame, doc: str, text: str) -> Classifier | None:
+    docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
+    return fit(docs, labels.select(column(doc).cast("long").alias("doc_id"), "quality"))
+
+
+def _scores(model: Classifier | None, batch: pa.RecordBatch, text: str) -> np.ndarray:
+    texts = _binary(batch, text)
+    return model.score(features(texts)) if model else np.full(len(texts), 0.5)
+
+
 def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``df``.
 
@@ -166,14 +176,13 @@ def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
     scored, but not learnt from. Without a positive label to learn from, every score is
     0.5. Columns other than the id and the text are not looked at.
     """
+    model = _model(df, labels, doc, text)
     docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
-    model = fit(docs, labels.select(column(doc).cast("long").alias("doc_id"), "quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _binary(batch)
-            scores = model.score(features(texts)) if model else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = pa.array(_scores(model, batch, "text"), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
@@ -181,3 +190,14 @@ def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_good(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``score_quality`` predicts 1 for, as they are. No row is moved."""
+    model = _model(df, labels, doc, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch, text) >= THRESHOLD))
+
+    return df.mapInArrow(run, df.schema)
