@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
+from .common import in_arrow
 from .segments import SegmentCache
 
 # Prefixes up to this many bytes are remembered across pieces.
@@ -215,6 +216,6 @@ def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, doc: str = "
                 )
 
     rows = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+    return in_arrow(
+        rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
     ).withColumn("ids", F.coalesce("ids", F.lit(b"")))

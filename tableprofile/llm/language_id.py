@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
+from .common import in_arrow
 from .gru import Adam, Gru
 from .samples import fold
 
@@ -161,7 +162,7 @@ class Labeller:
             while None in places:  # a second time where the memory was emptied
                 self._learn({w for w, p in zip(words, places, strict=True) if p is None})
                 places = list(map(self._places.get, words))
-            if places and self.network.languages:
+            if places:
                 counts = np.bincount(places)
                 seen = np.flatnonzero(counts)
                 size = counts[seen] @ self._sizes[seen]
@@ -170,9 +171,9 @@ class Labeller:
         return out
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        pooled = self.pooled(texts)
         if not self.network.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        pooled = self.pooled(texts)
         best = pooled.argmax(1)
         scores = [float(min(1.0, row[i])) for row, i in zip(pooled, best, strict=True)]
         return [self.network.languages[i] if s else UNDETERMINED for i, s in zip(best, scores, strict=True)], scores
@@ -251,7 +252,7 @@ def label_languages(df: DataFrame, doc: str = "doc_id", text: str = "text", lang
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double").select(
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "lang_pred",
@@ -275,4 +276,4 @@ def keep_clear(
             _, scores = labeller.label([t or "" for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

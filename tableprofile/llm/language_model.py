@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import stored
+from .common import in_arrow, stored
 from .gru import Adam, Gru
 from .samples import fold
 
@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _suffix(word: bytes) -> str:
@@ -355,9 +355,9 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
             yield _row(part, seen, total)
 
     share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TRAIN_ONE_IN)) == 0).select("text")
-    trained = stored(share.mapInArrow(run, _SUM_SCHEMA), "trained")
+    trained = stored(in_arrow(share, run, _SUM_SCHEMA), "trained")
     # Sums in two steps, so that neither a task nor the driver gets what all tasks trained.
-    sums = trained.repartition(16, "part").mapInArrow(add, _SUM_SCHEMA).collect()
+    sums = in_arrow(trained.repartition(16, "part"), add, _SUM_SCHEMA).collect()
     seen = sum(r["seen"] for r in sums)
     if seen:
         parts = [pickle.loads(r["arrays"]) for r in sums]
@@ -419,7 +419,7 @@ def _score_rows(docs: DataFrame, words: Words, model: WordModel) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, _SCORED)
+    return in_arrow(docs, run, _SCORED)
 
 
 def score_texts(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import stored
+from .common import in_arrow, let_workers_import, stored
 
 SHARD_VECTORS = 8192
 QUERY_BLOCK = 1024
@@ -183,6 +183,7 @@ def index_vectors(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS
     nodes = stored(few.groupBy("vector").agg(F.collect_list("vec_id").alias("ids")), "vectors")
     shards = max(1, -(-nodes.count() // shard_vectors))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    let_workers_import(vectors.sparkSession)
     return stored(dealt.groupBy("shard").applyInArrow(_index_shard, _INDEX), "index"), shards
 
 
@@ -245,6 +246,6 @@ def nearest_neighbours(
                     [pa.array(v, t) for v, t in zip(out, types, strict=True)], ["query_id", "vec_id", "score"]
                 )
 
-    found = in_blocks.join(index, "shard").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = in_arrow(in_blocks.join(index, "shard"), run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

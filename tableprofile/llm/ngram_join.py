@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import mix, slices, stored, word_hashes
+from .common import in_arrow, mix, slices, stored, word_hashes
 from .components import components
 from .set_trie import similar
 
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "node", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, node long, keys array<long>")
+    return in_arrow(docs, run, "doc_id long, n_shingles long, set_id binary, node long, keys array<long>")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(sets: DataFrame) -> DataFrame:
     """(node, block): nodes with a chance of a link, and what holds all they can link to."""
-    met = sets.where(F.col("node").isNotNull()).select("node", "keys").mapInArrow(_meetings, "key long, a long, b long")
+    met = in_arrow(sets.where(F.col("node").isNotNull()).select("node", "keys"), _meetings, "key long, a long, b long")
     # A batch of 10,000 rows has sent one node a key, so the rows of a key stay few.
     heads = met.where(F.col("key").isNotNull()).select("key", "a")
     across = heads.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")).where("a != b")
@@ -195,7 +195,7 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             yield join(held)
 
     in_tasks = rows.repartition("task").sortWithinPartitions("task")
-    return in_tasks.mapInArrow(run, "a long, b long")
+    return in_arrow(in_tasks, run, "a long, b long")
 
 
 def _links_of_large_blocks(members: DataFrame, n: int, percent: int, block_docs: int) -> DataFrame:
@@ -263,8 +263,8 @@ def ngram_join(
     subtree when the tokens left cannot reach the overlap that a link needs.
 
     A text without words has an empty set and is linked with nothing, like a null one.
-    Each row of ``df`` gives one; a row without an id has no component. Other columns are
-    not looked at.
+    Each row of ``df`` gives one; an id with several texts is linked by all of them, and a row
+    without an id has no component. Other columns are not looked at.
     """
     docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
     sets = stored(_sets(docs, words, percent), "sets")

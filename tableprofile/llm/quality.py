@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import mix, slices, word_hashes
+from .common import in_arrow, mix, slices, word_hashes
 from .gru import Adam, sigmoid
 from .samples import fold, sample
 
@@ -132,7 +132,7 @@ def _features_of(docs: DataFrame, keys: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(features(_binary(batch))), pa.list_(pa.float32()))], ["x"])
 
-    rows = docs.join(F.broadcast(keys), "doc_id").select("text").mapInArrow(run, "x array<float>").toArrow()
+    rows = in_arrow(docs.join(F.broadcast(keys), "doc_id").select("text"), run, "x array<float>").toArrow()
     found = rows.column("x").combine_chunks()
     return found.flatten().to_numpy().reshape(-1, N_FEATURES)
 
@@ -184,7 +184,7 @@ def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
             scores = pa.array(_scores(model, batch, "text"), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double").select(
+    return in_arrow(docs, run, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"),
         "score",
@@ -200,4 +200,4 @@ def keep_good(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch, text) >= THRESHOLD))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

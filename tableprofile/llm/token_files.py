@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import stored
+from .common import in_arrow, stored
 from .segments import SegmentCache
 
 CHUNK_BITS = 8
@@ -168,7 +168,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, doc: str = "doc_id", text:
 
     rows = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
     in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(in_order.mapInArrow(run, SEGMENT_SCHEMA), "token-files")
+    return stored(in_arrow(in_order, run, SEGMENT_SCHEMA), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -200,4 +200,4 @@ def read_tokens(files: DataFrame) -> DataFrame:
     placed = files.join(F.broadcast(bases), "part").select(
         "doc_ids", "lengths", "codes", (F.col("base") + F.col("start_in_part")).alias("start")
     )
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return in_arrow(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
