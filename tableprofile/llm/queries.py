@@ -47,7 +47,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     definition = public_tokenizers.path("byte_bpe_50k.json")
     files = token_files.write_tokens(_read(spark, folder, "documents"), definition)
-    return token_files.read_tokens(files).drop("ids")
+    return token_files.read_tokens(files, with_ids=False).drop("ids")
 
 
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

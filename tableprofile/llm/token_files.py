@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ class Codes:
 
     @classmethod
     def pack(cls, ids: np.ndarray) -> Codes:
-        levels, rest = [], ids.astype(np.uint64)
+        levels, rest = [], ids.astype(np.uint32)
         while len(rest) or not levels:
-            more = rest >> np.uint64(CHUNK_BITS)
+            more = rest >> np.uint32(CHUNK_BITS)
             goes_on = more > 0
             counts = np.add.reduceat(goes_on, np.arange(0, len(rest), RANK_BITS), dtype=np.int64) if len(rest) else []
             directory = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
@@ -117,7 +118,7 @@ def _cache(definition: str) -> SegmentCache:
 
         def encode(segments: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            return [array("I", e.ids).tobytes() for e in found]
 
         _tokenizers.clear()
         _tokenizers[definition] = SegmentCache(encode)
@@ -171,10 +172,11 @@ def write_tokens(df: DataFrame, tokenizer_path: str, doc: str = "doc_id", text:
     return stored(in_arrow(in_order, run, SEGMENT_SCHEMA), "token-files")
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
+def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of each document, read from the token files.
 
-    ``start`` is the number of ids of all documents before it.
+    ``start`` is the number of ids of all documents before it. Without ``with_ids``, ``ids``
+    is null: they are read for the checksum, but not handed on.
     """
     # One row a part, of which there are as many as partitions at most.
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -192,7 +194,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         pa.array([row["start"] + a for a in ends[:-1]], pa.int64()),
                         pa.array(row["lengths"], pa.int64()),
                         pa.array([zlib.crc32(ids) for ids in texts], pa.int64()),
-                        pa.array([ids.tobytes() for ids in texts], pa.binary()),
+                        pa.array([ids.tobytes() if with_ids else None for ids in texts], pa.binary()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )

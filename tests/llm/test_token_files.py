@@ -39,4 +39,6 @@ def test_documents_come_back_in_order(spark, monkeypatch):
         at += len(ids)
     got = token_files.read_tokens(token_files.write_tokens(df, PATH)).drop("ids").collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    ids = {r.start: bytes(r.ids) for r in token_files.read_tokens(token_files.write_tokens(df, PATH)).collect()}
+    assert {start: zlib.crc32(data) for start, data in ids.items()} == {r[1]: r[3] for r in want}
     assert token_files.read_tokens(token_files.write_tokens(df.limit(0), PATH)).count() == 0
