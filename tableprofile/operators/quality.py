@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.missing import is_missing, value_or_null
 from .profile import Quantiles, distinct_counts, null_percent, quartiles
@@ -18,29 +19,32 @@ GOOD_SCORE, FAIR_SCORE = 80.0, 60.0
 FEW_VALUES = 10
 ID_LIKE_SHARE = 0.8
 
-# Most row hashes (8 bytes each) that are sent to every task.
-MAX_SHARED_HASHES = 1_000_000
 
+def _row_digest(df: DataFrame) -> Column:
+    """256 bits of all values of a row: equal exactly for equal rows, as far as SHA-256 tells texts apart.
 
-def duplicate_count(df: DataFrame, max_shared_hashes: int = MAX_SHARED_HASHES) -> Column:
+    Each value enters with its length, so values of neighbouring columns cannot be mixed up.
+    """
+
+    def part(f) -> Column:
+        c = comparable(f)
+        if isinstance(f.dataType, T.TimestampType):
+            c = F.unix_micros(c)  # as text, an hour comes twice when clocks go back
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0)  # -0 is 0
+        text = c.cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(*(part(f) for f in df.schema.fields), F.lit("")), 256))
+
+
+def duplicate_count(df: DataFrame) -> Column:
     """The number of rows beyond the first of their kind, as a scalar.
 
-    Equal rows have equal hashes, so a first job shuffles one 64-bit hash per row and
-    counts the hashes that several rows share. Most tables have none, and that settles
-    it. Otherwise only rows with a shared hash are grouped as a whole, which keeps rows
-    apart whose hashes are equal by chance. Where too many hashes are shared to send
-    them to every task, all rows are grouped. Copies meet in the map-side combine.
+    One scan and one shuffle of a 32-byte digest per different row of a task: copies meet
+    in the map-side combine.
     """
-    names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.select(*(comparable(f).alias(name) for f, name in zip(df.schema.fields, names)))
-    rows = rows.withColumn("_hash", F.xxhash64(*names))
-    shared = rows.groupBy("_hash").count().where(F.col("count") > 1).select("_hash")
-    n_shared = shared.count()
-    if n_shared == 0:
-        return F.lit(0).cast("long")
-    if n_shared <= max_shared_hashes:
-        rows = rows.join(F.broadcast(shared), "_hash", "left_semi")
-    groups = rows.groupBy(*names).count()
+    groups = df.select(_row_digest(df).alias("digest")).groupBy("digest").count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).scalar()
 
 

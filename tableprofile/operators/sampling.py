@@ -1,55 +1,55 @@
 """Reproducible samples.
 
 The order of a sample comes from the MD5 of a row key and a seed, so the same rows
-are drawn on any cluster, whatever the partitioning.
+are drawn on any cluster, whatever the partitioning. The size is always applied, in
+the same way for tables of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sample_order
-from .schema import TEXT, fields_of_kind, one_row
+from ..functions.names import column
+from .schema import TEXT, fields_of_kind
 
-# Tables up to this size are used whole, larger ones give this sample.
-WHOLE_TABLE_ROWS = 3000
+# Rows of a sample unless told otherwise, and its seed.
 SAMPLE_ROWS = 500
 SEED = 42
 
-# Sorts after every MD5 digest.
-PAST_ALL = "g"
-
 # Ranks are taken within slices of a stratum first, so no task sorts a whole stratum.
 SLICES = 32
+WEIGHT = "sample_weight"
 
 
-def exceeds(df: DataFrame, rows: int) -> bool:
-    """Whether the table has more than ``rows`` rows; reads no more than it needs."""
-    return len(df.select(F.lit(1)).take(rows + 1)) > rows
+def _free_prefix(df: DataFrame) -> str:
+    """What no column of the table begins with."""
+    prefix = "_"
+    while any(name.startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix
 
 
-def _bound(wanted: int, rows: int) -> str:
-    """A bound on the sample order that some more than ``wanted`` of ``rows`` rows should pass."""
-    share = (wanted + 10 * wanted**0.5 + 50) / max(rows, 1)
-    return f"{int(share * 16**12):012x}" if share < 0.5 else PAST_ALL
+def _all_columns(df: DataFrame) -> list[Column]:
+    return [column(name) for name in df.columns]
 
 
-def random_sample(df: DataFrame, key: str, size: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+def random_sample(
+    df: DataFrame, key: str, size: int = SAMPLE_ROWS, seed: int = SEED, weight: str | None = None
+) -> DataFrame:
     """The ``size`` rows that come first in the order of the sample key.
 
-    A bound keeps rows out of the sort that can hardly be among the first. Whether
-    enough rows pass it is counted; if not, all rows are sorted.
+    Each task keeps the first ``size`` rows it meets, so the table is neither sorted nor
+    counted. With ``weight``, a column of that name says how many rows of the table a row
+    of the sample stands for.
     """
-    ordered = df.withColumn("_order", sample_order(F.col(key), seed))
-    bound = _bound(size, df.count())
-    if bound != PAST_ALL:
-        near = ordered.where(F.col("_order") < bound)
-        if exceeds(near, size - 1):
-            ordered = near
-    return ordered.orderBy("_order", key).limit(size).drop("_order")
+    order = _free_prefix(df) + "order"
+    first = df.withColumn(order, sample_order(column(key), seed)).orderBy(order, column(key)).limit(size).drop(order)
+    if weight is None:
+        return first
+    rows = df.agg(F.count("*")).scalar()
+    return first.withColumn(weight, rows / F.least(rows, F.lit(size)))
 
 
 def stratified_sample(
@@ -58,91 +58,45 @@ def stratified_sample(
     category: str | None = None,
     size: int = SAMPLE_ROWS,
     seed: int = SEED,
-    whole_table_rows: int = WHOLE_TABLE_ROWS,
     keep_null: bool = False,
+    weight: str = WEIGHT,
 ) -> DataFrame:
-    """About ``size`` rows, equally many of every category.
+    """About ``size`` rows, equally many of every category, and at least one of each.
 
-    The category is the first text column unless given. Rows without a category are
-    left out unless ``keep_null``. Tables up to ``whole_table_rows`` come back whole,
-    tables without a category give a plain random sample.
+    The category is the first text column unless given; a table without one gives a plain
+    random sample. Rows without a category are left out unless ``keep_null`` is set or no
+    row has one. ``weight`` says how many rows of its stratum a row stands for. Where there
+    are more categories than ``size``, each of them keeps its first row.
     """
-    if not exceeds(df, whole_table_rows):
-        return df
     if category is None:
         category = next((f.name for f in fields_of_kind(df, TEXT)), None)
     if category is None:
-        return random_sample(df, key, size, seed)
-
-    # Enough groups to tell whether there are more categories than rows wanted.
-    counts = {r[0]: r[1] for r in df.groupBy(category).count().limit(size + 2).collect()}
-    categories = len(counts) - (None in counts)
-    if categories == 0:
-        return random_sample(df, key, size, seed)
-    if not keep_null:
-        counts.pop(None, None)
-
-    quota = max(1, size // categories)
-    rows = df if keep_null else df.where(F.col(category).isNotNull())
-    rows = rows.withColumn("_order", sample_order(F.col(key), seed))
-    if len(counts) <= size:
-        near = _first_of_each(rows, category, quota, counts)
-    else:
-        near = _first_of_many(rows, category, size)
-
-    # Literal quotas let Spark cut every task's rows per group before each shuffle.
-    first = ["_order", key]
-    in_slice = Window.partitionBy(category, "_slice").orderBy(*first)
-    in_stratum = Window.partitionBy(category).orderBy(*first)
+        return random_sample(df, key, size, seed, weight)
+
+    prefix = _free_prefix(df)
+    order, piece, rank, stratum, rows = (prefix + name for name in ("order", "slice", "rank", "stratum", "rows"))
+    strata = df.groupBy(column(category).alias(stratum)).agg(F.count("*").alias(rows))
+    categories = strata.agg(F.count(stratum)).scalar()
+    quota = F.greatest(F.lit(1), F.floor(F.lit(size) / F.greatest(categories, F.lit(1))))
+    wanted = F.lit(True) if keep_null else column(category).isNotNull() | (categories == 0)
+
+    # No quota is above the size; as a literal, it lets Spark cut every task's rows per
+    # group before each shuffle.
+    first = [F.col(order), column(key)]
+    in_slice = Window.partitionBy(column(category), F.col(piece)).orderBy(*first)
+    in_stratum = Window.partitionBy(column(category)).orderBy(*first)
     drawn = (
-        near.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
-        .withColumn("_rank", F.row_number().over(in_slice))
-        .where(F.col("_rank") <= quota)
-        .withColumn("_rank", F.row_number().over(in_stratum))
-        .where(F.col("_rank") <= quota)
-    )
-    if len(counts) * quota > size:
-        drawn = drawn.orderBy(*first).limit(size)
-    return drawn.select(*df.columns)
-
-
-def _first_of_each(rows: DataFrame, category: str, quota: int, counts: Mapping[str | None, int]) -> DataFrame:
-    """Rows among which are the first ``quota`` of every category; there are few categories.
-
-    Each category has its own bound on the order. One count per category shows whether
-    enough rows pass; if not, all rows are returned.
-    """
-    bounds = {value: _bound(quota, n) for value, n in counts.items()}
-    if all(b == PAST_ALL for b in bounds.values()):
-        return rows
-    table = one_row(rows).select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(v).cast(rows.schema[category].dataType).alias("_category"), F.lit(b).alias("_bound"))
-                    for v, b in bounds.items()
-                )
-            )
-        )
-    )
-    # At most as many rows as the sample has.
-    near = (
-        rows.join(F.broadcast(table), rows[category].eqNullSafe(table["_category"]))
-        .where(F.col("_order") < F.col("_bound"))
-        .select(*rows.columns)
+        df.where(wanted)
+        .withColumn(order, sample_order(column(key), seed))
+        .withColumn(piece, F.pmod(F.xxhash64(column(key)), F.lit(SLICES)))
+        .withColumn(rank, F.row_number().over(in_slice))
+        .where(F.col(rank) <= size)
+        .withColumn(rank, F.row_number().over(in_stratum))
+        .where(F.col(rank) <= size)
+        .where(F.col(rank) <= quota)
     )
-    passed = {r[0]: r[1] for r in near.groupBy(category).count().collect()}
-    return near if all(passed.get(v, 0) >= min(quota, n) for v, n in counts.items()) else rows
-
-
-def _first_of_many(rows: DataFrame, category: str, size: int) -> DataFrame:
-    """Rows among which are the ``size`` categories that come first, with their first row."""
-    bound = _bound(4 * size, rows.count())
-    if bound == PAST_ALL:
-        return rows
-    near = rows.where(F.col("_order") < bound)
-    groups = near.select(category).distinct().count()
-    return near if groups >= size else rows
+    weighed = drawn.join(strata, column(category).eqNullSafe(F.col(stratum)))
+    return weighed.select(*_all_columns(df), (F.col(rows) / F.least(quota, F.col(rows))).alias(weight))
 
 
 def sample_coverage(df: DataFrame, sample: DataFrame) -> DataFrame:

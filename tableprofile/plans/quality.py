@@ -33,6 +33,18 @@ def duplicate_rows_text(spark, folder):
     return quality.duplicate_rows(read(spark, folder, "documents").select("text", "lang", "n_chars"))
 
 
+@query(
+    "duplicate_rows_whole",
+    """WITH planted AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0)
+    SELECT (SELECT count(*) FROM planted) AS "rows", count(*) AS distinct_rows,
+    (SELECT count(*) FROM planted) - count(*) AS duplicates FROM (SELECT DISTINCT * FROM planted)""",
+)
+def duplicate_rows_whole(spark, folder):
+    """All columns, with planted copies."""
+    lines = read(spark, folder, "lineitem")
+    return quality.duplicate_rows(lines.unionByName(lines.where("l_orderkey % 7 = 0")))
+
+
 @query(
     "iqr_outliers",
     "WITH " + checks.facts("events", checks.EVENTS) + """

@@ -59,15 +59,11 @@ def test_one_scan_for_all_columns(spark, folder):
         assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
 
 
-def test_rows_are_shuffled_only_where_hashes_are_shared(spark, folder):
+def test_duplicates_take_one_scan_and_one_shuffle_of_digests(spark, folder):
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    assert "hashpartitioning" not in _plan(quality.duplicate_rows(orders))
-    repeated = orders.select("o_orderstatus", "o_orderpriority")
-    plan = _plan(quality.duplicate_rows(repeated))
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
-    everything = _plan(spark.range(1).select(quality.duplicate_count(repeated, max_shared_hashes=1)))
-    assert "LeftSemi" not in everything
-    assert everything.count("Exchange hashpartitioning") == 1 and "partial_count" in everything
+    plan = _plan(spark.range(1).select(quality.duplicate_count(orders)))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "partial_count" in plan and "Join" not in plan
 
 
 def test_each_value_type_is_scanned_for_its_own_columns(spark, folder):
@@ -100,4 +96,4 @@ def test_report_shuffles_text_values_once(spark, folder):
     df.collect()
     plan = _plan(df)
     assert "ReusedExchange [column" in plan
-    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 2  # distinct values and top values
+    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 3  # distinct values, top values, duplicates

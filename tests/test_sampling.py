@@ -16,9 +16,9 @@ def _table(spark, n=6000):
     return spark.range(n).select("id", third.alias("kind"))
 
 
-def test_random_sample_is_the_start_of_the_order_with_and_without_the_bound(spark):
+def test_random_sample_is_the_start_of_the_order(spark):
     df = _table(spark)
-    for size in (5, 40, 500):  # the first two are drawn through the bound
+    for size in (5, 40, 500):
         got = {r["id"] for r in sampling.random_sample(df.repartition(7), "id", size).collect()}
         assert got == _expected(range(6000), size)
 
@@ -34,11 +34,24 @@ def test_stratified_sample_takes_the_quota_of_every_stratum(spark):
     assert set(sample) == set(again)
 
 
-def test_small_tables_come_back_whole(spark):
-    df = _table(spark, 3000)
-    assert sampling.stratified_sample(df, "id").count() == 3000
-    assert not sampling.exceeds(df, 3000)
-    assert sampling.exceeds(df, 2999)
+def test_the_size_is_applied_to_tables_of_any_size(spark):
+    for n in (3000, 6000):
+        sample = stratified(spark, n)
+        assert sample.count() == 60 // 6 * 6
+        assert round(sample.agg(F.sum("sample_weight")).first()[0]) == n
+
+
+def stratified(spark, n):
+    return sampling.stratified_sample(_table(spark, n), "id", size=60)
+
+
+def test_column_names_of_any_kind(spark):
+    df = _table(spark, 300).select("id", F.col("kind").alias("a.b"), F.lit(7).alias("_order"), F.lit(8).alias("_rank"), F.lit(9).alias("__slice"))
+    sample = sampling.stratified_sample(df, "id", size=30)
+    assert sample.columns == [*df.columns, "sample_weight"]
+    assert sample.select("_order", "_rank", "__slice").distinct().collect() == [(7, 8, 9)]
+    plain = sampling.random_sample(df, "id", 30)
+    assert plain.columns == df.columns and plain.select("_order").distinct().collect() == [(7,)]
 
 
 def test_rows_without_a_category(spark):
@@ -54,18 +67,8 @@ def test_rows_without_a_category(spark):
 def test_more_categories_than_rows_wanted(spark):
     df = spark.range(6000).select("id", (F.col("id") % 800).cast("string").alias("kind"))
     sample = sampling.stratified_sample(df, "id")
-    assert sample.count() == 500
-    assert sample.select("kind").distinct().count() == 500
-
-
-def test_bounds_do_not_change_the_sample(spark, monkeypatch):
-    many = spark.range(20_000).select("id", (F.col("id") % 7000).cast("string").alias("kind"))
-    few = _table(spark, 20_000)
-    bounded = [sampling.stratified_sample(t, "id", size=30).collect() for t in (many, few)]
-    for wrong in (lambda wanted, rows: sampling.PAST_ALL, lambda wanted, rows: "0000"):  # no bound, too tight a bound
-        monkeypatch.setattr(sampling, "_bound", wrong)
-        assert [set(sampling.stratified_sample(t, "id", size=30).collect()) for t in (many, few)] == [set(b) for b in bounded]
-        assert {r["id"] for r in sampling.random_sample(few, "id", 30).collect()} == _expected(range(20_000), 30)
+    assert sample.count() == sample.select("kind").distinct().count() == 800
+    assert sample.agg(F.sum("sample_weight")).first()[0] == 6000
 
 
 def test_coverage(spark):
