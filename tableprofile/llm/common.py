@@ -65,6 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, up to ``n``."""
     if not _powers or len(_powers[0]) < n:
+        n = max(n, 1 << 21)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = []
         for base in (_BASE, inverse):
@@ -83,14 +84,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _IS_SPACE[joined]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _tables(1 << max(20, len(joined).bit_length()))
+    power, inverse = _tables(len(joined))
     sums = np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], dtype=np.uint64)
     hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
     begins = np.cumsum([1] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, begins)
 
 
-def slices(texts: list[bytes], limit: int = 1 << 22):
+def slices(texts: list[bytes], limit: int = 1 << 20):
     """(from, to) of runs of texts of about ``limit`` bytes each; a longer text is a run alone."""
     start = size = 0
     for i, text in enumerate(texts):

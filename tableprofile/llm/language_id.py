@@ -28,6 +28,7 @@ ROWS = 512  # of a training step
 STEPS = 500
 CLEAR_SCORE = 0.4  # mixed texts of two languages score more, noise less
 CACHE_WORDS = 1 << 19
+GROUP_WORDS = 1 << 17  # looked up together
 SEED = 7
 
 
@@ -129,46 +130,65 @@ class Labeller:
 
     def __init__(self, network: ByteNetwork):
         self.network = network
-        self._forget()
-
-    def _forget(self) -> None:
         self._places: dict[str, int] = {}
-        self._sums = np.zeros((0, len(self.network.languages)))
-        self._sizes = np.zeros(0)
+        self._sums = np.zeros((CACHE_WORDS, len(network.languages)), np.float32)
+        self._sizes = np.zeros(CACHE_WORDS, np.int32)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self._places) + len(words) > CACHE_WORDS:
-            self._forget()
-        new = sorted(words)
+        first, new = len(self._places), sorted(words)
         spans, owners = [], []
-        for i, word in enumerate(new):
+        for i, word in enumerate(new, first):
             if any(map(str.isalpha, word)):  # others say nothing
                 parts = _spans(word)
                 spans += parts
                 owners += [i] * len(parts)
-        sums, sizes = np.zeros((len(new), len(self.network.languages))), np.zeros(len(new))
+        self._sums[first : first + len(new)], self._sizes[first : first + len(new)] = 0, 0
         if spans:
-            np.add.at(sums, owners, self.network.sums(spans))
-            np.add.at(sizes, owners, [len(s) for s in spans])
-        self._places.update(zip(new, range(len(self._places), len(self._places) + len(new)), strict=True))
-        self._sums, self._sizes = np.concatenate([self._sums, sums]), np.concatenate([self._sizes, sizes])
+            np.add.at(self._sums, owners, self.network.sums(spans).astype(np.float32))
+            np.add.at(self._sizes, owners, np.array([len(s) for s in spans], np.int32))
+        self._places.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The places of the words, at most ``GROUP_WORDS``, in the memory."""
+        places = list(map(self._places.get, words))
+        if None in places:
+            unseen = {w for w, p in zip(words, places, strict=True) if p is None}
+            if len(self._places) + len(unseen) > CACHE_WORDS:
+                self._places.clear()
+                unseen = set(words)
+            self._learn(unseen)
+            places = list(map(self._places.get, words))
+        return np.array(places, np.intp)
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        """The mean of the probabilities over all bytes of words with a letter; zeros without any."""
-        out = np.zeros((len(texts), len(self.network.languages)))
-        for at, text in enumerate(texts):
-            words = text.lower().split()
-            places = list(map(self._places.get, words))
-            while None in places:  # a second time where the memory was emptied
-                self._learn({w for w, p in zip(words, places, strict=True) if p is None})
-                places = list(map(self._places.get, words))
-            if places:
-                counts = np.bincount(places)
-                seen = np.flatnonzero(counts)
-                size = counts[seen] @ self._sizes[seen]
-                if size:
-                    out[at] = counts[seen] @ self._sums[seen] / size
-        return out
+        """The mean of the probabilities over all bytes of words with a letter; zeros without any.
+
+        Words of several texts are looked up together, and those of a long text in turns.
+        """
+        sums, sizes = np.zeros((len(texts), len(self.network.languages))), np.zeros(len(texts))
+        words: list[str] = []
+        pieces: list[tuple[int, int]] = []  # (text, words of it)
+
+        def look_up() -> None:
+            places, at = self._known(words), 0
+            for text, n in pieces:
+                own = places[at : at + n]
+                sums[text] += self._sums[own].sum(0, dtype=np.float64)
+                sizes[text] += self._sizes[own].sum(dtype=np.int64)
+                at += n
+            words.clear()
+            pieces.clear()
+
+        for i, text in enumerate(texts):
+            own = text.lower().split()
+            for at in range(0, len(own), GROUP_WORDS):
+                part = own[at : at + GROUP_WORDS]
+                if len(words) + len(part) > GROUP_WORDS:
+                    look_up()
+                words += part
+                pieces.append((i, len(part)))
+        look_up()
+        return np.divide(sums, sizes[:, None], out=np.zeros_like(sums), where=sizes[:, None] > 0)
 
     def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.network.languages:
