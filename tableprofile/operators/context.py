@@ -1,11 +1,16 @@
-"""Prompts: a question put together with the document and table facts it needs."""
+"""Prompts: a question put together with the document and table facts it needs.
+
+Contexts are rows (doc, text), or windows of documents as ``document_windows`` gives
+them: then there is one prompt for each question and window, with the window's place, so
+that a question is asked about the whole document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters of a document that go into each kind of prompt.
+# Characters of a document that go into one prompt of each kind.
 DOCUMENT_CHARS = 100_000
 UNIFIED_CHARS = 5_000
 SUMMARY_CHARS = 3_000
@@ -18,10 +23,17 @@ SUMMARY_TASK = "Write a short summary that combines the document and the table s
 TABLE_TASK = "Answer from the table statistics below. Give figures, patterns and recommendations."
 
 
+PLACE = ("part_no", "window_no")
+
+
+def _place(contexts: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in contexts.columns]
+
+
 def _joined(questions: DataFrame, contexts: DataFrame, doc: str) -> DataFrame:
-    # An equi-join on the document: many questions on one document are a skewed key
-    # on the question side, which adaptive execution splits.
-    return questions.join(contexts.select(doc, F.col("text").alias("_context")), doc, "left")
+    # Both sides are shuffled for this join alone (parts are grouped by document and part),
+    # so adaptive execution can split a document with very many questions or windows.
+    return questions.join(contexts.select(doc, *_place(contexts), F.col("text").alias("_context")), doc, "left")
 
 
 def _block(title: str, text: Column) -> Column:
@@ -37,7 +49,7 @@ def document_prompt(questions: DataFrame, contexts: DataFrame, doc: str = "doc_i
     prompt = F.concat(
         F.lit(task), F.lit("\n\n[document]\n"), F.col("_context"), F.lit("\n\n[question]\n"), F.col("question")
     )
-    return _joined(questions, contexts, doc).select(*questions.columns, prompt.alias("prompt"))
+    return _joined(questions, contexts, doc).select(*questions.columns, *_place(contexts), prompt.alias("prompt"))
 
 
 def unified_prompt(
@@ -57,12 +69,12 @@ def unified_prompt(
     return (
         _joined(questions, contexts, doc)
         .withColumn("_report", report.select("text").scalar())
-        .select(*questions.columns, prompt.alias("prompt"))
+        .select(*questions.columns, *_place(contexts), prompt.alias("prompt"))
     )
 
 
 def summary_prompt(contexts: DataFrame, report: DataFrame, doc: str = "doc_id", task: str = SUMMARY_TASK) -> DataFrame:
-    """One prompt per document for a summary of it and of a table's report."""
+    """One prompt per document, or per window of it, for a summary of it and of a table's report."""
 
     def or_missing(text: Column) -> Column:
         return F.when(F.length(text) > 0, text).otherwise(NOT_AVAILABLE)
@@ -74,7 +86,9 @@ def summary_prompt(contexts: DataFrame, report: DataFrame, doc: str = "doc_id",
         F.lit("\n\n[table statistics]\n"),
         or_missing(F.col("_report")),
     )
-    return contexts.withColumn("_report", report.select("text").scalar()).select(doc, prompt.alias("prompt"))
+    return contexts.withColumn("_report", report.select("text").scalar()).select(
+        doc, *_place(contexts), prompt.alias("prompt")
+    )
 
 
 def table_prompt(questions: DataFrame, summary: DataFrame, task: str = TABLE_TASK) -> DataFrame:

@@ -35,30 +35,45 @@ def assemble_pages(
     into one task. ``doc`` and ``page`` (from 0 or 1) identify a row. A row without a page
     number, as a failed extraction gives, adds no text.
     """
+    part_no = F.coalesce(F.floor(F.col(page) / pages_per_part), F.lit(0)).alias("part_no")
+    rows = pages.select(
+        doc,
+        part_no,
+        F.col(page).alias("_number"),
+        F.struct(F.col(page).alias("page"), _with_marker(F.col(page), F.col(text)).alias("text")).alias("_page"),
+        F.lit(False).alias("_end"),
+    )
+    # Only the end of a document is stripped. One row without text tells the last part that
+    # it is the last, so texts move once, by part, and a document is never gathered.
+    ends = pages.groupBy(doc).agg(F.max(page).alias(page)).select(doc, part_no, F.lit(True).alias("_end"))
     parts = (
-        pages.select(
-            doc,
-            F.coalesce(F.floor(F.col(page) / pages_per_part), F.lit(0)).alias("part_no"),
-            F.col(page).alias("_number"),
-            F.struct(F.col(page).alias("page"), _with_marker(F.col(page), F.col(text)).alias("text")).alias("_page"),
-        )
+        rows.unionByName(ends, allowMissingColumns=True)
         .groupBy(doc, "part_no")
-        .agg(F.count("_number").alias("n_pages"), F.array_sort(F.collect_list("_page")).alias("_pages"))
-    )
-    # Only the end of a document is stripped. Which part ends a document has to be looked
-    # up for long documents alone; a filter on the page number leaves few rows for it.
-    long_ends = (
-        pages.where(F.col(page) >= pages_per_part)
-        .groupBy(doc)
-        .agg(F.floor(F.max(page) / pages_per_part).alias("_last"))
+        .agg(
+            F.count("_number").alias("n_pages"),
+            F.array_sort(F.collect_list("_page")).alias("_pages"),
+            F.max("_end").alias("_end"),
+        )
     )
     joined = F.array_join(F.transform("_pages", lambda p: p["text"]), "")
-    is_end = F.col("part_no") == F.coalesce("_last", F.lit(0))
-    text_of_part = F.when(is_end, F.rtrim(joined, F.lit(WHITESPACE))).otherwise(joined)
-    assembled = parts.join(long_ends, doc, "left").select(doc, "part_no", "n_pages", text_of_part.alias("text"))
+    text_of_part = F.when(F.col("_end"), F.rtrim(joined, F.lit(WHITESPACE))).otherwise(joined)
+    assembled = parts.select(doc, "part_no", "n_pages", text_of_part.alias("text"))
     return assembled.select(doc, "part_no", "n_pages", F.length("text").cast("long").alias("chars"), "text")
 
 
+def document_windows(parts: DataFrame, chars: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, part_no, window_no, text): each part in windows of ``chars`` characters.
+
+    In order, the windows of a document are the whole document. An empty part is one empty
+    window. No row is moved, and a window belongs to one part, so a document of any length
+    is spread over as many tasks as its parts were.
+    """
+    last = F.greatest(F.lit(1), F.ceil(F.length("text") / chars)).cast("int") - 1
+    windows = parts.select(doc, "part_no", "text", F.explode(F.sequence(F.lit(0), last)).alias("window_no"))
+    text = F.substring(F.col("text"), F.col("window_no") * chars + 1, F.lit(chars))
+    return windows.select(doc, "part_no", "window_no", F.coalesce(text, F.lit("")).alias("text"))
+
+
 def document_context(parts: DataFrame, chars: int, doc: str = "doc_id") -> DataFrame:
     """(doc, text, truncated): the first ``chars`` characters of each assembled document.
 

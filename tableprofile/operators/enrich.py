@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: characters kept of an answer about a table alone; other answers stay whole.
-TABLE_ANSWER_CHARS = 4000
 EMPTY_ANSWER = "(no answer)"
 FAILED_ANSWER = "(the answer could not be generated)"
 
@@ -21,15 +20,14 @@ def answer_prompts(
     make_answer: Callable[[], Answer],
     prompt: str = "prompt",
     tasks: int | None = None,
-    max_chars: int | None = None,
 ) -> DataFrame:
     """Replace the prompt by ``answer`` and ``error``.
 
     ``make_answer`` is called once per task and returns the function that answers one
     prompt, so that a client is opened once per task. A prompt that fails gives a
     fixed text and the error, and the others go on. A task that is repeated asks again.
-    ``tasks`` spreads slow calls over more tasks than the size of the prompts asks for;
-    ``max_chars`` cuts answers.
+    ``tasks`` spreads slow calls over more tasks than the size of the prompts asks for.
+    Answers stay whole.
     """
     if tasks is not None:
         prompts = prompts.repartition(tasks)
@@ -46,7 +44,7 @@ def answer_prompts(
                 said = (answer(text) or "").strip()
             except Exception as e:  # noqa: BLE001 - any failure of the injected function
                 return FAILED_ANSWER, f"{type(e).__name__}: {e}"
-            return said[:max_chars] or EMPTY_ANSWER, None
+            return said or EMPTY_ANSWER, None
 
         for batch in batches:
             answers = [one(text) for text in batch[prompt]]
@@ -64,11 +62,22 @@ def batch_answers(
     make_answer: Callable[[], Answer],
     keys: Sequence[str] = ("question",),
     tasks: int | None = None,
-    max_chars: int | None = None,
 ) -> DataFrame:
     """Answer every different question once.
 
     Repeated questions collapse before prompts are built, so copies cost no call and
     the long prompts are not shuffled for it.
     """
-    return answer_prompts(build_prompts(questions.select(*keys).distinct()), make_answer, tasks=tasks, max_chars=max_chars)
+    return answer_prompts(build_prompts(questions.select(*keys).distinct()), make_answer, tasks=tasks)
+
+
+def gather_answers(answers: DataFrame, keys: Sequence[str] = ("doc_id", "question")) -> DataFrame:
+    """One row per question: its answers from all windows, in the order of the document, and how many failed.
+
+    ``answers`` comes from prompts on windows. A row holds one document's answers, not texts.
+    """
+    place = F.struct("part_no", "window_no", "answer")
+    return answers.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(place)), lambda a: a["answer"]).alias("answers"),
+        F.count("error").alias("failed"),
+    )

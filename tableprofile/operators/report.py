@@ -17,9 +17,7 @@ from .profile import Quantiles, data_bytes, distinct_counts, quartiles, text_val
 from .quality import FEW_VALUES, ID_LIKE_SHARE, advice_on, duplicate_count, outlier_count, quality_of
 from .schema import DATE, NUMERIC, TEXT, column_array, fields_of_kind, kind_of
 
-# Longest summary of a table, longest value shown, top values per column.
-MAX_SUMMARY_CHARS = 8000
-SHOWN_VALUE_CHARS = 40
+# Fixed value: top values per column.
 TOP_VALUES = 5
 
 SECTIONS = (
@@ -217,7 +215,7 @@ def dataset_report(df: DataFrame, quantiles: Quantiles | None = None, exact: boo
         return _column_rows("numeric", c, c["column"], values)
 
     def frequent(t: Column, c: Column) -> list[Column]:
-        label = F.concat_ws(" ", t["column"], F.concat(t["rank"].cast("string"), F.lit(".")), F.substring(t["value"], 1, SHOWN_VALUE_CHARS))
+        label = F.concat_ws(" ", t["column"], F.concat(t["rank"].cast("string"), F.lit(".")), t["value"])
         at = c["position"] * 100 + t["rank"] * 2
         return [
             _row("categorical", at, F.concat(label, F.lit(" count")), t["count"]),
@@ -269,10 +267,8 @@ def report_text(report: DataFrame) -> DataFrame:
 # Summary --------------------------------------------------------------------
 
 
-def context_summary(
-    df: DataFrame, quantiles: Quantiles | None = None, chars: int = MAX_SUMMARY_CHARS, exact: bool = True
-) -> DataFrame:
-    """One row, one text: shape, columns, numeric description, most frequent values."""
+def context_summary(df: DataFrame, quantiles: Quantiles | None = None, exact: bool = True) -> DataFrame:
+    """One row, one text: shape, columns, numeric description, most frequent values; all of them."""
 
     def described(c: Column) -> list[Column]:
         values = {"count": F.col("rows") - c["nulls"], **{n: c[n] for n in ("mean", "std", "min", "p25", "p50", "p75", "max")}}
@@ -293,4 +289,4 @@ def context_summary(
     frequent = F.transform(F.array_sort(in_order), lambda r: r["line"])
     lines = F.concat(shape, columns, _each(described, NUMERIC), frequent)
     record = profile_record(df, quantiles, exact)
-    return record.select(F.substring(F.array_join(lines, "\n"), 1, chars).alias("text"))
+    return record.select(F.array_join(lines, "\n").alias("text"))

@@ -161,7 +161,7 @@ def report_ctes(table: str, columns: Columns) -> str:
         "SELECT 'numeric', 4, position * 10 + 5, col || ' outliers', outliers FROM facts WHERE outliers > 0",
         _unpivot(
             "categorical", 5, "tops", "position * 100 + rnk * 2 + {i}",
-            "col || ' ' || rnk || '. ' || substr(val, 1, 40) || ' {name}'",
+            "col || ' ' || rnk || '. ' || val || ' {name}'",
             {"count": "cnt", "share": "cnt / filled * 100"},
         ),
         "SELECT 'issues', 6, row_number() OVER (ORDER BY ord), issue, value FROM issues",
@@ -201,4 +201,4 @@ summary_lines AS (
     UNION ALL SELECT 2, position, 'column ' || col || ' (' || dtype || ')' FROM facts
     UNION ALL SELECT 3, position, 'numeric ' || col || ': ' || {figures} FROM facts WHERE kind = 'numeric'
     UNION ALL SELECT 4, position * 10 + rnk, 'top ' || col || ' ' || rnk || '. ' || val || ': ' || cnt FROM tops),
-summary_text AS (SELECT substr(string_agg(line, chr(10) ORDER BY block, ord), 1, 8000) AS text FROM summary_lines)"""
+summary_text AS (SELECT string_agg(line, chr(10) ORDER BY block, ord) AS text FROM summary_lines)"""

@@ -85,41 +85,77 @@ def _prompt_sql(task: str, *blocks: tuple[str, str]) -> str:
     return " || ".join(parts)
 
 
+def _windows_sql(chars: int) -> str:
+    """CTE ``windows``: the assembled documents in windows."""
+    return f"""windows AS (SELECT conv_id, part_no, w::INT AS window_no, substr(text, (w * {chars} + 1)::BIGINT, {chars}) AS text
+    FROM (SELECT *, unnest(range(greatest(1, ceil(length(text) / {chars}))::BIGINT)) AS w FROM assembled))"""
+
+
+def _windows(spark, folder, chars):
+    return documents.document_windows(_assembled(spark, folder), chars, "conv_id")
+
+
+@query(
+    "assemble_pages_small_parts",
+    r"""SELECT *, length(text) AS chars FROM (SELECT conv_id, part_no, n_pages,
+      CASE WHEN part_no = max(part_no) OVER (PARTITION BY conv_id) THEN regexp_replace(text, '\s+$', '') ELSE text END AS text
+    FROM (SELECT conv_id, turn // 2 AS part_no, count(*) AS n_pages,
+      string_agg('--- PÁGINA ' || turn || ' ---' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS text
+      FROM conversations GROUP BY conv_id, turn // 2))""",
+)
+def assemble_pages_small_parts(spark, folder):
+    """Documents of several parts."""
+    return documents.assemble_pages(read(spark, folder, "conversations"), "conv_id", "turn", pages_per_part=2)
+
+
+@query(
+    "document_windows",
+    """SELECT doc_id, 0::BIGINT AS part_no, w::INT AS window_no, substr(text, (w * 2000 + 1)::BIGINT, 2000) AS text
+    FROM (SELECT *, unnest(range(greatest(1, ceil(length(text) / 2000))::BIGINT)) AS w FROM documents)""",
+)
+def document_windows(spark, folder):
+    """Many documents are longer than a window."""
+    parts = read(spark, folder, "documents").withColumn("part_no", F.lit(0).cast("long"))
+    return documents.document_windows(parts, 2000)
+
+
 @query(
     "document_prompt",
-    "WITH " + _ASSEMBLED + ", " + _QUESTIONS + f"""
-    SELECT conv_id, question, {_prompt_sql(context.DOCUMENT_TASK, ("document", "substr(text, 1, 100000)"), ("question", "question"))}
-    AS prompt FROM questions JOIN assembled USING (conv_id)""",
+    "WITH " + _ASSEMBLED + ", " + _windows_sql(context.DOCUMENT_CHARS) + ", " + _QUESTIONS + f"""
+    SELECT conv_id, question, part_no, window_no, {_prompt_sql(context.DOCUMENT_TASK, ("document", "text"), ("question", "question"))}
+    AS prompt FROM questions JOIN windows USING (conv_id)""",
 )
 def document_prompt(spark, folder):
-    texts = documents.document_context(_assembled(spark, folder), context.DOCUMENT_CHARS, "conv_id")
-    return context.document_prompt(_questions(spark, folder), texts, "conv_id")
+    windows = _windows(spark, folder, context.DOCUMENT_CHARS)
+    return context.document_prompt(_questions(spark, folder), windows, "conv_id")
 
 
 @query(
     "unified_prompt",
-    "WITH " + _ASSEMBLED + ", " + _QUESTIONS + ", " + checks.report_text_cte("customer", checks.CUSTOMER) + f"""
-    SELECT conv_id, question, {_prompt_sql(
-        context.UNIFIED_TASK, ("document", "substr(a.text, 1, 5000)"), ("table statistics", "r.text"), ("question", "question")
-    )} AS prompt FROM questions JOIN assembled a USING (conv_id), report_text r""",
+    "WITH " + _ASSEMBLED + ", " + _windows_sql(context.UNIFIED_CHARS) + ", " + _QUESTIONS + ", "
+    + checks.report_text_cte("customer", checks.CUSTOMER) + f"""
+    SELECT conv_id, question, part_no, window_no, {_prompt_sql(
+        context.UNIFIED_TASK, ("document", "w.text"), ("table statistics", "r.text"), ("question", "question")
+    )} AS prompt FROM questions JOIN windows w USING (conv_id), report_text r""",
 )
 def unified_prompt(spark, folder):
-    texts = documents.document_context(_assembled(spark, folder), context.UNIFIED_CHARS, "conv_id")
+    windows = _windows(spark, folder, context.UNIFIED_CHARS)
     table = report.report_text(report.dataset_report(read(spark, folder, "customer")))
-    return context.unified_prompt(_questions(spark, folder), texts, table, "conv_id")
+    return context.unified_prompt(_questions(spark, folder), windows, table, "conv_id")
 
 
 @query(
     "summary_prompt",
-    "WITH " + _ASSEMBLED + ", " + checks.report_text_cte("customer", checks.CUSTOMER) + f"""
-    SELECT conv_id, {_prompt_sql(
-        context.SUMMARY_TASK, ("document", "substr(a.text, 1, 3000)"), ("table statistics", "r.text")
-    )} AS prompt FROM assembled a, report_text r""",
+    "WITH " + _ASSEMBLED + ", " + _windows_sql(context.SUMMARY_CHARS) + ", "
+    + checks.report_text_cte("customer", checks.CUSTOMER) + f"""
+    SELECT conv_id, part_no, window_no, {_prompt_sql(
+        context.SUMMARY_TASK, ("document", "w.text"), ("table statistics", "r.text")
+    )} AS prompt FROM windows w, report_text r""",
 )
 def summary_prompt(spark, folder):
-    texts = documents.document_context(_assembled(spark, folder), context.SUMMARY_CHARS, "conv_id")
+    windows = _windows(spark, folder, context.SUMMARY_CHARS)
     table = report.report_text(report.dataset_report(read(spark, folder, "customer")))
-    return context.summary_prompt(texts, table, "conv_id")
+    return context.summary_prompt(windows, table, "conv_id")
 
 
 @query(
@@ -147,20 +183,32 @@ def counting_client():
     return make_answer
 
 
-@query(
-    "batch_answers",
-    "WITH " + _ASSEMBLED + ", " + _QUESTIONS + f""", prompts AS (
-    SELECT conv_id, question, {_prompt_sql(context.DOCUMENT_TASK, ("document", "substr(text, 1, 100000)"), ("question", "question"))}
-    AS prompt FROM (SELECT DISTINCT * FROM questions) JOIN assembled USING (conv_id))
-    SELECT conv_id, question,
+# Small windows, so that many documents have several.
+_ANSWER_CHARS = 400
+_ANSWERS = "WITH " + _ASSEMBLED + ", " + _windows_sql(_ANSWER_CHARS) + ", " + _QUESTIONS + f""", prompts AS (
+    SELECT conv_id, question, part_no, window_no,
+      {_prompt_sql(context.DOCUMENT_TASK, ("document", "text"), ("question", "question"))} AS prompt
+    FROM (SELECT DISTINCT * FROM questions) JOIN windows USING (conv_id)),
+    answers AS (SELECT conv_id, question, part_no, window_no,
     CASE WHEN contains(prompt, '#') THEN '{enrich.FAILED_ANSWER}' ELSE length(prompt) || ' characters' END AS answer,
-    CASE WHEN contains(prompt, '#') THEN 'ValueError: unreadable prompt' END AS error FROM prompts""",
-)
+    CASE WHEN contains(prompt, '#') THEN 'ValueError: unreadable prompt' END AS error FROM prompts)"""
+
+
+@query("batch_answers", _ANSWERS + " SELECT * FROM answers")
 def batch_answers(spark, folder):
-    texts = documents.document_context(_assembled(spark, folder), context.DOCUMENT_CHARS, "conv_id")
+    windows = _windows(spark, folder, _ANSWER_CHARS)
     return enrich.batch_answers(
         _questions(spark, folder),
-        lambda questions: context.document_prompt(questions, texts, "conv_id"),
+        lambda questions: context.document_prompt(questions, windows, "conv_id"),
         counting_client(),
         keys=("conv_id", "question"),
     )
+
+
+@query(
+    "gather_answers",
+    _ANSWERS + """ SELECT conv_id, question, list(answer ORDER BY part_no, window_no) AS answers, count(error) AS failed
+    FROM answers GROUP BY conv_id, question""",
+)
+def gather_answers(spark, folder):
+    return enrich.gather_answers(batch_answers(spark, folder), ("conv_id", "question"))

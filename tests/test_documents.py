@@ -54,6 +54,28 @@ def test_context_is_the_start_of_the_document(pages, pages_per_part, chars):
     assert got == {d: (t[:chars], len(t) > chars) for d, t in _whole(pages).items()}
 
 
+@pytest.mark.parametrize("pages_per_part", [1, 7, 1000])
+@pytest.mark.parametrize("chars", [1, 13, 300, 100_000])
+def test_windows_make_up_the_document(pages, pages_per_part, chars):
+    windows = documents.document_windows(documents.assemble_pages(pages, pages_per_part=pages_per_part), chars)
+    joined = {}
+    for r in sorted(windows.collect(), key=lambda r: (r["doc_id"], r["part_no"], r["window_no"])):
+        assert len(r["text"]) <= chars
+        joined[r["doc_id"]] = joined.get(r["doc_id"], "") + r["text"]
+    assert joined == _whole(pages)
+
+
+def test_a_question_is_asked_about_every_window(spark, pages):
+    windows = documents.document_windows(documents.assemble_pages(pages, pages_per_part=4), 50)
+    questions = spark.createDataFrame([("hot", "what?"), ("none", "who?")], "doc_id string, question string")
+    prompts = context.document_prompt(questions, windows)
+    assert prompts.where("doc_id = 'hot'").count() == windows.where("doc_id = 'hot'").count() > 20
+    answers = enrich.answer_prompts(prompts, lambda: lambda p: p.split("[document]\n")[1].split("\n\n[question]")[0])
+    got = {r["doc_id"]: r for r in enrich.gather_answers(answers).collect()}
+    assert len(got["hot"]["answers"]) == windows.where("doc_id = 'hot'").count() and got["hot"]["failed"] == 0
+    assert got["none"]["answers"] == [enrich.FAILED_ANSWER]
+
+
 def test_context_of_exactly_the_limit_is_not_truncated(pages):
     whole = _whole(pages)["hot"]
     parts = documents.assemble_pages(pages.where("doc_id = 'hot'"), pages_per_part=3)
@@ -130,8 +152,6 @@ def test_answers_collapse_repeats_and_survive_failures(spark, asked):
     assert got["d3"] == (enrich.FAILED_ANSWER, "no prompt")
     other = spark.createDataFrame([(1, "other")], "id int, prompt string")
     assert len(enrich.answer_prompts(other, client, tasks=3).first()["answer"]) == 5000
-    cut = enrich.answer_prompts(other, client, max_chars=enrich.TABLE_ANSWER_CHARS).first()
-    assert len(cut["answer"]) == enrich.TABLE_ANSWER_CHARS
 
 
 def test_a_failed_extraction_adds_no_text_and_goes_to_the_fallback(spark):
