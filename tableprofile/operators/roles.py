@@ -14,7 +14,7 @@ from ..functions.missing import is_missing
 from ..functions.names import column as named
 from ..functions.text import normalise_name
 from .profile import value_counts
-from .schema import one_row, per_column
+from .schema import one_row, per_column, union_aligned
 
 Roles = Mapping[str, Sequence[str]]
 
@@ -68,7 +68,8 @@ def find_roles(df: DataFrame, roles: Roles) -> dict[str, str | None]:
 def harmonise_columns(datasets: Mapping[str, DataFrame], roles: Roles) -> DataFrame:
     """One table of all datasets with a column per role; an absent role is null.
 
-    Columns are found by name at plan time, so each dataset is a pruned scan.
+    Columns are found by name at plan time, so each dataset is a pruned scan. A role that is
+    text in one dataset and a number in another is text.
     """
     parts = []
     for name, df in datasets.items():
@@ -76,7 +77,7 @@ def harmonise_columns(datasets: Mapping[str, DataFrame], roles: Roles) -> DataFr
         parts.append(
             df.select(F.lit(name).alias("dataset"), *(named(c).alias(role) for role, c in found.items()))
         )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union_aligned(parts)
 
 
 def detected_roles(datasets: Mapping[str, DataFrame], roles: Roles = INCIDENT_ROLES) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import value_or_null
+from ..functions.names import column
 
 NUMERIC, TEXT, DATE, OTHER = "numeric", "text", "date", "other"
 
@@ -96,3 +98,22 @@ def schema_rows(df: DataFrame) -> DataFrame:
         for i, f in enumerate(df.schema.fields)
     ]
     return one_row(df).select(F.inline(F.array(*rows)))
+
+
+def union_aligned(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the parts; a column that a part lacks is null there.
+
+    A column that is text in one part and something else in another is text in the result,
+    as is one whose types Spark cannot widen to a common one. Known from the schemas alone.
+    """
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            if not isinstance(f.dataType, T.NullType):
+                kinds.setdefault(f.name, set()).add(kind_of(f.dataType) if kind_of(f.dataType) != OTHER else f.dataType.simpleString())
+    as_text = {name for name, found in kinds.items() if len(found) > 1}
+    aligned = [
+        part.select(*(column(f.name).cast("string").alias(f.name) if f.name in as_text else column(f.name) for f in part.schema.fields))
+        for part in parts
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..session import scratch_path
-from ..sources import datasets, files, pages, synthetic
+from ..sources import datasets, files, pages
 from . import checks
 from .cleaning import decimal_sql, hour_sql
 from .incidents import COLUMNS, WITH, incidents
@@ -96,6 +96,32 @@ def ingest_all(spark, folder):
     return datasets.ingest_all(spark, landed, scratch_path(spark, "clean"))
 
 
+@query(
+    "ingest_all_clashing",
+    WITH + f"""SELECT 'city' AS dataset, ipat, {hour_sql("hora")} AS hora, {decimal_sql("edad")} AS edad, CAST(a_o AS VARCHAR) AS zona
+    FROM incidents UNION ALL SELECT 'region', ipat, {hour_sql("hora")}, {decimal_sql("edad")}, zona FROM incidents""",
+)
+def ingest_all_clashing(spark, folder):
+    """One column is a number in one dataset and text in the other."""
+    rows = incidents(spark, folder)
+    city = rows.select("ipat", "hora", "edad", F.col("a_o").cast("long").alias("zona"))
+    landed = {"city": _land(spark, city, "city"), "region": _land(spark, rows.select("ipat", "hora", "edad", "zona"), "region")}
+    return datasets.ingest_all(spark, landed, scratch_path(spark, "clean"))
+
+
+@query(
+    "ingest_retention",
+    """SELECT 'orders' AS dataset, count(*) AS "rows", count(*) FILTER (o_orderkey % 3 > 0) AS kept,
+    round(count(*) FILTER (o_orderkey % 3 > 0) / count(*) * 100, 6) AS percent FROM orders""",
+)
+def ingest_retention(spark, folder):
+    status = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus"))
+    rows = read(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("code"), status.alias("status"))
+    landed = {"orders": _land(spark, rows, "orders")}
+    kept = datasets.ingest_retention(spark, landed, scratch_path(spark, "clean"), drop_any=True)
+    return kept.withColumn("percent", F.round("percent", 6))
+
+
 def line_extractor():
     """A page extractor for plain text: every line is a page.
 
@@ -131,38 +157,34 @@ def incremental_extract(spark, folder):
     return pages.incremental_extract(documents, cache, line_extractor(), "doc_id")
 
 
-@query(
-    "report_text",
-    "WITH " + checks.report_ctes("orders", checks.ORDERS)
-    + f"\nSELECT section || ' | ' || item || ': ' || {checks.number('value')} AS \"value\" FROM report",
-)
-def report_text(spark, folder):
-    orders = read(spark, folder, "orders")
-    return spark.read.text(files.write_report(report.dataset_report(orders), scratch_path(spark, "report")))
+def whole_extractor(reverse: bool):
+    """The whole text as one page; reversed text stands for a costly way to read a file."""
 
+    def extract(content: bytes) -> list[tuple[int, str]]:
+        text = content.decode("utf-8")
+        return [(1, text[::-1] if reverse else text)]
 
-def _uniform(salt: str) -> str:
-    return f"(CAST(('0x' || substr(md5(event_id || '|42|{salt}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return extract
 
 
-def _choice_sql(name: str) -> str:
-    below, cases = 0.0, []
-    for value, weight in synthetic.CATEGORIES[name]:
-        below += weight
-        cases.append(f"WHEN {_uniform(name)} < {round(below, 6) + (1 if below > 0.999 else 0)} THEN '{value}'")
-    return f"CASE {' '.join(cases)} END AS {name}"
+@query(
+    "extract_documents",
+    r"""SELECT doc_id, 0::BIGINT AS part_no, 1::BIGINT AS n_pages, length(text) AS chars, text, method FROM (
+    SELECT doc_id, regexp_replace('--- PÁGINA 1 ---' || chr(10) || CASE WHEN long THEN text ELSE reverse(text) END, '\s+$', '') AS text,
+      CASE WHEN long THEN 'primary' ELSE 'fallback' END AS method
+    FROM (SELECT doc_id, text, length(regexp_replace('--- PÁGINA 1 ---' || chr(10) || text, '\s+$', '')) > 100 AS long FROM documents))""",
+)
+def extract_documents(spark, folder):
+    return pages.extract_documents(
+        _document_files(spark, folder), whole_extractor(False), whole_extractor(True), "doc_id"
+    )
 
 
 @query(
-    "synthetic_incidents",
-    "SELECT event_id, TIMESTAMP '2020-01-01' + to_hours(event_id) AS FECHA, "
-    + ", ".join(_choice_sql(name) for name in synthetic.CATEGORIES)
-    + ", "
-    + ", ".join(
-        f"CAST(floor({_uniform(name)} * {high - low}) + {low} AS BIGINT) AS {name}"
-        for name, (low, high) in synthetic.NUMBERS.items()
-    )
-    + " FROM events",
+    "report_text",
+    "WITH " + checks.report_ctes("orders", checks.ORDERS)
+    + f"\nSELECT section || ' | ' || item || ': ' || {checks.number('value')} AS \"value\" FROM report",
 )
-def synthetic_incidents(spark, folder):
-    return synthetic.synthetic_incidents(read(spark, folder, "events").select("event_id"), "event_id")
+def report_text(spark, folder):
+    orders = read(spark, folder, "orders")
+    return spark.read.text(files.write_report(report.dataset_report(orders), scratch_path(spark, "report")))

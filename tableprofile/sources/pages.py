@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.documents import PAGES_PER_PART, assemble_pages, good_text
+from ..session import scratch_path
+
 # Pages that a worker hands back at a time.
 PAGES_PER_BATCH = 2000
 
@@ -17,20 +21,24 @@ Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, stem, content) of every file below a folder."""
+    """(path, modified, length, stem, content) of every file below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), "content")
+    return files.select(
+        "path", F.col("modificationTime").alias("modified"), "length", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), "content"
+    )
 
 
-def extract_pages(files: DataFrame, extractor: Extractor, key: str = "stem") -> DataFrame:
+def extract_pages(files: DataFrame, extractor: Extractor, key: str | Sequence[str] = "stem") -> DataFrame:
     """(key, page_no, text, error): the pages of each file, one file at a time per task.
 
     A file that the extractor fails on gives one row without text, so that a fallback
-    can take it up and the other files go on.
+    can take it up and the other files go on; pages that came before the failure stay.
+    Pages are handed on while a file is read. ``key`` is a column or several.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     schema = T.StructType(
         [
-            files.schema[key],
+            *(files.schema[k] for k in keys),
             T.StructField("page_no", T.LongType()),
             T.StructField("text", T.StringType()),
             T.StructField("error", T.StringType()),
@@ -43,31 +51,71 @@ def extract_pages(files: DataFrame, extractor: Extractor, key: str = "stem") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for name, content in zip(batch[key], batch["content"]):
+            for *name, content in zip(*(batch[k] for k in keys), batch["content"]):
                 try:
-                    rows += [(name, number, text, None) for number, text in extractor(bytes(content))]
+                    for number, text in extractor(bytes(content)):
+                        rows.append((*name, number, text, None))
+                        if len(rows) >= PAGES_PER_BATCH:
+                            yield as_batch(rows)
+                            rows = []
                 except Exception as e:  # noqa: BLE001 - any failure of the injected function
-                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
-                if len(rows) >= PAGES_PER_BATCH:
-                    yield as_batch(rows)
-                    rows = []
+                    rows.append((*name, None, None, f"{type(e).__name__}: {e}"))
             yield as_batch(rows)
 
-    return files.select(key, "content").mapInPandas(run, schema)
+    return files.select(*keys, "content").mapInPandas(run, schema)
+
+
+def _identity(files: DataFrame, key: str) -> list[str]:
+    """What tells one version of a file from another: its place, time and length where they are known."""
+    return [c for c in ("path", "modified", "length") if c in files.columns] or [key]
 
 
 def incremental_extract(files: DataFrame, cache_path: str, extractor: Extractor, key: str = "stem") -> DataFrame:
-    """Pages of all files, extracting only those that the Parquet cache does not have.
+    """(key, ..., page_no, text): pages of all files, extracting only those that the cache does not have.
 
-    New pages are appended to the cache, which is then read for the given files. Files
-    that failed are not kept, so the next run tries them again.
+    A file is known by its path, modification time and length (as ``scan_files`` gives them;
+    else by ``key``), so files of one name in two folders stay apart and a changed file is
+    read again. Pages are appended to the cache with the number of the run; then a manifest
+    lists the files that the run has finished, those without pages too. Pages of a run that
+    broke off are in no manifest and are never read. Files that failed are tried again.
     """
-    spark = files.sparkSession
+    spark, identity = files.sparkSession, _identity(files, key)
+    columns = list(dict.fromkeys([*identity, key]))
+    manifest_path, pages_path, run = f"{cache_path}/manifest", f"{cache_path}/pages", uuid.uuid4().hex
     try:
-        todo = files.join(spark.read.parquet(cache_path).select(key).distinct(), key, "left_anti")
+        todo = files.join(spark.read.parquet(manifest_path).select(*identity), identity, "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         todo = files
-    extract_pages(todo, extractor, key).where(F.col("error").isNull()).drop("error").write.mode("append").parquet(cache_path)
-    return spark.read.parquet(cache_path).join(files.select(key).distinct(), key, "left_semi")
+    found = extract_pages(todo, extractor, columns).withColumn("run", F.lit(run))
+    found.write.mode("append").parquet(pages_path)
+    failed = spark.read.parquet(pages_path).where((F.col("run") == run) & F.col("error").isNotNull())
+    done = todo.select(*identity).distinct().join(failed.select(*identity).distinct(), identity, "left_anti")
+    done.withColumn("run", F.lit(run)).write.mode("append").parquet(manifest_path)
+    current = spark.read.parquet(manifest_path).join(files.select(*identity).distinct(), identity, "left_semi")
+    pages = spark.read.parquet(pages_path).join(current, [*identity, "run"], "left_semi")
+    return pages.select(*columns, "page_no", "text")
+
+
+def extract_documents(
+    files: DataFrame, primary: Extractor, fallback: Extractor, key: str = "stem", pages_per_part: int = PAGES_PER_PART
+) -> DataFrame:
+    """(key, part_no, n_pages, chars, text, method): assembled documents, the costly way only where needed.
+
+    Files whose primary text is too short, that failed or that have no pages go to the
+    fallback, whose text stays as it is. Primary text is written first, so it is made once.
+    """
+    spark = files.sparkSession
+    path = scratch_path(spark, "primary-text")
+    readable = extract_pages(files, primary, key)
+    assemble_pages(readable, key, "page_no", pages_per_part=pages_per_part).write.parquet(path)
+    parts = spark.read.parquet(path)
+    good = parts.where((F.col("part_no") > 0) | good_text(F.col("text"))).select(key).distinct()
+    rest = files.join(good, key, "left_anti")
+    again = assemble_pages(extract_pages(rest, fallback, key), key, "page_no", pages_per_part=pages_per_part)
+    return (
+        parts.join(good, key, "left_semi")
+        .withColumn("method", F.lit("primary"))
+        .unionByName(again.withColumn("method", F.lit("fallback")))
+    )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tableprofile.sources import datasets, files, pages, synthetic
+from tableprofile.sources import datasets, files, pages
 
 
 def test_csv_types_and_na_tokens(spark, tmp_path):
@@ -63,10 +63,22 @@ def test_ingest_writes_a_clean_table(spark, tmp_path, fmt):
     assert strict.count() == 2
 
 
-def test_an_empty_source_writes_nothing(spark, tmp_path):
-    (tmp_path / "in.json").write_text('{"lat": null}\n')
-    df = datasets.ingest_dataset(spark, str(tmp_path / "in.json"), "none", str(tmp_path / "out"), schema="lat string")
-    assert df.count() == 0 and not (tmp_path / "out").exists()
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_an_empty_source_replaces_what_was_there(spark, tmp_path, fmt):
+    source, counts = tmp_path / "in.json", {}
+    for text, rows in (('{"lat": "3"}\n{"lat": null}\n', 1), ('{"lat": null}\n', 0)):
+        source.write_text(text)
+        df = datasets.ingest_dataset(spark, str(source), "city", str(tmp_path / "out"), fmt=fmt, schema="lat string", counts=counts)
+        assert df.count() == rows
+    assert counts == {"city": (1, 0)}
+
+
+def test_columns_of_different_types_meet_as_text(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"zone": "A1", "n": 1}\n')
+    (tmp_path / "b.json").write_text('{"zone": 12, "n": 1.5}\n')
+    paths = {name: str(tmp_path / f"{name}.json") for name in "ab"}
+    got = datasets.ingest_all(spark, paths, str(tmp_path / "out")).select("dataset", "zone", "n").collect()
+    assert sorted(map(tuple, got)) == [("a", "A1", 1.0), ("b", "12", 1.5)]
 
 
 def _extractor():
@@ -104,20 +116,59 @@ def test_only_new_files_are_extracted(spark, tmp_path):
     assert pages.incremental_extract(first.where("stem = 'a'"), cache, refuse_known).count() == 2
 
 
-def test_synthetic_rows(spark):
-    df = synthetic.synthetic_rows(spark, 3500)
-    assert df.count() == 3500 and len(df.columns) == 9
-    assert df.agg(F.min("FECHA"), F.max("FECHA")).first()[0].isoformat() == "2020-01-01T00:00:00"
-    share = {r["GENERO"]: r["count"] / 3500 for r in df.groupBy("GENERO").count().collect()}
-    assert abs(share["Masculino"] - 0.6) < 0.05 and abs(share["No reporta"] - 0.05) < 0.02
-    ages = df.agg(F.min("EDAD"), F.max("EDAD"), F.min("HORA"), F.max("HORA")).first()
-    assert tuple(ages) == (15, 74, 0, 23)
-    assert df.exceptAll(synthetic.synthetic_rows(spark, 3500).repartition(3)).count() == 0
+def test_files_are_known_by_path_time_and_length(spark, tmp_path):
+    import os
+
+    cache, folder = str(tmp_path / "cache"), tmp_path / "files"
+    calls = tmp_path / "calls"
+
+    def extractor():
+        def extract(content: bytes):
+            with open(calls, "a") as log:
+                log.write("x")
+            return [(i, t) for i, t in enumerate(content.decode().split("\f"), 1) if t]
+
+        return extract
+
+    def run():
+        before = len(calls.read_text()) if calls.exists() else 0
+        rows = pages.incremental_extract(pages.scan_files(spark, str(folder)), cache, extractor()).collect()
+        return sorted((r["path"][-7:], r["page_no"], r["text"]) for r in rows), len(calls.read_text()) - before
+
+    for name in ("x", "y"):
+        (folder / name).mkdir(parents=True)
+    (folder / "x" / "r.txt").write_text("1\f2")
+    (folder / "x" / "e.txt").write_text("\f")
+    assert run() == ([("x/r.txt", 1, "1"), ("x/r.txt", 2, "2")], 2)
+    (folder / "y" / "r.txt").write_text("3\f4")
+    assert run() == ([("x/r.txt", 1, "1"), ("x/r.txt", 2, "2"), ("y/r.txt", 1, "3"), ("y/r.txt", 2, "4")], 1)
+    (folder / "x" / "r.txt").write_text("new")
+    os.utime(folder / "x" / "r.txt", (2_000_000_000, 2_000_000_000))
+    assert run() == ([("x/r.txt", 1, "new"), ("y/r.txt", 1, "3"), ("y/r.txt", 2, "4")], 1)
+    assert run()[1] == 0
+
+
+def test_documents_take_the_fallback_where_needed(spark):
+    rows = [("long", b"t" * 200), ("short", b"t"), ("bad", b"\xff"), ("none", b"")]
+    files_ = spark.createDataFrame(rows, "stem string, content binary")
+
+    def primary():
+        def extract(content: bytes):
+            text = content.decode()
+            return [(1, text)] if text else []
+
+        return extract
+
+    def fallback():
+        return lambda content: [(1, "again")]
+
+    got = {r["stem"]: (r["method"], r["text"][-5:]) for r in pages.extract_documents(files_, primary(), fallback()).collect()}
+    assert got == {"long": ("primary", "ttttt"), "short": ("fallback", "again"), "bad": ("fallback", "again"), "none": ("fallback", "again")}
 
 
 def test_scratch_paths_are_fresh_and_below_the_named_folder(spark):
-    from tableprofile.session import CHECKPOINT_CONF, scratch_path
+    from tableprofile.session import CHECKPOINT_CONF, LOCAL_SCRATCH, scratch_path
 
     first, second = scratch_path(spark, "t"), scratch_path(spark, "t")
     assert first != second
-    assert first.startswith(spark.conf.get(CHECKPOINT_CONF))
+    assert first.startswith(spark.conf.get(CHECKPOINT_CONF, LOCAL_SCRATCH))
