@@ -1,75 +1,26 @@
 """Exact quantiles of many columns, without moving the data.
 
 Spark's ``percentile`` keeps every distinct value of a column in the memory of one
-task. That is right for small columns and fails for large ones. Here a column with
-many values is searched: a small random draw proposes two values near the wanted
-rank, one scan counts all rows below and equal to each, and this repeats until few
-values are left between them. The draw only chooses where to look next; the counts
-over all rows decide, so the results are exact. A scan shuffles one row of counts per
-task, a draw a bounded number of values. A value that fills many rows needs no care:
-once proposed, its count shows that the rank falls on it.
+task. Here a sketch of each column, from one scan, gives two values that the wanted
+rank lies between for certain. A second scan counts the rows below, and a third groups
+the few values in between, whose running count finds the rank. The steps are the same
+for tables of any size; only the gap between the two values depends on it. The source
+has to give the same rows each time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import value_or_null
 
-# Values that one task may hold, over all columns.
-IN_MEMORY_VALUES = 1_000_000
-# Fewest rows drawn from an interval that is searched.
-MIN_DRAW = 2_000
+# A sketch is off by at most one in so many rows, so twice that on both sides holds the rank.
 ACCURACY = 10_000
-# Tasks that receive drawn values; keeps the number of partial summaries small.
-DRAW_PARTITIONS = 16
-
-Interval = tuple[str, float | None, float | None]
-
-
-@dataclass
-class _Rank:
-    """One position in one sorted column, and the open interval its value lies in."""
-
-    column: str
-    index: int
-    below_high: int  # rows < high
-    up_to_low: int = 0  # rows <= low
-    low: float | None = None
-    high: float | None = None
-    found: float | None = None
-
-    @property
-    def inside(self) -> int:
-        return self.below_high - self.up_to_low
-
-    @property
-    def interval(self) -> Interval:
-        return self.column, self.low, self.high
-
-    def shares(self, margin: float) -> list[float]:
-        """The position within the interval, or shares on both sides of it."""
-        share = (self.index - self.up_to_low + 0.5) / self.inside
-        if margin == 0:
-            return [share]
-        # Rounding makes neighbouring positions propose the same values.
-        return [max(round(share - margin, 4), 0.0), min(round(share + margin, 4), 1.0)]
-
-    def learn(self, value: float, below: int, up_to: int) -> None:
-        """Use that ``below`` rows are smaller than ``value`` and ``up_to`` rows at most equal."""
-        if self.index < below:
-            if self.high is None or value < self.high:
-                self.high, self.below_high = value, below
-        elif self.index < up_to:
-            self.found = value
-        elif self.low is None or value > self.low:
-            self.low, self.up_to_low = value, up_to
 
 
 def _aggregate(df: DataFrame, columns: Iterable[Column]) -> list:
@@ -77,10 +28,7 @@ def _aggregate(df: DataFrame, columns: Iterable[Column]) -> list:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    fields: Sequence[T.StructField],
-    probabilities: Sequence[float],
-    in_memory_values: int = IN_MEMORY_VALUES,
+    df: DataFrame, fields: Sequence[T.StructField], probabilities: Sequence[float], accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as bounded scalars on the driver.
 
@@ -89,32 +37,51 @@ def exact_quantiles(
     """
     if not fields:
         return {}
-    values = {f.name: value_or_null(f).cast("double") for f in fields}
-    limit = max(in_memory_values // len(fields), 1)
-    counts = dict(zip(values, _aggregate(df, (F.count(v) for v in values.values()))))
-    result: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in values}
-
-    small = [name for name, n in counts.items() if 0 < n <= limit]
-    if small:
-        wanted = F.array(*(F.lit(float(p)) for p in probabilities))
-        result.update(zip(small, _aggregate(df, (F.percentile(values[name], wanted) for name in small))))
-
-    positions = {
-        (name, j): (n - 1) * p
-        for name, n in counts.items()
-        if n > limit
-        for j, p in enumerate(probabilities)
-    }
-    ranks = {
-        (name, index): _Rank(name, index, counts[name])
-        for (name, _), at in positions.items()
-        for index in (math.floor(at), math.ceil(at))
-    }
-    _locate(df, values, list(ranks.values()), limit)
-    for (name, j), at in positions.items():
-        left, right = ranks[name, math.floor(at)].found, ranks[name, math.ceil(at)].found
+    # -0 becomes 0, so that both are one value.
+    numbers = df.select(*((value_or_null(f).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, f in enumerate(fields)))
+    margin = 2 / accuracy
+    shares = [share for p in probabilities for share in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketches = _aggregate(
+        numbers,
+        (
+            F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, shares, accuracy).alias("near"))
+            for v in numbers.columns
+        ),
+    )
+    ranks = []  # (number of the column, of the probability, position, value below, value above)
+    for i, sketch in enumerate(sketches):
+        for j, p in enumerate(probabilities):
+            if sketch["n"]:
+                # With fewer rows than the sketch can tell apart, all values lie in between.
+                sure = sketch["n"] > accuracy
+                low, high = sketch["near"][2 * j : 2 * j + 2] if sure else (sketch["low"], sketch["high"])
+                ranks.append((i, j, (sketch["n"] - 1) * p, low, high))
+    result: dict[str, list[float | None]] = {f.name: [None] * len(probabilities) for f in fields}
+    if not ranks:
+        return result
+    below = _aggregate(numbers, (F.count_if(F.col(f"v{i}") < F.lit(low)) for i, _, _, low, _ in ranks))
+    between = F.array(
+        *(
+            F.when(
+                F.col(f"v{i}").between(F.lit(low), F.lit(high)), F.struct(F.lit(k).alias("rank"), F.col(f"v{i}").alias("value"))
+            )
+            for k, (i, _, _, low, high) in enumerate(ranks)
+        )
+    )
+    groups = numbers.select(F.explode(F.array_compact(between)).alias("x")).groupBy("x.rank", "x.value").count()
+    up_to = F.sum("count").over(Window.partitionBy("rank").orderBy("value"))
+    first, last = (
+        F.get(F.array(*(F.lit(at - n) for at, n in zip(positions, below, strict=True))), F.col("rank"))
+        for positions in ([math.floor(r[2]) for r in ranks], [math.ceil(r[2]) for r in ranks])
+    )
+    # The value at a position is the first whose running count passes it: two rows a rank.
+    running = groups.select("rank", "value", up_to.alias("up_to"), (up_to - F.col("count")).alias("before"))
+    found = running.where((F.col("up_to") > first) & (F.col("before") <= last)).collect()
+    for k, (i, j, at, _, _) in enumerate(ranks):
+        values = sorted(r["value"] for r in found if r["rank"] == k)
         weight = at - math.floor(at)
-        result[name][j] = left if left == right else left * (1 - weight) + right * weight
+        left, right = values[0], values[-1]
+        result[fields[i].name][j] = left if left == right else left * (1 - weight) + right * weight
     return result
 
 
@@ -127,77 +94,3 @@ def approximate_quantiles(
     numbers = df.select(*(value_or_null(f).cast("double").alias(f"c{i}") for i, f in enumerate(fields)))
     found = numbers.approxQuantile(numbers.columns, [float(p) for p in probabilities], 1 / accuracy)
     return {f.name: list(q) or [None] * len(probabilities) for f, q in zip(fields, found)}
-
-
-def _locate(df: DataFrame, values: Mapping[str, Column], ranks: list[_Rank], limit: int) -> None:
-    draw = max(limit, MIN_DRAW)
-    seed = 0
-    while wide := [r for r in ranks if r.found is None and r.inside > limit]:
-        seed += 1
-        fraction = draw / max(r.inside for r in wide)
-        near = _near(df, values, wide, 2 / math.sqrt(draw), ACCURACY, fraction, seed)
-        proposed = sorted({(r.column, value) for r in wide for value in near[r.column, r.index]})
-        # A draw that proposes nothing is repeated with another seed.
-        counts = _aggregate(
-            df,
-            (
-                count
-                for name, value in proposed
-                for count in (F.count_if(values[name] < F.lit(value)), F.count_if(values[name] <= F.lit(value)))
-            ),
-        ) if proposed else []
-        for i, (name, value) in enumerate(proposed):
-            for r in wide:
-                if r.column == name and r.found is None:
-                    r.learn(value, counts[2 * i], counts[2 * i + 1])
-
-    # With an accuracy above the number of values a summary keeps all of them and
-    # returns the value at the position itself.
-    if rest := [r for r in ranks if r.found is None]:
-        near = _near(df, values, rest, 0.0, 10 * limit)
-        for r in rest:
-            r.found = near[r.column, r.index][0]
-
-
-def _near(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    ranks: list[_Rank],
-    margin: float,
-    accuracy: int,
-    fraction: float = 1.0,
-    seed: int = 0,
-) -> dict[tuple[str, int], list[float]]:
-    """Values next to each position, from one scan and one summary per interval.
-
-    The rows of the intervals, or a draw of them, are few. They go to a few tasks first,
-    as merging a summary from every task of a large scan would keep one task busy.
-    """
-    intervals = list(dict.fromkeys(r.interval for r in ranks))
-    members = [[r for r in ranks if r.interval == interval] for interval in intervals]
-    rows = df.select(*(_within(values[name], low, high).alias(f"v{i}") for i, (name, low, high) in enumerate(intervals)))
-    rows = rows.dropna("all")
-    if fraction < 1:
-        rows = rows.sample(fraction, seed)
-    found = _aggregate(
-        rows.repartition(DRAW_PARTITIONS),
-        (
-            F.percentile_approx(f"v{i}", shares, accuracy)
-            for i, shares in enumerate([s for r in group for s in r.shares(margin)] for group in members)
-        ),
-    )
-    near: dict[tuple[str, int], list[float]] = {}
-    for group, proposals in zip(members, found):
-        proposals = iter(proposals or ())
-        for r in group:
-            near[r.column, r.index] = [value for _, value in zip(r.shares(margin), proposals)]
-    return near
-
-
-def _within(value: Column, low: float | None, high: float | None) -> Column:
-    inside = F.lit(True)
-    if low is not None:
-        inside = inside & (value > F.lit(low))
-    if high is not None:
-        inside = inside & (value < F.lit(high))
-    return F.when(inside, value)
