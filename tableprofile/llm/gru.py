@@ -6,7 +6,20 @@ import numpy as np
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    out = 0.5 * x
+    np.tanh(out, out=out)
+    out += 1
+    out *= 0.5
+    return out
+
+
+def add_rows(into: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row at its place; places may repeat."""
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])[: len(places)])
+    if len(begins):
+        into[places[begins]] += np.add.reduceat(rows[order], begins)
 
 
 class Gru:
@@ -28,10 +41,16 @@ class Gru:
     def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.size
         a, u = self.inputs[ids], h @ self.states
-        gates = sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        return new + z * (h - new)
+        a[:, : 2 * n] += u[:, : 2 * n]
+        gates = sigmoid(a[:, : 2 * n])
+        new, held = a[:, 2 * n :], u[:, 2 * n :]
+        held *= gates[:, n:]
+        new += held
+        new = np.tanh(new)
+        out = h - new
+        out *= gates[:, :n]
+        out += new
+        return out
 
     def run(self, ids: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
         """States after each of ``ids`` (steps, rows), and what the gradient needs.
@@ -70,7 +89,7 @@ class Gru:
             d_h = d_h * z + through @ self.states.T
             if keep is not None:
                 d_h = d_h * keep[t][:, None]
-        np.add.at(d_inputs, ids.ravel(), rows.reshape(-1, 3 * self.size))
+        add_rows(d_inputs, ids.ravel(), rows.reshape(-1, 3 * self.size))
         return d_inputs, d_u
 
 

@@ -6,6 +6,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -179,14 +180,26 @@ class WordModel:
         raw = raw - raw.max(1, keepdims=True)
         return raw - np.log(np.exp(raw).sum(1, keepdims=True))
 
+    @staticmethod
+    def _log_of(raw: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The logarithm of the softmax at the targets alone; ``raw`` is used up."""
+        raw -= raw.max(1, keepdims=True)
+        picked = raw[np.arange(len(targets)), targets].astype(np.float64)
+        np.exp(raw, out=raw)
+        return picked - np.log(raw.sum(1))
+
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple:
         """ln P of each target after its state; with ``gradients``, also those of -ln P summed, and of the states."""
         w, rows = self.arrays, np.arange(len(targets))
         classes = self.class_of[targets]
-        logs = self._log_softmax(states @ w["class"] + w["class_bias"])
-        out = logs[rows, classes].astype(np.float64)
         d_states = None
-        if gradients is not None:
+        raw = states @ w["class"]
+        raw += w["class_bias"]
+        if gradients is None:
+            out = self._log_of(raw, classes)
+        else:
+            logs = self._log_softmax(raw)
+            out = logs[rows, classes].astype(np.float64)
             d_raw = np.exp(logs)
             d_raw[rows, classes] -= 1
             gradients["class"] += states.T @ d_raw
@@ -199,9 +212,13 @@ class WordModel:
             if not len(own) or b - a == 1:
                 continue
             h, at = states[own], targets[own] - a
-            logs = self._log_softmax(h @ w["word"][a:b].T + w["word_bias"][a:b])
-            out[own] += logs[np.arange(len(own)), at]
-            if gradients is not None:
+            raw = h @ w["word"][a:b].T
+            raw += w["word_bias"][a:b]
+            if gradients is None:
+                out[own] += self._log_of(raw, at)
+            else:
+                logs = self._log_softmax(raw)
+                out[own] += logs[np.arange(len(own)), at]
                 d_raw = np.exp(logs)
                 d_raw[np.arange(len(own)), at] -= 1
                 gradients["word"][a:b] += d_raw.T @ h
@@ -291,22 +308,19 @@ class _Numbers:
     """Tokens as numbers of the model, and what is known of them."""
 
     def __init__(self, words: Words):
-        self.words, self.ids = words, words.model_ids()
+        self.words, self.ids = words, np.append(words.model_ids(), 0)  # the last is for words without a place
         self._rare: dict[bytes, int] = {}
 
     def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(model numbers, places of the shared ones, the others)."""
-        places = list(map(self.words.places.get, tokens))
-        if None not in places:
-            known = np.array(places)
-            return self.ids[known], known, []
-        others = [t for t, p in zip(tokens, places, strict=True) if p is None]
-        known = np.array([-1 if p is None else p for p in places])
-        ids = np.empty(len(tokens), np.intp)
-        inside = known >= 0
-        ids[inside] = self.ids[known[inside]]
-        ids[~inside] = [self.words.frequent + self._tail(t) for t in others]
-        return ids, known[inside], others
+        known = np.fromiter(map(self.words.places.get, tokens, repeat(-1)), np.int32, len(tokens))
+        unknown = np.flatnonzero(known < 0)
+        ids = self.ids[known]
+        others = [tokens[i] for i in unknown.tolist()]
+        if others:
+            ids[unknown] = [self.words.frequent + self._tail(t) for t in others]
+            known = known[known >= 0]
+        return ids, known, others
 
     def _tail(self, word: bytes) -> int:
         found = self._rare.get(word)
@@ -389,14 +403,19 @@ def _score_rows(docs: DataFrame, words: Words, model: WordModel) -> DataFrame:
         words, model = shared.value
         numbers, row = _Numbers(words), TaskContext.get().partitionId() << 40
         all_log = np.log10(words.n + SMOOTHING * (words.v + 1))
-        keys, ids, sizes, columns = [], [], 0, [[] for _ in names]
+        keys, ids, rare, rare_rows, size = [], [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             logs = model.score(ids) / np.log(10)
-            for (key, number, n, known, base, tail), log in zip(keys, logs.tolist(), strict=True):
-                for values, value in zip(columns, (number, key, n, known, base, tail + log, None, None), strict=True):
-                    values.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names)
+            docs = [*zip(*keys, strict=True)]
+            docs[5] = np.add(docs[5], logs)
+            nulls = [None] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*docs, nulls, nulls], types, strict=True)], names)
+            counted = Counter(zip(rare_rows, rare, strict=True))
+            found = [*zip(*counted, strict=True)] or [(), ()]
+            empty = [pa.nulls(len(counted), t) for t in types[1:6]]
+            last = [pa.array(found[1], pa.binary()), pa.array(list(counted.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), *empty, *last], names)
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
@@ -406,18 +425,17 @@ def _score_rows(docs: DataFrame, words: Words, model: WordModel) -> DataFrame:
                 in_tail = known[known >= words.frequent]
                 base = float(words.log_counts[known].sum() - len(tokens) * all_log)
                 tail = float(words.log_counts[in_tail].sum() - words.tail_logs[tails].sum())
-                keys.append((key, row, len(tokens), len(known), base, tail))
+                keys.append((row, key, len(tokens), len(known), base, tail))
                 ids.append(own)
-                for word, n in Counter(others).items():
-                    for values, value in zip(columns, (row, None, None, None, None, None, word, n), strict=True):
-                        values.append(value)
+                rare += others
+                rare_rows += [row] * len(others)
                 row += 1
-                sizes += len(own)
-                if sizes >= BATCH_TOKENS:
-                    yield flush()
-                    keys, ids, sizes, columns = [], [], 0, [[] for _ in names]
+                size += len(own)
+                if size >= BATCH_TOKENS:
+                    yield from flush()
+                    keys, ids, rare, rare_rows, size = [], [], [], [], 0
         if keys:
-            yield flush()
+            yield from flush()
 
     return in_arrow(docs, run, _SCORED)
 
