@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_module
+from tableprofile import plans
 
 QUERIES = entry_module.queries()
 ORACLES = entry_module.oracle_sql()
@@ -14,7 +15,7 @@ def con(folder):
     return compare.connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.builders()))
 def test_query_equals_checking_sql(spark, folder, con, name):
     assert name in ORACLES
     assert compare.differences(QUERIES[name](spark, folder), con, ORACLES[name]) is None
