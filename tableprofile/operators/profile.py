@@ -12,7 +12,7 @@ from ..functions.missing import is_missing, value_or_null
 from ..functions.names import column as named
 from ..functions.text import title_case
 from .quantiles import approximate_quantiles, exact_quantiles
-from .schema import NUMERIC, TEXT, comparable, fields_of_kind, kind_of, per_column, schema_rows
+from .schema import DIGEST_BYTES, NUMERIC, TEXT, bounded_key, comparable, fields_of_kind, kind_of, per_column, schema_rows
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -151,9 +151,12 @@ def distinct_counts(
 
 
 def column_value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """(column, value, count) of text columns, nulls left out, from one scan and one shuffle."""
+    """(column, value, count) of text columns, nulls left out, from one scan and one shuffle.
+
+    ``value`` is the ``bounded_key`` of the text, so no long text is shuffled.
+    """
     return (
-        df.select(*(named(f.name) for f in fields))
+        df.select(*(bounded_key(named(f.name)).alias(f.name) for f in fields))
         .unpivot([], [named(f.name) for f in fields], "column", "value")
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
@@ -172,8 +175,8 @@ def text_value_counts(df: DataFrame) -> DataFrame:
 
 
 def categorical_top_k(df: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent values of every text column; ties in value order."""
-    return top_of_counts(text_value_counts(df), k)
+    """The ``k`` most frequent values of every text column; ties in the order of their bounded keys."""
+    return with_texts(df, top_of_counts(text_value_counts(df), k))
 
 
 def top_of_counts(counts: DataFrame, k: int) -> DataFrame:
@@ -183,6 +186,29 @@ def top_of_counts(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def with_texts(df: DataFrame, top: DataFrame) -> DataFrame:
+    """``top`` (column, value, ...) with the texts that digests in ``value`` stand for.
+
+    A scan of the long texts, joined with the few rows of ``top``: of the texts themselves,
+    only those of the result are shuffled.
+    """
+    fields = fields_of_kind(df, TEXT)
+    if not fields:
+        return top
+    digests = top.where(F.octet_length("value") >= DIGEST_BYTES).select(F.col("column").alias("_column"), F.col("value").alias("_key"))
+    texts = (
+        df.select(*(F.when(F.octet_length(named(f.name)) >= DIGEST_BYTES, named(f.name)).alias(f.name) for f in fields))
+        .unpivot([], [named(f.name) for f in fields], "_column", "_text")
+        .where(F.col("_text").isNotNull())
+        .withColumn("_key", bounded_key(F.col("_text")))
+        .join(F.broadcast(digests), ["_column", "_key"])  # k rows a column at most
+        .groupBy("_column", "_key")
+        .agg(F.min("_text").alias("_text"))
+    )
+    same = (F.col("column") == F.col("_column")) & (F.col("value") == F.col("_key"))
+    return top.join(texts, same, "left").withColumn("value", F.coalesce("_text", "value")).select(*top.columns)
+
+
 def categorical_share(df: DataFrame, k: int = 5, bar_percent: float = 2.0) -> DataFrame:
     """``categorical_top_k`` with each value's share of the column's non-null values."""
     fields = fields_of_kind(df, TEXT)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, value_or_null
-from .profile import Quantiles, data_bytes, distinct_counts, quartiles, text_value_counts, top_of_counts
+from .profile import Quantiles, data_bytes, distinct_counts, quartiles, text_value_counts, top_of_counts, with_texts
 from .quality import FEW_VALUES, ID_LIKE_SHARE, advice_on, duplicate_count, outlier_count, quality_of
 from .schema import DATE, NUMERIC, TEXT, column_array, fields_of_kind, kind_of
 
@@ -73,7 +73,7 @@ def profile_record(df: DataFrame, quantiles: Quantiles | None = None, exact: boo
     texts = text_value_counts(df)
     counted = distinct_counts(df, exact=exact, text_counts=texts)
     distinct = counted.agg(F.map_from_entries(F.collect_list(F.struct("column", "distinct"))))
-    top = top_of_counts(texts, TOP_VALUES).agg(F.collect_list(F.struct("column", "rank", "value", "count")))
+    top = with_texts(df, top_of_counts(texts, TOP_VALUES)).agg(F.collect_list(F.struct("column", "rank", "value", "count")))
     return df.agg(F.count("*").alias("rows"), columns.alias("columns")).select(
         "*",
         distinct.scalar().alias("distinct"),

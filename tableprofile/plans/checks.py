@@ -74,7 +74,7 @@ def tops(table: str, columns: Columns) -> str:
     """A CTE with the five most frequent values of every text column."""
     rows = (
         f"""SELECT {i} AS position, '{name}' AS col, {name} AS val, count(*) AS cnt,
-        row_number() OVER (ORDER BY count(*) DESC, {name}) AS rnk,
+        row_number() OVER (ORDER BY count(*) DESC, CASE WHEN strlen({name}) < 64 THEN {name} ELSE sha256({name}) END) AS rnk,
         sum(count(*)) OVER () AS filled
         FROM {table} WHERE {name} IS NOT NULL GROUP BY {name} QUALIFY rnk <= 5"""
         for i, (name, _, kind) in enumerate(columns)

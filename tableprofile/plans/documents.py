@@ -184,7 +184,7 @@ def counting_client():
 
 
 # Small windows, so that many documents have several.
-_ANSWER_CHARS = 400
+_ANSWER_CHARS = 1000
 _ANSWERS = "WITH " + _ASSEMBLED + ", " + _windows_sql(_ANSWER_CHARS) + ", " + _QUESTIONS + f""", prompts AS (
     SELECT conv_id, question, part_no, window_no,
       {_prompt_sql(context.DOCUMENT_TASK, ("document", "text"), ("question", "question"))} AS prompt

@@ -97,6 +97,16 @@ def categorical_top_k(spark, folder):
     return profile.categorical_top_k(incidents(spark, folder))
 
 
+@query(
+    "categorical_top_k_long",
+    "WITH " + checks.tops("documents", (("text", "string", "text"), ("lang", "string", "text"))) + """
+    SELECT col AS "column", val AS "value", cnt AS "count", CAST(rnk AS INT) AS rank FROM tops""",
+)
+def categorical_top_k_long(spark, folder):
+    """Whole documents as values."""
+    return profile.categorical_top_k(read(spark, folder, "documents").select("text", "lang"))
+
+
 @query(
     "categorical_share",
     _TOPS + """SELECT col AS "column", CAST(rnk AS INT) AS rank, val AS "value", cnt AS "count", round(cnt / filled * 100, 6) AS share,
