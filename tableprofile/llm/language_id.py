@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow
+from .common import in_arrow, small_batches
 from .gru import Adam, Gru
 from .samples import fold
 
@@ -27,7 +27,7 @@ SPAN = 32  # bytes that the network sees at once; words beyond it are cut
 ROWS = 512  # of a training step
 STEPS = 500
 CLEAR_SCORE = 0.4  # mixed texts of two languages score more, noise less
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 GROUP_WORDS = 1 << 17  # looked up together
 SEED = 7
 
@@ -265,7 +265,7 @@ def label_languages(df: DataFrame, doc: str = "doc_id", text: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(network)
-        for batch in batches:
+        for batch in small_batches(batches):
             found, scores = labeller.label([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
@@ -292,7 +292,7 @@ def keep_clear(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(network)
-        for batch in batches:
+        for batch in small_batches(batches):
             _, scores = labeller.label([t or "" for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, mix, slices, stored, word_hashes
+from .common import in_arrow, mix, slices, small_batches, stored, word_hashes
 from .components import components
 from .set_trie import similar
 
@@ -22,6 +22,8 @@ BLOCK_DOCS = 4000
 # Slots of the filter that keeps documents outside all blocks from being moved: a table of
 # at most so many numbers.
 FILTER_SLOTS = 1 << 20
+# Documents whose keys are compared before any are shuffled.
+MEETING_ROWS = 4000
 _MOST_IN_PART = 8
 
 
@@ -105,7 +107,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = ngram_sets(_texts(batch), n)
             ids = [_set_id(s) for s in sets]
             keys = [parts.of(s).view(np.int64) for s in sets]
@@ -126,7 +128,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, a, b): each key of a batch with one node that has it; and, without a key, other nodes that have it too."""
-    for batch in batches:
+    for batch in small_batches(batches, MEETING_ROWS):
         lists = batch.column("keys")
         nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
         keys = lists.flatten().to_numpy()
@@ -150,7 +152,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(sets: DataFrame) -> DataFrame:
     """(node, block): nodes with a chance of a link, and what holds all they can link to."""
     met = in_arrow(sets.where(F.col("node").isNotNull()).select("node", "keys"), _meetings, "key long, a long, b long")
-    # A batch of 10,000 rows has sent one node a key, so the rows of a key stay few.
+    # A batch of MEETING_ROWS rows has sent one node a key, so the rows of a key stay few.
     heads = met.where(F.col("key").isNotNull()).select("key", "a")
     across = heads.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")).where("a != b")
     within = met.where(F.col("key").isNull()).select("a", "b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import WORD
+from .common import WORD, stored
 
 BUCKETS = 16
 BATCH_TOKENS = 65_536
@@ -94,6 +94,7 @@ def pack(
         (word_tokens(column(text)) if tokens is None else tokens.cast("long")).alias("n_tokens"),
         F.conv(digits, 16, 10).cast("int").alias("slice"),
     )
+    rows = stored(rows, "lengths")  # the texts are read once
     histogram = [(r[0], r[1]) for r in rows.groupBy("n_tokens").count().orderBy("n_tokens").collect()]
     bounds = best_bounds(histogram, buckets)
     limits = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array(F.lit(0).cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, mix, slices, word_hashes
+from .common import in_arrow, mix, slices, small_batches, word_hashes
 from .gru import Adam, sigmoid
 from .samples import fold, sample
 
@@ -129,7 +129,7 @@ def _features_of(docs: DataFrame, keys: DataFrame) -> np.ndarray:
     """Features of the documents with the given ids, of which there are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(features(_binary(batch))), pa.list_(pa.float32()))], ["x"])
 
     rows = in_arrow(docs.join(F.broadcast(keys), "doc_id").select("text"), run, "x array<float>").toArrow()
@@ -180,7 +180,7 @@ def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
     docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = pa.array(_scores(model, batch, "text"), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
@@ -197,7 +197,7 @@ def keep_good(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
     model = _model(df, labels, doc, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(_scores(model, batch, text) >= THRESHOLD))
 
     return in_arrow(df, run, df.schema)
