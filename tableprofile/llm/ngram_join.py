@@ -175,8 +175,9 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
         sets = ngram_sets([t for *_, t in rows], n)
         seen, kept = set(), []
         for at, (doc, set_id, _, _, _) in enumerate(rows):
-            if doc not in seen and _set_id(sets[at]) == set_id:  # an id may have a second row, with another text
-                seen.add(doc)
+            # An id may have several rows; each of its sets is taken once, from a row with that text.
+            if (doc, set_id) not in seen and _set_id(sets[at]) == set_id:
+                seen.add((doc, set_id))
                 kept.append(at)
         joined = similar([sets[i] for i in kept], [rows[i][2] for i in kept], [rows[i][3] for i in kept], percent)
         ends = pa.array(list(joined), pa.int64()), pa.array(list(joined.values()), pa.int64())

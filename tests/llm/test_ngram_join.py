@@ -79,6 +79,13 @@ def test_rows_without_ids_repeated_ids_and_empty_tables(spark):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_an_id_with_two_texts_links_by_both(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(7, one), (7, two), (3, one + " x"), (5, two + " x"), (9, one + " y")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {3} and len(got) == 5
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_a_trie_joins_what_comparing_joins(percent):
     rng = np.random.default_rng(percent)
