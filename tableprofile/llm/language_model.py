@@ -35,7 +35,7 @@ WINDOW = 24  # steps of truncated backpropagation, and of scoring at once
 STREAMS = 96  # documents side by side in training
 BATCH_TOKENS = 1_500_000  # scored side by side, or one longer document
 # Of the documents that may be learnt from, one in so many trains the recurrent part; the
-# counts are of all. The first fit, on one machine, takes at most FIRST_DOCS.
+# counts are of all. The first fit, on one machine, takes the beginnings of at most FIRST_DOCS.
 TRAIN_ONE_IN = 4
 FIRST_DOCS = 600
 FIRST_DOC_BYTES = 16_384
@@ -230,49 +230,74 @@ class WordModel:
         """One pass of truncated backpropagation over documents of token numbers; returns the tokens seen.
 
         Documents run side by side in streams, one after the other; a state is carried from
-        window to window and emptied where a document begins.
+        window to window and emptied where a document begins. When no document is left, the
+        streams that still hold tokens go on alone, the fewer they are the more steps at once,
+        until all are empty: every token is learnt from.
         """
         adam = Adam(self.arrays, rate)
         held: list[list[np.ndarray]] = [[] for _ in range(streams)]
         sizes = np.zeros(streams, int)
-        h, seen = np.zeros((streams, HIDDEN), np.float32), 0
+        h, seen, full = np.zeros((streams, HIDDEN), np.float32), 0, WINDOW * streams
         starts_next = np.ones(streams, np.float32)
+
+        def window(steps: int) -> None:
+            nonlocal h, seen
+            ids, begins = np.zeros((steps, len(held)), np.intp), np.zeros((steps, len(held)), np.float32)
+            lengths = np.minimum(sizes, steps)
+            for s, length in enumerate(lengths.tolist()):
+                at, begins[0, s] = 0, starts_next[s]
+                while at < length:
+                    part = held[s][0][: length - at]
+                    ids[at : at + len(part), s] = part
+                    at += len(part)
+                    left = held[s][0][len(part) :]
+                    starts_next[s] = float(not len(left))
+                    if len(left):
+                        held[s][0] = left
+                    else:
+                        held[s].pop(0)
+                        if at < length:
+                            begins[at, s] = 1
+            h = self._train_window(adam, ids, 1 - begins, h, lengths, full)
+            sizes[:] -= lengths
+            seen += int(lengths.sum())
+
         for document in documents:
             into = int(sizes.argmin())
             held[into].append(document)
             sizes[into] += len(document)
             while sizes.min() >= WINDOW:
-                ids, begins = np.empty((WINDOW, streams), np.intp), np.zeros((WINDOW, streams), np.float32)
-                for s in range(streams):
-                    at, begins[0, s] = 0, starts_next[s]
-                    while at < WINDOW:
-                        part = held[s][0][: WINDOW - at]
-                        ids[at : at + len(part), s] = part
-                        at += len(part)
-                        left = held[s][0][len(part) :]
-                        starts_next[s] = float(not len(left))
-                        if len(left):
-                            held[s][0] = left
-                        else:
-                            held[s].pop(0)
-                            if at < WINDOW:
-                                begins[at, s] = 1
-                sizes -= WINDOW
-                h = self._train_window(adam, ids, 1 - begins, h)
-                seen += ids.size
+                window(WINDOW)
+        while sizes.any():
+            rest = np.flatnonzero(sizes)
+            held = [held[s] for s in rest]
+            sizes, h, starts_next = sizes[rest], h[rest], starts_next[rest]
+            window(min(int(sizes.max()), full // len(rest)))
         return seen
 
-    def _train_window(self, adam: Adam, ids: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def _train_window(
+        self, adam: Adam, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, lengths: np.ndarray, full: int
+    ) -> np.ndarray:
+        """A step of all streams; of a stream, the first so many of ``ids`` are tokens.
+
+        Each token weighs as much as one of a window of ``full`` tokens.
+        """
         steps, streams = ids.shape
         after, kept = self.gru.run(ids, h, keep)
         # The state before a token tells it; where a document begins it is empty.
         before = np.concatenate([h[None], after[:-1]]) * keep[:, :, None]
         gradients = {k: np.zeros_like(v) for k, v in self.arrays.items()}
-        _, d_before = self.log_probabilities(before.reshape(-1, HIDDEN), ids.ravel(), gradients)
-        d_before = d_before.reshape(steps, streams, HIDDEN) * keep[:, :, None]
+        if lengths.min() == steps:
+            _, d_before = self.log_probabilities(before.reshape(-1, HIDDEN), ids.ravel(), gradients)
+            d_before = d_before.reshape(steps, streams, HIDDEN)
+        else:  # nothing comes back from behind the end of a stream
+            inside = np.arange(steps)[:, None] < lengths
+            d_before = np.zeros_like(before)
+            d_before[inside] = self.log_probabilities(before[inside], ids[inside], gradients)[1]
+        d_before *= keep[:, :, None]
         d_after = np.concatenate([d_before[1:], np.zeros_like(d_before[:1])])
         gradients["in"], gradients["st"] = self.gru.gradients(ids, kept, d_after, keep)
-        adam.step({k: g / ids.size for k, g in gradients.items()})
+        adam.step({k: g / full for k, g in gradients.items()})
         return after[-1]
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -331,6 +356,14 @@ class _Numbers:
         return found
 
 
+def _first_tokens(beginning: bytes) -> list[bytes]:
+    """The tokens of a text of at most ``FIRST_DOC_BYTES``, or the whole words at the beginning of a longer one."""
+    if len(beginning) <= FIRST_DOC_BYTES:
+        return tokens_of(beginning)
+    words = beginning.lower().split()
+    return words if beginning[-1:].isspace() else words[:-1]
+
+
 def fit(docs: DataFrame, words: Words) -> WordModel:
     """Train the recurrent model.
 
@@ -340,13 +373,14 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
     model = WordModel.random(words)
     spark = docs.sparkSession
     order = F.xxhash64("doc_id", F.lit(2))
-    small = docs.where(F.octet_length("text") <= FIRST_DOC_BYTES)
-    ids = small.select("doc_id").distinct().orderBy(order, "doc_id").limit(FIRST_DOCS)
-    first = small.join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).collect()
+    # One byte more tells a text that goes on.
+    beginning = F.substring(F.col("text").cast("binary"), 1, FIRST_DOC_BYTES + 1)
+    ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(FIRST_DOCS)
+    first = docs.join(F.broadcast(ids), "doc_id").select("doc_id", beginning.alias("text")).collect()
     numbers = _Numbers(words)
-    texts = [bytes(r["text"]) for r in sorted(first, key=lambda r: (r["doc_id"], r["text"]))]
+    texts = [_first_tokens(bytes(r["text"])) for r in sorted(first, key=lambda r: (r["doc_id"], r["text"]))]
     for _ in range(2):
-        model.train((numbers.of(tokens_of(t))[0] for t in texts), 0.01, streams=48)
+        model.train((numbers.of(t)[0] for t in texts if t), 0.01, streams=48)
     start = spark.sparkContext.broadcast((words, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

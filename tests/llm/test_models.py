@@ -128,3 +128,42 @@ def test_probabilities_add_up_to_one():
     document = np.array([1, 2, 7, 3, 0] * 40)
     alone = model.score([document])[0]
     assert np.allclose(model.score([document[:3], document, document[:50]])[1], alone, rtol=1e-5)
+
+
+@pytest.fixture()
+def small_model():
+    places = {w.encode(): i for i, w in enumerate(["", "a", "b", "c", "d", "e"])}
+    words = language_model.Words(100, 20, places, np.log10([30.0, 20, 10, 9, 5, 4]), {"x": 0}, np.log10([9.0, 3.0]), 6)
+    return language_model.WordModel.random(words)
+
+
+@pytest.mark.parametrize("sizes", [[1], [7] * 50, [1, 30, 90] * 67, [20_000], [5] * 200 + [9_000] + [5] * 20, []])
+def test_every_token_is_learnt_from(small_model, sizes):
+    rng = np.random.default_rng(1)
+    before = {k: v.copy() for k, v in small_model.arrays.items()}
+    assert small_model.train(iter([rng.integers(0, 8, n) for n in sizes]), 0.003) == sum(sizes)
+    assert any((small_model.arrays[k] != before[k]).any() for k in before) == bool(sizes)
+
+
+def test_what_is_behind_the_end_of_a_stream_changes_nothing(small_model):
+    found = []
+    for padding in (0, 5):
+        given = []
+        adam = type("Kept", (), {"step": lambda self, g, given=given: given.append(g)})()
+        ids, keep = np.array([[1, 2], [3, 7], [4, 0]]), np.ones((3, 2), np.float32)
+        ids = np.concatenate([ids, np.full((padding, 2), 5)])
+        keep = np.concatenate([keep, np.ones((padding, 2), np.float32)])
+        h = np.full((2, language_model.HIDDEN), 0.1, np.float32)
+        small_model._train_window(adam, ids, keep, h, np.array([3, 3]), 6)
+        found += given
+    assert all(np.allclose(found[0][k], found[1][k], atol=1e-6) for k in found[0])
+
+
+def test_a_corpus_of_long_documents_is_learnt(spark):
+    pattern = "one two three four five six seven eight nine ten " * 700  # 35 KB
+    texts = spark.createDataFrame([(i, pattern) for i in range(20)], "doc_id long, text string").coalesce(1)
+    got = language_model.score_texts(texts).collect()
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.5
+    assert language_model._first_tokens(b"A b") == [b"a", b"b", b""]
+    long = b"ab " * language_model.FIRST_DOC_BYTES
+    assert set(language_model._first_tokens(long[: language_model.FIRST_DOC_BYTES + 1])) == {b"ab"}
