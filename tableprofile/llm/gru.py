@@ -74,23 +74,30 @@ class Gru:
         self, ids: np.ndarray, kept: list, d_states: np.ndarray, keep: np.ndarray | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of ``inputs`` and ``states`` from those of the states, back through time."""
-        d_inputs, d_u = np.zeros_like(self.inputs), np.zeros_like(self.states)
+        n, (steps, rows) = self.size, ids.shape
+        h, z, r, new, u_n = (np.stack(part) for part in zip(*kept, strict=True))
+        # What does not depend on the gradient that comes back is worked out for all steps at once.
+        factors = np.empty((steps, rows, 3, n), h.dtype)  # of d_z, d_r, d_n
+        f_z, f_r, f_n = (factors[:, :, i] for i in range(3))
+        rest = 1 - z
+        np.multiply(rest, 1 - new * new, out=f_n)
+        np.multiply((h - new) * z, rest, out=f_z)
+        np.multiply(u_n * r * (1 - r), f_n, out=f_r)
+        through = factors.copy()
+        through[:, :, 2] *= r
+        back = np.ascontiguousarray(self.states.T)
         d_h = np.zeros_like(d_states[0])
-        rows = np.empty((*ids.shape, 3 * self.size), np.float32)
-        for t in range(len(ids) - 1, -1, -1):
-            h, z, r, new, u_n = kept[t]
-            d_h = d_h + d_states[t]
-            d_n = d_h * (1 - z) * (1 - new * new)
-            d_z = d_h * (h - new) * z * (1 - z)
-            d_r = d_n * u_n * r * (1 - r)
-            rows[t] = np.concatenate([d_z, d_r, d_n], 1)
-            through = np.concatenate([d_z, d_r, d_n * r], 1)
-            d_u += h.T @ through
-            d_h = d_h * z + through @ self.states.T
+        for t in range(steps - 1, -1, -1):
+            d_h += d_states[t]
+            factors[t] *= d_h[:, None]
+            through[t] *= d_h[:, None]
+            d_h *= z[t]
+            d_h += through[t].reshape(rows, 3 * n) @ back
             if keep is not None:
-                d_h = d_h * keep[t][:, None]
-        add_rows(d_inputs, ids.ravel(), rows.reshape(-1, 3 * self.size))
-        return d_inputs, d_u
+                d_h *= keep[t][:, None]
+        d_inputs = np.zeros_like(self.inputs)
+        add_rows(d_inputs, ids.ravel(), factors.reshape(-1, 3 * n))
+        return d_inputs, h.reshape(-1, n).T @ through.reshape(-1, 3 * n)
 
 
 class Adam:
@@ -103,11 +110,19 @@ class Adam:
 
     def step(self, gradients: dict[str, np.ndarray]) -> None:
         self.n += 1
-        length = np.sqrt(sum(float((g * g).sum()) for g in gradients.values()))
+        length = sum(float(np.vdot(g, g)) for g in gradients.values()) ** 0.5
         scale = min(1.0, 5.0 / (length + 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
+        rate = self.rate * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n)
         for k, g in gradients.items():
             m, v = self._first[k], self._second[k]
-            m += 0.1 * (scale * g - m)
-            v += 0.001 * ((scale * g) ** 2 - v)
-            self.arrays[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(self.arrays[k].dtype)
+            m *= 0.9
+            m += (0.1 * scale) * g
+            v *= 0.999
+            square = g * g
+            square *= 0.001 * scale * scale
+            v += square
+            down = np.sqrt(v, out=square)
+            down += 1e-8
+            np.divide(m, down, out=down)
+            down *= rate
+            self.arrays[k] -= down

@@ -34,9 +34,7 @@ SHARED_WORDS = 1 << 17
 WINDOW = 24  # steps of truncated backpropagation, and of scoring at once
 STREAMS = 96  # documents side by side in training
 BATCH_TOKENS = 1_500_000  # scored side by side, or one longer document
-# Of the documents that may be learnt from, one in so many trains the recurrent part; the
-# counts are of all. The first fit, on one machine, takes the beginnings of at most FIRST_DOCS.
-TRAIN_ONE_IN = 4
+# The first fit, on one machine, takes the beginnings of at most FIRST_DOCS documents.
 FIRST_DOCS = 600
 FIRST_DOC_BYTES = 16_384
 FLUSH_WORDS = 1 << 19
@@ -176,9 +174,16 @@ class WordModel:
         return cls(words.frequent, n_tails, starts, arrays)
 
     @staticmethod
-    def _log_softmax(raw: np.ndarray) -> np.ndarray:
-        raw = raw - raw.max(1, keepdims=True)
-        return raw - np.log(np.exp(raw).sum(1, keepdims=True))
+    def _less_one(raw: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The logarithm of the softmax at the targets; ``raw`` becomes the softmax, less one at the targets."""
+        rows = np.arange(len(targets))
+        raw -= raw.max(1, keepdims=True)
+        picked = raw[rows, targets].astype(np.float64)
+        np.exp(raw, out=raw)
+        total = raw.sum(1)
+        raw /= total[:, None]
+        raw[rows, targets] -= 1
+        return picked - np.log(total)
 
     @staticmethod
     def _log_of(raw: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -190,7 +195,7 @@ class WordModel:
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple:
         """ln P of each target after its state; with ``gradients``, also those of -ln P summed, and of the states."""
-        w, rows = self.arrays, np.arange(len(targets))
+        w = self.arrays
         classes = self.class_of[targets]
         d_states = None
         raw = states @ w["class"]
@@ -198,13 +203,10 @@ class WordModel:
         if gradients is None:
             out = self._log_of(raw, classes)
         else:
-            logs = self._log_softmax(raw)
-            out = logs[rows, classes].astype(np.float64)
-            d_raw = np.exp(logs)
-            d_raw[rows, classes] -= 1
-            gradients["class"] += states.T @ d_raw
-            gradients["class_bias"] += d_raw.sum(0)
-            d_states = d_raw @ w["class"].T
+            out = self._less_one(raw, classes)
+            gradients["class"] += states.T @ raw
+            gradients["class_bias"] += raw.sum(0)
+            d_states = raw @ w["class"].T
         order = np.argsort(classes, kind="stable")
         bounds = np.searchsorted(classes[order], np.arange(self.first_tail + 1))
         for k in range(self.first_tail):
@@ -217,13 +219,10 @@ class WordModel:
             if gradients is None:
                 out[own] += self._log_of(raw, at)
             else:
-                logs = self._log_softmax(raw)
-                out[own] += logs[np.arange(len(own)), at]
-                d_raw = np.exp(logs)
-                d_raw[np.arange(len(own)), at] -= 1
-                gradients["word"][a:b] += d_raw.T @ h
-                gradients["word_bias"][a:b] += d_raw.sum(0)
-                d_states[own] += d_raw @ w["word"][a:b]
+                out[own] += self._less_one(raw, at)
+                gradients["word"][a:b] += raw.T @ h
+                gradients["word_bias"][a:b] += raw.sum(0)
+                d_states[own] += raw @ w["word"][a:b]
         return out, d_states
 
     def train(self, documents: Iterator[np.ndarray], rate: float, streams: int = STREAMS) -> int:
@@ -297,7 +296,9 @@ class WordModel:
         d_before *= keep[:, :, None]
         d_after = np.concatenate([d_before[1:], np.zeros_like(d_before[:1])])
         gradients["in"], gradients["st"] = self.gru.gradients(ids, kept, d_after, keep)
-        adam.step({k: g / full for k, g in gradients.items()})
+        for g in gradients.values():
+            g /= full
+        adam.step(gradients)
         return after[-1]
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -367,8 +368,8 @@ def _first_tokens(beginning: bytes) -> list[bytes]:
 def fit(docs: DataFrame, words: Words) -> WordModel:
     """Train the recurrent model.
 
-    A bounded first fit gives all tasks the same start. Then each task goes over its share of
-    the training documents, and the parameters are averaged, weighted by tokens seen.
+    A bounded first fit gives all tasks the same start. Then each task goes over all of its
+    training documents, and the parameters are averaged, weighted by tokens seen.
     """
     model = WordModel.random(words)
     spark = docs.sparkSession
@@ -402,8 +403,7 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
         if total is not None:
             yield _row(part, seen, total)
 
-    share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TRAIN_ONE_IN)) == 0).select("text")
-    trained = stored(in_arrow(share, run, _SUM_SCHEMA), "trained")
+    trained = stored(in_arrow(docs.select("text"), run, _SUM_SCHEMA), "trained")
     # Sums in two steps, so that neither a task nor the driver gets what all tasks trained.
     sums = in_arrow(trained.repartition(16, "part"), add, _SUM_SCHEMA).collect()
     seen = sum(r["seen"] for r in sums)

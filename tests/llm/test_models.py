@@ -167,3 +167,12 @@ def test_a_corpus_of_long_documents_is_learnt(spark):
     assert language_model._first_tokens(b"A b") == [b"a", b"b", b""]
     long = b"ab " * language_model.FIRST_DOC_BYTES
     assert set(language_model._first_tokens(long[: language_model.FIRST_DOC_BYTES + 1])) == {b"ab"}
+
+
+def test_every_training_document_is_learnt_from(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} x y z") for i in range(400)]
+    learnt = []
+    monkeypatch.setattr(language_model, "stored", lambda df, label, kept=language_model.stored: learnt.append((label, out := kept(df, label))) or out)
+    language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    seen = sum(r.seen for r in dict(learnt)["trained"].select("seen").collect())
+    assert seen == 5 * sum(crc(i, 10) != 0 for i in range(400))
