@@ -285,7 +285,8 @@ def keep_clear(
 ) -> DataFrame:
     """The rows of ``df`` in a language that ``label_languages`` knows, with a score of at least ``least``.
 
-    Rows stay as they are and are not moved.
+    Rows stay as they are and are not moved. Where no language can be learnt, none is clear or
+    unclear: the rows whose text has a letter stay.
     """
     docs = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"), column(lang).alias("lang"))
     network = fit(docs)
@@ -293,7 +294,11 @@ def keep_clear(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(network)
         for batch in small_batches(batches):
-            _, scores = labeller.label([t or "" for t in batch.column(text).to_pylist()])
-            yield batch.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            if network is None:
+                kept = [any(map(str.isalpha, t)) for t in texts]
+            else:
+                kept = [s > 0 and s >= least for s in labeller.label(texts)[1]]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return in_arrow(df, run, df.schema)

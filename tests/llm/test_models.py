@@ -176,3 +176,9 @@ def test_every_training_document_is_learnt_from(spark, monkeypatch):
     language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count()
     seen = sum(r.seen for r in dict(learnt)["trained"].select("seen").collect())
     assert seen == 5 * sum(crc(i, 10) != 0 for i in range(400))
+
+
+def test_without_a_known_language_texts_with_letters_stay(spark):
+    rows = [(1, "some text", None), (2, "12 ... 34", None), (3, None, None), (4, "", None), (5, "12 é", None)]
+    unknown = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_clear(unknown).collect()) == [1, 5]
