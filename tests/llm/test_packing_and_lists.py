@@ -108,3 +108,13 @@ def test_stages_take_repeated_rows_and_nulls(spark, folder):
     assert corpus_pipeline.without_near_copies(spark, docs.limit(0), folder).count() == 0
     assert hashlib.sha256(b"").hexdigest() in {r.text_sha256 for r in exact_dedup.exact_dedup(docs).collect()}
     assert corpus_pipeline.packed(spark, docs, folder).agg(F.count(F.lit(1))).first()[0] == 5
+
+
+def test_near_copies_of_repeated_and_missing_ids(spark, folder):
+    first, second, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = first + " more"
+    rows = [(7, first), (7, second), (3, near), (5, other), (5, other + " more"), (None, second + " more"), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in corpus_pipeline.without_near_copies(spark, docs, folder).collect()}
+    assert {(7, second), (3, near), (None, "alone"), (None, None)} <= kept
+    assert len(kept) == 5 and len([r for r in kept if r[0] == 5]) == 1
