@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
@@ -17,10 +17,11 @@ from .samples import fold
 FOLDS = 3
 HELD_OUT = 1
 UNDETERMINED = "und"
-# The fit takes at most so many documents of a language, of at most so many bytes, and so
-# many documents in all.
+# The fit takes at most so many documents of a language, those of at most so many bytes first,
+# and so many documents in all. Of a longer one it takes pieces spread over the whole text.
 DOCS_PER_LANGUAGE = 400
 DOC_BYTES = 16_384
+PIECES = 16
 DOCS = 4_000
 HIDDEN = 12
 SPAN = 32  # bytes that the network sees at once; words beyond it are cut
@@ -213,31 +214,52 @@ def _labeller(network: ByteNetwork | None) -> Labeller:
     return _labellers[key]
 
 
+def _pieces(text: Column) -> Column:
+    """The text, or ``PIECES`` of a long one, of ``DOC_BYTES`` characters in all, from its start to its end."""
+    size = DOC_BYTES // PIECES
+    gap = (F.char_length(text).cast("long") - size) / (PIECES - 1)
+    starts = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    spread = F.transform(starts, lambda i: F.substr(text, F.greatest(F.lit(1), F.floor(i * gap) + 1).cast("int"), F.lit(size)))
+    return F.when(F.octet_length(text) <= DOC_BYTES, F.array(text)).otherwise(spread)
+
+
+def _words(pieces: list[str]) -> list[str]:
+    """The words of a text; of pieces, without those at their edges, if there are others."""
+    found = [piece.lower().split() for piece in pieces]
+    if len(pieces) > 1:
+        found = [words[1:-1] if len(words) > 2 else words for words in found]
+    return [word for words in found for word in words]
+
+
 def fit(docs: DataFrame) -> ByteNetwork | None:
     """A network from documents (doc_id, text, lang) of the folds that may be learnt from; None without any.
 
     Only the text and the language are learnt from. The fit takes at most
-    ``DOCS_PER_LANGUAGE`` documents of a language, ``DOC_BYTES`` bytes of a document and
-    ``DOCS`` documents, the first by a hash of the id.
+    ``DOCS_PER_LANGUAGE`` ids of a language and ``DOCS`` in all, the first by a hash of the
+    id, with one row each, and about ``DOC_BYTES`` bytes of a document. Longer documents are
+    taken where a language has too few others.
     """
     learnt = (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull()
-    usable = docs.where(learnt & F.octet_length("text").between(1, DOC_BYTES))
-    order = F.xxhash64("doc_id", F.lit(1))
+    usable = docs.where(learnt & (F.octet_length("text") >= 1))
+    distinct = usable.groupBy("doc_id", "lang").agg((F.min(F.octet_length("text")) > DOC_BYTES).alias("long"))
+    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", F.lit(1)), "doc_id")
     # Rank filters are applied within the map tasks before rows of a language meet.
     ids = (
-        usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("rank"))
+        distinct.select("doc_id", "lang", F.row_number().over(first).alias("rank"))
         .where(F.col("rank") <= DOCS_PER_LANGUAGE)
         .orderBy("rank", "lang")
         .limit(DOCS)
         .select("doc_id", "lang")
     )
-    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
+    # Repeated rows of an id meet as one in the map tasks.
+    taken = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", _pieces(F.col("text")).alias("pieces"))
+    rows = taken.groupBy("doc_id", "lang").agg(F.min(F.struct(F.size("pieces"), "pieces")).alias("first")).collect()
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
     words, labels = [], []
-    for row in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        for word in row["text"].lower().split():
+    for row in sorted(rows, key=lambda r: (r["doc_id"], r["lang"])):
+        for word in _words(row["first"]["pieces"]):
             if any(map(str.isalpha, word)):
                 parts = _spans(word)
                 words += parts

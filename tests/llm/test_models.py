@@ -182,3 +182,21 @@ def test_without_a_known_language_texts_with_letters_stay(spark):
     rows = [(1, "some text", None), (2, "12 ... 34", None), (3, None, None), (4, "", None), (5, "12 é", None)]
     unknown = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in language_id.keep_clear(unknown).collect()) == [1, 5]
+
+
+def test_a_language_of_long_documents_alone_is_learnt(spark):
+    rows = [(i, ("the house and water " if i % 2 else "дом вода река ") * (2 if i % 2 else 2000), "en" if i % 2 else "ru") for i in range(60)]
+    got = language_id.label_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in rows}
+    pieces = spark.createDataFrame([("a" * 9 + " " * 2 + "b" * 40_000 + " end",)], "t string").select(language_id._pieces(language_id.F.col("t"))).first()[0]
+    assert len(pieces) == language_id.PIECES and pieces[0].startswith("a" * 9) and pieces[-1].endswith("b end")
+    assert language_id._words(["x one two y", "z"]) == ["one", "two", "z"] and language_id._words(["A b"]) == ["a", "b"]
+
+
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    ids = [i for i in range(100) if crc(i, 3) != 1]
+    rows = [(ids[0], "one two three", "en")] * 500 + [(i, "four five", "en") for i in ids[1:4]]
+    learnt = []
+    monkeypatch.setattr(language_id.ByteNetwork, "train", lambda self, words, labels, rng: learnt.extend(words))
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")) is not None
+    assert len(learnt) == 3 + 3 * 2
