@@ -377,9 +377,10 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
     # One byte more tells a text that goes on.
     beginning = F.substring(F.col("text").cast("binary"), 1, FIRST_DOC_BYTES + 1)
     ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(FIRST_DOCS)
-    first = docs.join(F.broadcast(ids), "doc_id").select("doc_id", beginning.alias("text")).collect()
+    # One row of an id; repeated ones meet in the map tasks.
+    first = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(beginning).alias("text")).collect()
     numbers = _Numbers(words)
-    texts = [_first_tokens(bytes(r["text"])) for r in sorted(first, key=lambda r: (r["doc_id"], r["text"]))]
+    texts = [_first_tokens(bytes(r["text"])) for r in sorted(first, key=lambda r: r["doc_id"])]
     for _ in range(2):
         model.train((numbers.of(t)[0] for t in texts if t), 0.01, streams=48)
     start = spark.sparkContext.broadcast((words, model))

@@ -126,13 +126,18 @@ def _binary(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
 
 
 def _features_of(docs: DataFrame, keys: DataFrame) -> np.ndarray:
-    """Features of the documents with the given ids, of which there are few."""
+    """Features of the documents with the given ids, of which there are few; one row for each id.
+
+    Repeated rows of an id meet as one in the map tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(list(features(_binary(batch))), pa.list_(pa.float32()))], ["x"])
+            found = pa.array(list(features(_binary(batch))), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "x"])
 
-    rows = in_arrow(docs.join(F.broadcast(keys), "doc_id").select("text"), run, "x array<float>").toArrow()
+    every = in_arrow(docs.join(F.broadcast(keys), "doc_id").select("doc_id", "text"), run, "doc_id long, x array<float>")
+    rows = every.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
     found = rows.column("x").combine_chunks()
     return found.flatten().to_numpy().reshape(-1, N_FEATURES)
 
@@ -148,14 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Class
     learnt = fold(F.col("doc_id"), FOLDS) != 0
     known = labels.where(learnt & F.col("quality").isNotNull())
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quality").cast("long")).alias("ones")).first()
-    total = docs.where(learnt).count()
+    ids = docs.where(learnt).select("doc_id").distinct()
+    total = ids.count()
     if not counts["ones"] or not total:
         return None
     if prior is None:
         prior = min(0.99, max(0.01, counts["ones"] / counts["n"]))
     positives = known.where("quality = 1").select("doc_id").distinct()
-    positive = _features_of(docs, sample(positives, "doc_id", POSITIVES, counts["ones"]))
-    unlabelled = _features_of(docs, sample(docs.where(learnt).select("doc_id").distinct(), "doc_id", UNLABELLED, total))
+    positive = _features_of(docs, sample(positives, "doc_id", POSITIVES, positives.count()))
+    unlabelled = _features_of(docs, sample(ids, "doc_id", UNLABELLED, total))
     return Classifier.fit(positive, unlabelled, prior) if len(positive) else None
 
 

@@ -200,3 +200,20 @@ def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
     monkeypatch.setattr(language_id.ByteNetwork, "train", lambda self, words, labels, rng: learnt.extend(words))
     assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")) is not None
     assert len(learnt) == 3 + 3 * 2
+
+
+def test_samples_take_one_row_of_an_id(spark, monkeypatch):
+    ids = [i for i in range(60) if crc(i, 5) and crc(i, 10)]
+    rows = [(ids[0], f"text {k % 3}") for k in range(300)] + [(i, "some other text") for i in ids[1:]]
+    repeated = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1)] * 20 + [(ids[1], 1), (ids[2], 0)], "doc_id long, quality int")
+    found = []
+    monkeypatch.setattr(quality.Classifier, "fit", lambda p, u, prior: found.append((len(p), len(u))))
+    quality.fit(repeated, labels)
+    assert found == [(2, len(ids))]
+    first = []
+    monkeypatch.setattr(language_model.WordModel, "train", lambda self, documents, rate, streams: first.append(len(list(documents))))
+    counts = language_model.count_tokens(repeated).cache()
+    monkeypatch.setattr(language_model, "stored", lambda df, label: df.limit(0))
+    language_model.fit(repeated, language_model.know_words(counts))
+    assert first == [len(ids)] * 2
