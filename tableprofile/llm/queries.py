@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, language_id, language_model, nearest, ngram_join, packing, quality, token_files, url_filter
+from . import (
+    byte_pairs,
+    exact_dedup,
+    hard_negatives,
+    language_id,
+    language_model,
+    nearest,
+    ngram_join,
+    packing,
+    quality,
+    token_files,
+    url_filter,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +78,11 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(_read(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings")
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, hard_negatives.contract_label())
+
+
 def builders() -> dict[str, Build]:
     operators = (
         op1_url_filter,
@@ -78,9 +95,15 @@ def builders() -> dict[str, Build]:
         op8_language_id,
         op9_quality,
         op10_language_model,
+        op11_hard_negatives,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_packing": packing.sql()}
+    return {
+        "op1_url_filter": url_filter.SQL,
+        "op4_exact_dedup": exact_dedup.SQL,
+        "op5_packing": packing.sql(),
+        "op11_hard_negatives": hard_negatives.SQL,
+    }
