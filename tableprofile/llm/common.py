@@ -83,18 +83,25 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run ``values[start:end]`` of 64-bit integers, whose place does not matter. No run is empty."""
+    power, inverse = _tables(len(values))
+    sums = np.cumsum((values + np.uint64(1)) * power[: len(values)], dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return mix((sums[ends - 1] - before) * inverse[starts])
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts in order, where each text's words begin; one more at the end).
 
-    A-Z are lower-cased. A word's hash depends on its bytes alone.
+    A-Z are lower-cased, unless ``lower`` is False. A word's hash depends on its bytes alone.
     """
-    joined = _LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
+    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    joined = _LOWER[joined] if lower else joined
     space = _IS_SPACE[joined]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _tables(len(joined))
-    sums = np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], dtype=np.uint64)
-    hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+    hashes = range_hashes(joined.astype(np.uint64), starts, ends)
     begins = np.cumsum([1] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, begins)
 

@@ -16,7 +16,9 @@ from . import (
     nearest,
     ngram_join,
     packing,
+    prefix_trie,
     quality,
+    substring_dedup,
     token_files,
     url_filter,
 )
@@ -83,6 +85,15 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, hard_negatives.contract_label())
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_read(spark, folder, "documents"), with_text=False)
+    return found.drop("repeats", "kept")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_read(spark, folder, "conversations"))
+
+
 def builders() -> dict[str, Build]:
     operators = (
         op1_url_filter,
@@ -96,6 +107,8 @@ def builders() -> dict[str, Build]:
         op9_quality,
         op10_language_model,
         op11_hard_negatives,
+        op12_substring_dedup,
+        op13_prefix_trie,
     )
     return {f.__name__: f for f in operators}
 
@@ -106,4 +119,6 @@ def oracles() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.SQL,
         "op5_packing": packing.sql(),
         "op11_hard_negatives": hard_negatives.SQL,
+        "op12_substring_dedup": substring_dedup.SQL,
+        "op13_prefix_trie": prefix_trie.SQL,
     }
