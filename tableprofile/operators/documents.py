@@ -135,3 +135,85 @@ def preview_texts(df: DataFrame, key: str, text: str = "text", chars: int = 2000
 def truncate_context(df: DataFrame, key: str, chars: int, text: str = "text") -> DataFrame:
     """Each text cut to ``chars`` characters, and whether it was cut."""
     return df.select(key, truncate_text(F.col(text), chars).alias("_cut")).select(key, "_cut.text", "_cut.truncated")
+
+
+# Characters of a part, and pages whose places are worked out together.
+PART_CHARS = 1 << 20
+PAGES_PER_SLICE = 1000
+
+
+def assemble_parts(
+    pages: DataFrame,
+    doc: str = "doc_id",
+    page: str = "page_no",
+    text: str = "text",
+    part_chars: int = PART_CHARS,
+    pages_per_slice: int = PAGES_PER_SLICE,
+) -> DataFrame:
+    """(doc, part_no, n_pages, chars, text): the document of ``assemble_pages`` in parts of bounded size.
+
+    No part is longer than ``part_chars`` characters, however many pages a document has and
+    however long one of them is: a page is cut where a part is full. One after the other
+    the parts are the document. ``n_pages`` counts the pages that begin in a part.
+
+    Lengths alone tell where each page lies: running totals within slices of pages, then the
+    parts of all slices before. Texts then move once, to their slice. ``doc`` and ``page``
+    identify a row; a row without a page number adds no text, and a document of such rows
+    alone is one empty part.
+    """
+    numbered = pages.where(F.col(page).isNotNull())
+    slice_no = F.floor(F.col(page) / pages_per_slice).cast("long")
+    marked = _with_marker(F.col(page), F.col(text))
+    lengths = numbered.select(
+        F.col(doc).alias("_doc"),
+        F.col(page).alias("_page"),
+        slice_no.alias("_slice"),
+        F.length(marked).cast("long").alias("_chars"),
+        F.length(F.rtrim(marked, F.lit(WHITESPACE))).cast("long").alias("_stripped"),
+    )
+    in_slice = Window.partitionBy("_doc", "_slice").orderBy("_page")
+    before = F.coalesce(F.sum("_chars").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last_page = F.lead("_page").over(in_slice).isNull()
+    slices = (
+        lengths.select("_doc", "_slice", "_page", "_chars", "_stripped", before.alias("_start"), last_page.alias("_last"))
+        .groupBy("_doc", "_slice")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("_page", "_start"))).alias("_starts"),
+            F.max(F.when(F.col("_last"), F.struct("_page", "_start", "_chars", "_stripped"))).alias("_end"),
+        )
+    )
+    of_doc = Window.partitionBy("_doc").orderBy("_slice")
+    # Only the end of a document is stripped: of its last slice, the last page.
+    ends = F.lead("_slice").over(of_doc).isNull()
+    total = F.col("_end._start") + F.when(ends, F.col("_end._stripped")).otherwise(F.col("_end._chars"))
+    parts = F.ceil(total / part_chars)
+    placed = slices.select(
+        "_doc",
+        "_slice",
+        "_starts",
+        total.alias("_total"),
+        F.coalesce(F.sum(parts).over(of_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+    )
+    texts = numbered.select(F.col(doc).alias("_doc"), slice_no.alias("_slice"), F.col(page).alias("_page"), marked.alias("_text"))
+    joined = texts.join(placed, ["_doc", "_slice"]).withColumn("_start", F.try_element_at("_starts", F.col("_page"))).drop("_starts")
+    first = F.floor(F.col("_start") / part_chars)
+    length = F.least(F.length("_text"), F.col("_total") - F.col("_start"))
+    last = F.floor((F.col("_start") + length - 1) / part_chars)
+    pieces = joined.select("*", F.explode(F.sequence(first, last)).alias("_part"))
+    begin = F.greatest(F.lit(0), F.col("_part") * part_chars - F.col("_start"))
+    end = F.least(length, (F.col("_part") + 1) * part_chars - F.col("_start"))
+    piece = F.struct("_page", F.substring(F.col("_text"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
+    assembled = pieces.groupBy("_doc", "_slice", "_part").agg(
+        F.first("_base").alias("_base"),
+        F.count_if(F.col("_part") == first).alias("n_pages"),
+        F.array_sort(F.collect_list(piece)).alias("_pieces"),
+    )
+    found = assembled.select(
+        F.col("_doc").alias(doc),
+        (F.col("_base") + F.col("_part")).cast("long").alias("part_no"),
+        "n_pages",
+        F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("text"),
+    )
+    unnumbered = pages.groupBy(doc).agg(F.count(page).alias("n_pages")).where("n_pages = 0")
+    empty = unnumbered.select(doc, F.lit(0).cast("long").alias("part_no"), "n_pages", F.lit("").alias("text"))
+    return found.unionByName(empty).select(doc, "part_no", "n_pages", F.length("text").cast("long").alias("chars"), "text")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise_text
 from ..operators import context, documents, enrich, report
+from ..session import scratch_path
 from . import checks
 from .incidents import COLUMNS, CTE, incidents
 from .registry import query, read
@@ -108,6 +109,25 @@ def assemble_pages_small_parts(spark, folder):
     return documents.assemble_pages(read(spark, folder, "conversations"), "conv_id", "turn", pages_per_part=2)
 
 
+@query(
+    "assemble_parts",
+    r"""WITH marked AS (SELECT conv_id, turn, turn // 4 AS s,
+      '--- PÁGINA ' || turn || ' ---' || chr(10) || text || chr(10) || chr(10) AS text FROM conversations),
+    begins AS (SELECT conv_id, s, p, count(*) AS n_pages FROM (SELECT conv_id, s, coalesce(sum(length(text)) OVER (
+        PARTITION BY conv_id, s ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS p FROM marked) GROUP BY ALL),
+    slices AS (SELECT conv_id, s, string_agg(text, '' ORDER BY turn) AS text FROM marked GROUP BY conv_id, s),
+    stripped AS (SELECT conv_id, s,
+      CASE WHEN s = max(s) OVER (PARTITION BY conv_id) THEN regexp_replace(text, '\s+$', '') ELSE text END AS text FROM slices),
+    parts AS (SELECT conv_id, s, p, substr(text, p * 500 + 1, 500) AS text
+      FROM (SELECT *, unnest(range(ceil(length(text) / 500)::BIGINT)) AS p FROM stripped))
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s, p) - 1 AS part_no, coalesce(n_pages, 0) AS n_pages,
+      length(text) AS chars, text FROM parts LEFT JOIN begins USING (conv_id, s, p)""",
+)
+def assemble_parts(spark, folder):
+    """Short parts, so that most pages are cut."""
+    return documents.assemble_parts(read(spark, folder, "conversations"), "conv_id", "turn", part_chars=500, pages_per_slice=4)
+
+
 @query(
     "document_windows",
     """SELECT doc_id, 0::BIGINT AS part_no, w::INT AS window_no, substr(text, (w * 2000 + 1)::BIGINT, 2000) AS text
@@ -205,6 +225,15 @@ def batch_answers(spark, folder):
     )
 
 
+@query("ledger_answers", _ANSWERS + " SELECT * FROM answers")
+def ledger_answers(spark, folder):
+    """Half of the conversations first; then all, of which half is in the ledger."""
+    ledger = scratch_path(spark, "ledger")
+    prompts = context.document_prompt(_questions(spark, folder).distinct(), _windows(spark, folder, _ANSWER_CHARS), "conv_id")
+    enrich.ledger_answers(prompts.where("conv_id % 2 = 0"), counting_client(), ledger)
+    return enrich.ledger_answers(prompts, counting_client(), ledger)
+
+
 @query(
     "gather_answers",
     _ANSWERS + """ SELECT conv_id, question, list(answer ORDER BY part_no, window_no) AS answers, count(error) AS failed

@@ -157,6 +157,26 @@ def incremental_extract(spark, folder):
     return pages.incremental_extract(documents, cache, line_extractor(), "doc_id")
 
 
+def lines_of_file():
+    """A page extractor for text files: every line is a page."""
+
+    def extract(content: bytes) -> list[tuple[int, str]]:
+        return list(enumerate(content.decode("utf-8").split("\n")[:-1], start=1))
+
+    return extract
+
+
+@query("extract_new_files", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
+def extract_new_files(spark, folder):
+    """Text files land in two goes, and each is read once."""
+    landing, cache = scratch_path(spark, "landing"), scratch_path(spark, "page-cache")
+    texts = read(spark, folder, "documents")
+    for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 != 0):
+        texts.where(part).select("text").write.mode("append").text(landing)
+        found = pages.extract_new_files(pages.list_files(spark, landing, "*.txt"), cache, lines_of_file())
+    return found.select("text")
+
+
 def whole_extractor(reverse: bool):
     """The whole text as one page; reversed text stands for a costly way to read a file."""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import profile, report
+from ..operators import dashboard as panels
+from ..operators import heavy, profile, report
 from . import checks
 from .incidents import COLUMNS, CTE, WITH, incidents
 from .registry import query, read
@@ -107,6 +108,46 @@ def categorical_top_k_long(spark, folder):
     return profile.categorical_top_k(read(spark, folder, "documents").select("text", "lang"))
 
 
+@query("top_values", _TOPS + 'SELECT col AS "column", val AS "value", cnt AS "count", CAST(rnk AS INT) AS rank FROM tops')
+def top_values(spark, folder):
+    """Few values with most rows: the sketch's candidates are proved."""
+    return heavy.top_values(incidents(spark, folder))
+
+
+@query(
+    "top_values_flat",
+    "WITH " + checks.tops("documents", (("text", "string", "text"), ("source", "string", "text"))) + """
+    SELECT col AS "column", val AS "value", cnt AS "count", CAST(rnk AS INT) AS rank FROM tops""",
+)
+def top_values_flat(spark, folder):
+    """Most texts occur once, so the values in doubtful buckets are counted."""
+    return heavy.top_values(read(spark, folder, "documents").select("text", "source"))
+
+
+_PANELS = {
+    "tipo_siniestro": "clase_siniestro",
+    "tiempo": "jornada",
+    "zona": "zona",
+    "genero": "genero",
+    "barrio": "barrios_corregimiento_via",
+    "direccion": "direccion",
+    "year": "substr(fecha, 1, 4)",
+    "month": "substr(fecha, 1, 7)",
+}
+
+
+@query(
+    "dashboard",
+    WITH + ", counted AS (" + " UNION ALL ".join(
+        f"""SELECT '{panel}' AS panel, {c} AS "value", count(*) AS "count" FROM incidents WHERE {c} IS NOT NULL GROUP BY {c}"""
+        for panel, c in _PANELS.items()
+    ) + """) SELECT *, CAST(row_number() OVER (PARTITION BY panel ORDER BY "count" DESC, "value") AS INT) AS rank FROM counted
+    QUALIFY rank <= CASE panel """ + " ".join(f"WHEN '{p}' THEN {n}" for p, n in panels.PANEL_VALUES.items()) + " ELSE 2147483647 END",
+)
+def dashboard(spark, folder):
+    return panels.dashboard(incidents(spark, folder))
+
+
 @query(
     "categorical_share",
     _TOPS + """SELECT col AS "column", CAST(rnk AS INT) AS rank, val AS "value", cnt AS "count", round(cnt / filled * 100, 6) AS share,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import batched
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,16 +19,31 @@ from ..session import scratch_path
 
 # Pages that a worker hands back at a time.
 PAGES_PER_BATCH = 2000
+# Files that one run of an incremental job reads; what it did is then known for good.
+FILES_PER_RUN = 10_000
 
 Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
 
 
+def _binary(spark: SparkSession, glob: str = "*") -> DataFrameReader:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+
+
+def _described(files: DataFrame) -> list[Column]:
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem")
+    return [files.path, F.col("modificationTime").alias("modified"), files.length, stem]
+
+
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, modified, length, stem, content) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path", F.col("modificationTime").alias("modified"), "length", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), "content"
-    )
+    files = _binary(spark, glob).load(path)
+    return files.select(*_described(files), "content")
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, modified, length, stem) of every file below a folder that is not empty; no content is read."""
+    files = _binary(spark, glob).load(path)
+    return files.select(*_described(files))
 
 
 def extract_pages(files: DataFrame, extractor: Extractor, key: str | Sequence[str] = "stem") -> DataFrame:
@@ -81,16 +99,15 @@ def incremental_extract(files: DataFrame, cache_path: str, extractor: Extractor,
     """
     spark, identity = files.sparkSession, _identity(files, key)
     columns = list(dict.fromkeys([*identity, key]))
-    manifest_path, pages_path, run = f"{cache_path}/manifest", f"{cache_path}/pages", uuid.uuid4().hex
+    manifest_path, pages_path, run = f"{cache_path}/manifest", f"{cache_path}/pages", f"run-{uuid.uuid4().hex}"
     try:
         todo = files.join(spark.read.parquet(manifest_path).select(*identity), identity, "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         todo = files
-    found = extract_pages(todo, extractor, columns).withColumn("run", F.lit(run))
-    found.write.mode("append").parquet(pages_path)
-    failed = spark.read.parquet(pages_path).where((F.col("run") == run) & F.col("error").isNotNull())
+    extract_pages(todo, extractor, columns).write.parquet(f"{pages_path}/run={run}")
+    failed = spark.read.parquet(f"{pages_path}/run={run}").where(F.col("error").isNotNull())
     done = todo.select(*identity).distinct().join(failed.select(*identity).distinct(), identity, "left_anti")
     done.withColumn("run", F.lit(run)).write.mode("append").parquet(manifest_path)
     current = spark.read.parquet(manifest_path).join(files.select(*identity).distinct(), identity, "left_semi")
@@ -98,6 +115,87 @@ def incremental_extract(files: DataFrame, cache_path: str, extractor: Extractor,
     return pages.select(*columns, "page_no", "text")
 
 
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+FILE_IDENTITY = ("path", "modified", "length")
+_PAGES = "path string, page_no long, text string, error string, run string"
+
+
+def extract_new_files(
+    listed: DataFrame, cache_path: str, extractor: Extractor, files_per_run: int = FILES_PER_RUN
+) -> DataFrame:
+    """(path, modified, length, stem, page_no, text): pages of all listed files, reading only files that are new.
+
+    ``listed`` comes from ``list_files``: what a file is known by is compared with the
+    cache's manifest before any content is read. The new files are then read in runs of
+    ``files_per_run``. A run is named by its files, and replaces what a broken run of that
+    name left; when it is over, a manifest row for each of its files says so. So a job that
+    broke off goes on where it was, and repeating it reads no file twice. A file that
+    changed is read again and its old pages are no longer returned; files that failed are
+    tried again.
+    """
+    spark, identity = listed.sparkSession, list(FILE_IDENTITY)
+    manifest_path, pages_path = f"{cache_path}/manifest", f"{cache_path}/pages"
+    listed = listed.select(*identity, "stem")
+    known = _read_or_none(spark, manifest_path)
+    todo = listed if known is None else listed.join(known, identity, "left_anti")
+    # Paths of one run at a time are held here.
+    for files in batched(todo.select(*identity).orderBy("path").toLocalIterator(), files_per_run):
+        _extract_run(spark, files, manifest_path, pages_path, extractor)
+    known, pages = _read_or_none(spark, manifest_path), _read_or_none(spark, pages_path)
+    if known is None or pages is None:
+        return listed.where(F.lit(False)).select("*", F.lit(None).cast("long").alias("page_no"), F.lit(None).cast("string").alias("text"))
+    current = listed.join(known, identity)
+    return pages.where("error IS NULL").select("path", "run", "page_no", "text").join(current, ["path", "run"]).select(*listed.columns, "page_no", "text")
+
+
+def _extract_run(spark: SparkSession, files: Sequence[Row], manifest_path: str, pages_path: str, extractor: Extractor) -> None:
+    run = "run-" + hashlib.sha256("\n".join(f"{f.path} {f.modified} {f.length}" for f in files).encode()).hexdigest()[:32]
+    # Characters that would make a path a pattern stand for themselves.
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f.path) for f in files]
+    pages = extract_pages(_binary(spark).load(paths).select("path", "content"), extractor, "path")
+    pages.write.mode("overwrite").parquet(f"{pages_path}/run={run}")
+    failed = spark.read.schema(_PAGES).parquet(f"{pages_path}/run={run}").where(F.col("error").isNotNull()).select("path")
+    done = spark.createDataFrame(list(files), "path string, modified timestamp, length long").join(failed, "path", "left_anti")
+    done.write.mode("overwrite").parquet(f"{manifest_path}/run={run}")
+
+
+def extract_new_documents(
+    listed: DataFrame,
+    cache_path: str,
+    primary: Extractor,
+    fallback: Extractor,
+    pages_per_part: int = PAGES_PER_PART,
+    files_per_run: int = FILES_PER_RUN,
+) -> DataFrame:
+    """(path, part_no, n_pages, chars, text, method): ``extract_documents`` for listed files, from and to a cache.
+
+    Content is read once by the primary extractor, and once more by the fallback only for
+    files whose primary text is too short, that failed or that have no pages.
+    """
+    spark = listed.sparkSession
+    pages = extract_new_files(listed, f"{cache_path}/primary", primary, files_per_run)
+    path = scratch_path(spark, "primary-text")
+    assemble_pages(pages, "path", "page_no", pages_per_part=pages_per_part).write.parquet(path)
+    parts = spark.read.parquet(path)
+    good = parts.where((F.col("part_no") > 0) | good_text(F.col("text"))).select("path").distinct()
+    rest = listed.join(good, "path", "left_anti")
+    again = extract_new_files(rest, f"{cache_path}/fallback", fallback, files_per_run)
+    replaced = assemble_pages(again, "path", "page_no", pages_per_part=pages_per_part)
+    return (
+        parts.join(good, "path", "left_semi")
+        .withColumn("method", F.lit("primary"))
+        .unionByName(replaced.withColumn("method", F.lit("fallback")))
+    )
+
+
 def extract_documents(
     files: DataFrame, primary: Extractor, fallback: Extractor, key: str = "stem", pages_per_part: int = PAGES_PER_PART
 ) -> DataFrame:

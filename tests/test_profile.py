@@ -52,6 +52,35 @@ def test_quantiles_of_a_hot_value_need_no_large_group(spark):
     assert exact_quantiles(hot, hot.schema.fields, [0.25, 0.5], accuracy=100)["v"] == [1.5, 1.5]
 
 
+@pytest.mark.parametrize("n", [3000, 40_000, 400_000])
+def test_quantile_scans_bring_together_bins_not_rows(spark, monkeypatch, n):
+    from tableprofile.operators import quantiles
+
+    whole, scans = quantiles._histograms, []
+
+    def counted(numbers, intervals, bins):
+        found = whole(numbers, intervals, bins)
+        scans.append(max(map(len, found)))
+        return found
+
+    monkeypatch.setattr(quantiles, "_histograms", counted)
+    x = F.col("id").cast("double")
+    columns = {
+        "even": x,
+        "steep": F.exp(x * 600 / n) - F.exp(F.lit(300.0)),
+        "ends": F.when(F.col("id") % 10 == 0, F.lit(float("inf"))).when(F.col("id") % 10 == 1, F.lit(float("-inf"))).otherwise(x * 1e300),
+    }
+    df = spark.range(n).select(*(c.alias(k) for k, c in columns.items()))
+    shares = [0.0, 0.2345, 0.5, 0.75]
+    found = exact_quantiles(df, df.schema.fields, shares, accuracy=500)
+    for k in columns:
+        values = sorted(r[0] for r in df.select(k).collect())
+        ends = [(values[math.floor((n - 1) * p)], values[math.ceil((n - 1) * p)]) for p in shares]
+        want = [low if low == high else _quantile(values, p) for p, (low, high) in zip(shares, ends, strict=True)]
+        assert found[k] == pytest.approx(want, rel=1e-12)
+    assert len(scans) <= 12 and max(scans) <= quantiles.FEW_ROWS  # a steep column takes most scans
+
+
 def test_approximate_quantiles_are_near(mixed):
     fields = [f for f in mixed.schema.fields if f.name in ("spread", "empty")]
     found = approximate_quantiles(mixed, fields, [0.5])
