@@ -5,55 +5,85 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import slices
+
 # A space between two characters that are no white space always begins a piece of the
 # public byte-level pattern, so what stands between such spaces is encoded on its own.
 _PAIR_OF_SPACES = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
-# Segments that a worker remembers; about 200 bytes each.
-CACHE_ENTRIES = 1 << 20
+# What a worker remembers: segments of at most so many characters, up to so many of them.
+CACHE_CHARS = 64
+CACHE_ENTRIES = 1 << 19  # with about 200 bytes each, and 1 KB at the very most
+RUN_CHARS = 1 << 22  # characters of texts encoded at once, or one longer text
 
 
 class SegmentCache:
-    """Encodes texts segment by segment and remembers what each segment gives.
+    """Encodes texts segment by segment and remembers what each short segment gives.
 
-    ``encode`` takes a list of strings and returns one ``bytes`` for each. The cache is
-    emptied when it is full, so its memory is bounded and its results are always exact.
+    ``encode`` takes a list of strings and returns for each the bytes of its ids, four an
+    id. The cache is emptied when it is full and takes no long segment (a text without
+    spaces is one), so its memory is bounded in bytes and its results are always exact.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self._encode, self._entries = encode, entries
-        self._spaced: dict[str, bytes] = {}  # by the segment without its leading space
-        self._whole: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], prefix: str) -> dict[str, bytes]:
-        """What the ``wanted`` segments give, now known as well."""
-        unseen = sorted(wanted)
-        found = dict(zip(unseen, self._encode([prefix + s for s in unseen]), strict=True))
-        if len(known) + len(found) > self._entries:
-            known.clear()
-        known.update(found)
+        self._known: dict[str, bytes] = {}
+
+    def _ids(self, segments: list[str]) -> list[bytes]:
+        """What each of the different ``segments`` gives."""
+        found = list(map(self._known.get, segments))
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        if unseen:
+            learnt = self._encode([segments[i] for i in unseen])
+            short = {segments[i]: ids for i, ids in zip(unseen, learnt, strict=True) if len(segments[i]) <= CACHE_CHARS}
+            if len(self._known) + len(short) > self._entries:
+                self._known.clear()
+            self._known.update(short)
+            for i, ids in zip(unseen, learnt, strict=True):
+                found[i] = ids
         return found
 
+    def _joined(self, segments: pa.Array, ends: np.ndarray, prefix: str = "") -> list[bytes]:
+        """The ids of the segments up to each end, in one piece. Different segments are looked up once."""
+        coded = segments.dictionary_encode()
+        ids = self._ids([prefix + s for s in coded.dictionary.to_pylist()])
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[places]
+        up_to = np.concatenate([[0], np.cumsum(counts)])
+        all_ids = flat[np.repeat(begins[places] - up_to[:-1], counts) + np.arange(up_to[-1])].tobytes()
+        edges = (up_to[np.concatenate([[0], ends])] * 4).tolist()
+        return [all_ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The encoded form of each text."""
-        cut, found = [], []
-        unseen: tuple[set[str], set[str]] = set(), set()
-        for text in texts:
-            if _PAIR_OF_SPACES.search(text):
-                whole, spaced = _CUTS.split(text), []
-            else:
-                first, *spaced = text.split(" ")
-                whole = [first]
-            values = list(map(self._whole.get, whole)), list(map(self._spaced.get, spaced))
-            for new, segments, known in zip(unseen, (whole, spaced), values, strict=True):
-                if None in known:
-                    new.update(s for s, v in zip(segments, known, strict=True) if v is None)
-            cut.append((whole, spaced))
-            found.append(values)
-        learnt = self._learn(self._whole, unseen[0], ""), self._learn(self._spaced, unseen[1], " ")
-        for segments, values in zip(cut, found, strict=True):
-            for new, names, known in zip(learnt, segments, values, strict=True):
-                if None in known:
-                    known[:] = [new[s] if v is None else v for s, v in zip(names, known, strict=True)]
-        return [b"".join(whole) + b"".join(spaced) for whole, spaced in found]
+        return [ids for a, b in slices(texts, RUN_CHARS) for ids in self._encode_run(texts[a:b])]
+
+    def _encode_run(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        spread = [i for i, text in enumerate(texts) if _PAIR_OF_SPACES.search(text)]
+        plain = sorted(set(range(len(texts))) - set(spread))
+        if plain:
+            # All but the first segment of a text get the space back that was before them.
+            words = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+            begins, flat = words.offsets.to_numpy()[:-1], words.flatten()
+            is_first = np.zeros(len(flat), bool)
+            is_first[begins] = True
+            upto = np.arange(1, len(plain) + 1)
+            firsts = self._joined(flat.filter(pa.array(is_first)), upto)
+            ends = np.append(begins[1:], len(flat)) - upto
+            behind = self._joined(flat.filter(pa.array(~is_first)), ends, " ")
+            for i, first, more in zip(plain, firsts, behind, strict=True):
+                out[i] = first + more
+        if spread:
+            cut = [_CUTS.split(texts[i]) for i in spread]
+            ends = np.cumsum([len(c) for c in cut])
+            for i, ids in zip(spread, self._joined(pa.array([s for c in cut for s in c], pa.string()), ends), strict=True):
+                out[i] = ids
+        return out

@@ -168,7 +168,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, doc: str = "doc_id", text:
             yield flush()
 
     rows = df.select(column(doc).cast("long").alias("doc_id"), column(text).alias("text"))
-    in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # By the beginnings of texts too, so that many rows of one id, or without, are dealt out.
+    in_order = rows.repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     return stored(in_arrow(in_order, run, SEGMENT_SCHEMA), "token-files")
 
 
