@@ -20,19 +20,19 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     Rounds of large stars and small stars: every node hands its smallest neighbour to its
     larger neighbours, then to its smaller ones. Rounds grow with the logarithm of the
-    nodes. Minima are aggregated in the map tasks first and joined back, so a node with
-    very many edges is never gathered in one place.
+    nodes. Minima are aggregated in the map tasks first, written, and joined back: both sides
+    of the join are shuffled for it alone, so it can split a node with very many edges.
     """
     now = stored(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
     )
     while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = stored(
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
     roots = now.select(F.col("v").alias("node")).distinct()

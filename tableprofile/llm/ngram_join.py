@@ -296,6 +296,13 @@ def ngram_join(
     if not members.where(F.col("docs") > block_docs).isEmpty():
         large = stored(texts.where(F.col("docs") > block_docs), "large-blocks")
         links = links.unionByName(_links_of_large_blocks(large, words, percent, block_docs))
+    # An id with several sets ties the nodes of all of them, also where it names none.
+    own = sets.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "set_id")
+    several = own.groupBy("doc_id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most")
+    ties = own.join(stored(several.select("doc_id"), "tied-ids"), "doc_id", "left_semi").join(
+        nodes.select("set_id", F.col("doc_id").alias("first")), "set_id"
+    )
+    links = links.unionByName(ties.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     found = components(stored(links, "links"), "components")
     named = nodes.join(found, nodes["doc_id"] == found["node"], "left").select(
         "set_id", F.coalesce("root", "doc_id").alias("component_id")

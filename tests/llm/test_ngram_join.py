@@ -86,6 +86,24 @@ def test_an_id_with_two_texts_links_by_both(spark):
     assert {r.component_id for r in got} == {3} and len(got) == 5
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ids_share_sets_in_any_way(spark, seed):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ABCDEFGH"]
+    rows = [(3, texts[1]), (5, texts[0]), (7, texts[0]), (7, texts[1])]
+    if seed > 1:
+        rng = np.random.default_rng(seed)
+        rows = [(int(rng.integers(0, 40)), texts[rng.integers(0, 8)] + " x" * int(rng.integers(0, 2))) for _ in range(14)]
+    sets = sets_of([(i, t) for i, (_, t) in enumerate(rows)], 5)
+    group = {d: d for d, _ in rows}
+    for _ in rows:  # rows of one id, and rows with linked sets, are together
+        for i, (a, _) in enumerate(rows):
+            for j, (b, _) in enumerate(rows):
+                if a == b or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    group[a] = group[b] = min(group[a], group[b])
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, group[d]) for d, _ in rows)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_a_trie_joins_what_comparing_joins(percent):
     rng = np.random.default_rng(percent)
