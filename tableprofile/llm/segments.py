@@ -16,48 +16,78 @@ from .common import slices
 _PAIR_OF_SPACES = re.compile(r"\s\s")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
-# What a worker remembers: segments of at most so many characters, up to so many of them.
+# Marks behind a letter are a piece of the pattern, up to the next space.
+MARKS = ".,;:!?)"
+
+# What a worker remembers: segments of at most so many characters, up to four times so many of them.
 CACHE_CHARS = 64
-CACHE_ENTRIES = 1 << 19  # with about 200 bytes each, and 1 KB at the very most
-RUN_CHARS = 1 << 22  # characters of texts encoded at once, or one longer text
+CACHE_ENTRIES = 3 << 17  # with about 200 bytes each, and 1 KB at the very most
+RUN_CHARS = 1 << 23  # characters of texts encoded at once, or one longer text
 
 
 class SegmentCache:
     """Encodes texts segment by segment and remembers what each short segment gives.
 
     ``encode`` takes a list of strings and returns for each the bytes of its ids, four an
-    id. The cache is emptied when it is full and takes no long segment (a text without
-    spaces is one), so its memory is bounded in bytes and its results are always exact.
+    id. When the cache is full, what was asked for since it was last full is kept for as
+    long again. It takes no long segment (a text without spaces is one), so its memory is
+    bounded in bytes and its results are always exact.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self._encode, self._entries = encode, entries
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, segments: list[str]) -> list[bytes]:
-        """What each of the different ``segments`` gives."""
-        found = list(map(self._known.get, segments))
-        unseen = [i for i, ids in enumerate(found) if ids is None]
-        if unseen:
-            learnt = self._encode([segments[i] for i in unseen])
-            short = {segments[i]: ids for i, ids in zip(unseen, learnt, strict=True) if len(segments[i]) <= CACHE_CHARS}
-            if len(self._known) + len(short) > self._entries:
-                self._known.clear()
-            self._known.update(short)
-            for i, ids in zip(unseen, learnt, strict=True):
-                found[i] = ids
+        # By what stands before a segment: nothing, or the space it was cut at.
+        self._known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self._before: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+
+    def _ids(self, segments: list[str], prefix: str) -> list[bytes]:
+        """What each of the different ``segments`` gives behind ``prefix``."""
+        known, before = self._known[prefix], self._before[prefix]
+        found = list(map(known.get, segments))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        unseen = []
+        for i, ids in zip(absent, map(before.get, [segments[i] for i in absent]), strict=True):
+            found[i] = ids
+            if ids is None:
+                unseen.append(i)
+        learnt = self._learn([segments[i] for i in unseen], prefix) if unseen else []
+        for i, ids in zip(unseen, learnt, strict=True):
+            found[i] = ids
+        new = {segments[i]: found[i] for i in absent if len(segments[i]) <= CACHE_CHARS}
+        if len(known) + len(new) > self._entries:
+            self._before[prefix], self._known[prefix] = known, {}
+        self._known[prefix].update(new)
         return found
 
+    def _learn(self, unseen: list[str], prefix: str) -> list[bytes]:
+        """What segments without an entry give: most of those that end in marks have one without them."""
+        known, before = self._known[prefix], self._before[prefix]
+        stems, marks = [], []
+        for segment in unseen:
+            stem = segment.rstrip(MARKS)
+            stem = stem if stem[-1:].isalpha() else segment
+            stems.append(stem)
+            marks.append(segment[len(stem) :])
+        ids = {s: known.get(s) or before.get(s) for s in stems}
+        new = [s for s, x in ids.items() if x is None]
+        ids.update(zip(new, self._encode([prefix + s for s in new]), strict=True))
+        ends = sorted(set(marks) - {""})
+        of_marks = {"": b"", **dict(zip(ends, self._encode(ends) if ends else (), strict=True))}
+        return [ids[s] + of_marks[m] for s, m in zip(stems, marks, strict=True)]
+
     def _joined(self, segments: pa.Array, ends: np.ndarray, prefix: str = "") -> list[bytes]:
         """The ids of the segments up to each end, in one piece. Different segments are looked up once."""
         coded = segments.dictionary_encode()
-        ids = self._ids([prefix + s for s in coded.dictionary.to_pylist()])
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        ids = self._ids(coded.dictionary.to_pylist(), prefix)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(lengths) - lengths
         places = coded.indices.to_numpy(zero_copy_only=False)
         counts = lengths[places]
         up_to = np.concatenate([[0], np.cumsum(counts)])
-        all_ids = flat[np.repeat(begins[places] - up_to[:-1], counts) + np.arange(up_to[-1])].tobytes()
+        at = np.repeat(begins[places] - up_to[:-1], counts)
+        at += np.arange(len(at))
+        all_ids = flat[at].tobytes()
         edges = (up_to[np.concatenate([[0], ends])] * 4).tolist()
         return [all_ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 

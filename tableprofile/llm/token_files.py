@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,6 +22,11 @@ CHUNK_BITS = 8
 RANK_BITS = 512  # bits between two entries of a rank directory
 SEGMENT_TOKENS = 1 << 20
 END_ID = 0
+# Segments that are encoded as one line, since each begins with a space before a character
+# that is no white space and ends with one, too.
+SEGMENTS_JOINED = 1000
+_JOINS = re.compile(r" [^\s](?:[^ ]*[^\s])?\Z")
+SPACE_TOKEN = "Ġ"  # fixed: how the vocabulary writes a space
 
 
 class Codes:
@@ -116,10 +122,33 @@ def _cache(definition: str) -> SegmentCache:
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = True
 
-        def encode(segments: list[str]) -> list[bytes]:
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        opens[[i for token, i in vocabulary.items() if token.startswith(SPACE_TOKEN)]] = True
+
+        def one_by_one(segments: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch_fast(segments, add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in found]
 
+        def encode(segments: list[str]) -> list[bytes]:
+            out: list[bytes] = [b""] * len(segments)
+            lone = [i for i, s in enumerate(segments) if not _JOINS.match(s)]
+            joined = sorted(set(range(len(segments))) - set(lone))
+            for i, ids in zip(lone, one_by_one([segments[i] for i in lone]), strict=True):
+                out[i] = ids
+            lines = [joined[at : at + SEGMENTS_JOINED] for at in range(0, len(joined), SEGMENTS_JOINED)]
+            for line, ids in zip(lines, one_by_one(["".join([segments[i] for i in line]) for line in lines]), strict=True):
+                # Each segment's first token, and no other, begins with a space.
+                starts = np.flatnonzero(opens[np.frombuffer(ids, "<u4")])
+                if len(starts) != len(line) or starts[0]:
+                    parts = one_by_one([segments[i] for i in line])
+                else:
+                    edges = [*(4 * starts).tolist(), len(ids)]
+                    parts = [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+                for i, part in zip(line, parts, strict=True):
+                    out[i] = part
+            return out
+
         _tokenizers.clear()
         _tokenizers[definition] = SegmentCache(encode)
     return _tokenizers[definition]
@@ -153,8 +182,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, doc: str = "doc_id", text:
         names = ["part", "segment", "start_in_part", "n_tokens", "doc_ids", "lengths", "codes"]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2500):
+                rows = batch.slice(at, 2500)
                 encoded = cache.encode([t or "" for t in rows.column("text").to_pylist()])
                 for key, ids in zip(rows.column("doc_id").to_pylist(), encoded, strict=True):
                     docs.append(key)
