@@ -100,6 +100,73 @@ class Gru:
         return d_inputs, h.reshape(-1, n).T @ through.reshape(-1, 3 * n)
 
 
+class ColumnGru(Gru):
+    """The same layer with a line of memory for each unit, so that a step of many rows runs over whole lines."""
+
+    def run(self, ids: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        n, (steps, rows) = self.size, ids.shape
+        gates = np.ascontiguousarray(self.inputs[ids].transpose(0, 2, 1))
+        weights, state = np.ascontiguousarray(self.states.T), np.ascontiguousarray(h.T)
+        before, held, after = (np.empty((steps, n, rows), gates.dtype) for _ in range(3))
+        emptied = np.zeros(steps, bool) if keep is None else ~keep.all(1)
+        for t in range(steps):
+            np.multiply(state, keep[t] if emptied[t] else 1, out=before[t])
+            u = weights @ before[t]
+            both, new = gates[t, : 2 * n], gates[t, 2 * n :]
+            both += u[: 2 * n]
+            both *= 0.5
+            np.tanh(both, out=both)
+            both += 1
+            both *= 0.5
+            held[t] = u[2 * n :]
+            u[2 * n :] *= both[n:]
+            new += u[2 * n :]
+            np.tanh(new, out=new)
+            state = after[t]
+            np.subtract(before[t], new, out=state)
+            state *= both[:n]
+            state += new
+        return np.ascontiguousarray(after.transpose(0, 2, 1)), (before, gates, held)
+
+    def gradients(
+        self, ids: np.ndarray, kept: tuple, d_states: np.ndarray, keep: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        n, (steps, rows) = self.size, ids.shape
+        before, gates, held = kept
+        z, r, new = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+        # What does not depend on the gradient that comes back is worked out for all steps at once.
+        factors = np.empty_like(gates)
+        f_z, f_r, f_n = factors[:, :n], factors[:, n : 2 * n], factors[:, 2 * n :]
+        rest = 1 - z
+        np.multiply(new, new, out=f_n)
+        np.subtract(1, f_n, out=f_n)
+        f_n *= rest
+        np.subtract(before, new, out=f_z)
+        rest *= z
+        f_z *= rest
+        np.subtract(1, r, out=f_r)
+        f_r *= r
+        f_r *= held
+        f_r *= f_n
+        back = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        d_h, d_weights = np.zeros((n, rows), gates.dtype), np.zeros((n, 3 * n), gates.dtype)
+        emptied = np.zeros(steps, bool) if keep is None else ~keep.all(1)
+        for t in range(steps - 1, -1, -1):
+            d_h += back[t]
+            own = factors[t].reshape(3, n, rows)
+            own *= d_h
+            through = factors[t].copy()
+            through[2 * n :] *= r[t]
+            d_weights += before[t] @ through.T
+            d_h *= z[t]
+            d_h += self.states @ through
+            if emptied[t]:
+                d_h *= keep[t]
+        d_inputs = np.zeros_like(self.inputs)
+        add_rows(d_inputs, ids.ravel(), np.ascontiguousarray(factors.transpose(0, 2, 1)).reshape(-1, 3 * n))
+        return d_inputs, d_weights
+
+
 class Adam:
     """Steps of Adam on named arrays, in place."""
 

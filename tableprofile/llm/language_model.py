@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -10,13 +11,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, stored
-from .gru import Adam, Gru
+from .common import in_arrow, slices, stored
+from .gru import Adam, ColumnGru, add_rows
 from .samples import fold
 
 FOLDS = 10
@@ -28,17 +30,21 @@ END = b""  # counted as a token; no word is empty
 FREQUENT = 2000
 WORD_CLASSES = 40
 TAIL_CLASSES = 48
-HIDDEN = 24
+HIDDEN = 16
 # Words whose counts every task holds; the counts of the others are joined.
 SHARED_WORDS = 1 << 17
 WINDOW = 24  # steps of truncated backpropagation, and of scoring at once
-STREAMS = 96  # documents side by side in training
-BATCH_TOKENS = 1_500_000  # scored side by side, or one longer document
+STREAMS = 384  # documents side by side in training
+SCORE_STREAMS = 256  # and in scoring
+BATCH_TOKENS = 1_500_000  # scored together, or one longer document
+TEXT_BYTES = 1 << 22  # of texts taken apart together
 # The first fit, on one machine, takes the beginnings of at most FIRST_DOCS documents.
 FIRST_DOCS = 600
 FIRST_DOC_BYTES = 16_384
 FLUSH_WORDS = 1 << 19
 SEED = 11
+RATE = 0.005
+ADDED_AT_ONCE = 64  # rows of parameters that a task adds up
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -50,19 +56,32 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, how many of them up to the end of each): those of ``tokens_of`` without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+    flat = lists.flatten()
+    # White space at an end of a text leaves an empty word.
+    full = pc.not_equal(flat, "")
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), upto[lists.offsets.to_numpy()[1:]]
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(word binary, c): how often each token occurs, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
+                [pa.array(list(counts), pa.string()).cast(pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
             )
 
-        counts: Counter[bytes] = Counter()
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for text in _texts(batch):
-                counts.update(tokens_of(text))
+            texts = _texts(batch)
+            for a, b in slices(texts, TEXT_BYTES):
+                found = pc.value_counts(split_words(texts[a:b])[0])
+                counts.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True)))
+                counts[END.decode()] += b - a
                 if len(counts) > FLUSH_WORDS:
                     yield flush()
                     counts.clear()
@@ -147,7 +166,7 @@ class WordModel:
 
     def __init__(self, frequent: int, n_tails: int, starts: np.ndarray, arrays: dict[str, np.ndarray]):
         self.frequent, self.n_tails, self.starts, self.arrays = frequent, n_tails, starts, arrays
-        self.gru = Gru(arrays["in"], arrays["st"])
+        self.gru = ColumnGru(arrays["in"], arrays["st"])
         self.first_tail = len(starts) - 1
         of_words = np.searchsorted(starts, np.arange(frequent), "right") - 1
         self.class_of = np.concatenate([of_words, self.first_tail + np.arange(n_tails)])
@@ -160,7 +179,7 @@ class WordModel:
         starts = np.unique(np.concatenate([[0], np.searchsorted(share, np.arange(1, WORD_CLASSES) / WORD_CLASSES), [words.frequent]]))
         n_tails = len(words.tail_logs)
         n_classes = len(starts) - 1 + n_tails
-        gru = Gru.random(words.frequent + n_tails, HIDDEN, rng)
+        gru = ColumnGru.random(words.frequent + n_tails, HIDDEN, rng)
         masses = [counts[a:b].sum() for a, b in zip(starts, starts[1:], strict=False)]
         total = np.concatenate([masses, 10**words.tail_logs])
         arrays = {
@@ -173,57 +192,69 @@ class WordModel:
         }
         return cls(words.frequent, n_tails, starts, arrays)
 
-    @staticmethod
-    def _less_one(raw: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """The logarithm of the softmax at the targets; ``raw`` becomes the softmax, less one at the targets."""
-        rows = np.arange(len(targets))
-        raw -= raw.max(1, keepdims=True)
-        picked = raw[rows, targets].astype(np.float64)
-        np.exp(raw, out=raw)
-        total = raw.sum(1)
-        raw /= total[:, None]
-        raw[rows, targets] -= 1
-        return picked - np.log(total)
-
-    @staticmethod
-    def _log_of(raw: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """The logarithm of the softmax at the targets alone; ``raw`` is used up."""
-        raw -= raw.max(1, keepdims=True)
+    def _softmax(self, raw: np.ndarray, targets: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithm of the softmax at the targets, sums); ``raw`` becomes its exponentials."""
+        if not safe:
+            raw -= raw.max(1, keepdims=True)
         picked = raw[np.arange(len(targets)), targets].astype(np.float64)
         np.exp(raw, out=raw)
-        return picked - np.log(raw.sum(1))
+        total = raw @ np.ones(raw.shape[1], raw.dtype)
+        return picked - np.log(total, dtype=np.float64), total
+
+    def _is_safe(self) -> bool:
+        """Whether no exponential can leave the range of its type: a state's numbers are between -1 and 1."""
+        w = self.arrays
+        largest = max(
+            float((np.abs(w["class"]).sum(0) + np.abs(w["class_bias"])).max()),
+            float((np.abs(w["word"]).sum(1) + np.abs(w["word_bias"])).max(initial=0)),
+        )
+        return largest < 60
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple:
         """ln P of each target after its state; with ``gradients``, also those of -ln P summed, and of the states."""
-        w = self.arrays
+        w, safe = self.arrays, self._is_safe() and len(states) and float(np.abs(states).max()) <= 1
+        # Sorted by class, so that the tokens of a class are one run.
+        order = np.argsort(self.class_of[targets], kind="stable")
+        states, targets = states[order], targets[order]
         classes = self.class_of[targets]
-        d_states = None
         raw = states @ w["class"]
         raw += w["class_bias"]
-        if gradients is None:
-            out = self._log_of(raw, classes)
-        else:
-            out = self._less_one(raw, classes)
-            gradients["class"] += states.T @ raw
-            gradients["class_bias"] += raw.sum(0)
+        out, total = self._softmax(raw, classes, safe)
+        d_states = None
+        if gradients is not None:
+            share = (1 / total).astype(states.dtype)
+            gradients["class"] += (states * share[:, None]).T @ raw
+            add_rows(gradients["class"].T, classes, -states)
+            gradients["class_bias"] += share @ raw - np.bincount(classes, minlength=raw.shape[1])
             d_states = raw @ w["class"].T
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.first_tail + 1))
+            d_states *= share[:, None]
+            d_states -= w["class"].T[classes]
+        bounds = np.searchsorted(classes, np.arange(self.first_tail + 1))
         for k in range(self.first_tail):
-            own, a, b = order[bounds[k] : bounds[k + 1]], self.starts[k], self.starts[k + 1]
-            if not len(own) or b - a == 1:
+            own, a, b = slice(bounds[k], bounds[k + 1]), self.starts[k], self.starts[k + 1]
+            if bounds[k] == bounds[k + 1] or b - a == 1:
                 continue
             h, at = states[own], targets[own] - a
             raw = h @ w["word"][a:b].T
             raw += w["word_bias"][a:b]
-            if gradients is None:
-                out[own] += self._log_of(raw, at)
-            else:
-                out[own] += self._less_one(raw, at)
-                gradients["word"][a:b] += raw.T @ h
-                gradients["word_bias"][a:b] += raw.sum(0)
-                d_states[own] += raw @ w["word"][a:b]
-        return out, d_states
+            logs, total = self._softmax(raw, at, safe)
+            out[own] += logs
+            if gradients is not None:
+                share = (1 / total).astype(h.dtype)
+                gradients["word"][a:b] += raw.T @ (h * share[:, None])
+                add_rows(gradients["word"][a:b], at, -h)
+                gradients["word_bias"][a:b] += share @ raw - np.bincount(at, minlength=b - a)
+                d_own = raw @ w["word"][a:b]
+                d_own *= share[:, None]
+                d_own -= w["word"][targets[own]]
+                d_states[own] += d_own
+        logs = np.empty_like(out)
+        logs[order] = out
+        if d_states is not None:
+            found = np.empty_like(d_states)
+            found[order] = d_states
+            d_states = found
+        return logs, d_states
 
     def train(self, documents: Iterator[np.ndarray], rate: float, streams: int = STREAMS) -> int:
         """One pass of truncated backpropagation over documents of token numbers; returns the tokens seen.
@@ -301,33 +332,41 @@ class WordModel:
         adam.step(gradients)
         return after[-1]
 
-    def score(self, documents: list[np.ndarray]) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], streams: int = SCORE_STREAMS) -> np.ndarray:
         """ln P of each whole document of token numbers.
 
-        Documents run side by side, the longest first; the state is carried through all
-        windows of a document, however many there are.
+        Documents run side by side in streams of about one length, one after the other; the
+        state is carried through all windows of a document, however many there are.
         """
-        out = np.zeros(len(documents))
-        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        lengths = np.array([len(documents[i]) for i in order])
-        flat = np.concatenate([documents[i] for i in order])
-        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        h = np.zeros((len(order), HIDDEN), np.float32)
+        loads = [(0, s) for s in range(min(streams, len(documents)))]
+        dealt: list[list[int]] = [[] for _ in loads]
+        for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
+            load, s = loads[0]
+            dealt[s].append(i)
+            heapq.heapreplace(loads, (load + len(documents[i]), s))
+        dealt.sort(key=lambda own: -sum(len(documents[i]) for i in own))
+        lengths = np.array([sum(len(documents[i]) for i in own) for own in dealt])
+        in_order = [i for own in dealt for i in own]
+        flat = np.concatenate([documents[i] for i in in_order])
+        sizes = np.array([len(documents[i]) for i in in_order])
+        owner = np.repeat(in_order, sizes)
+        opens = np.zeros(len(flat), bool)
+        opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        begins = np.cumsum(lengths) - lengths
+        out, h = np.zeros(len(documents)), np.zeros((len(dealt), HIDDEN), np.float32)
         for start in range(0, int(lengths[0]), WINDOW):
-            states, targets, owners = [], [], []
-            for t in range(start, min(start + WINDOW, int(lengths[0]))):
-                active = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
-                h = h[:active]
-                ids = flat[begins[:active] + t]
-                states.append(h)
-                targets.append(ids)
-                owners.append(np.arange(active))
-                h = self.gru.step(ids, h)
-            logs, _ = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(owners), logs, len(order))
-        found = np.empty(len(order))
-        found[order] = out
-        return found
+            active = int(np.searchsorted(-lengths, -start, "left"))  # streams that go on
+            steps = start + np.arange(min(WINDOW, int(lengths[0]) - start))[:, None]
+            inside = steps < lengths[:active]
+            at = np.where(inside, begins[:active] + steps, begins[:active] + start)
+            keep = 1 - opens[at].astype(np.float32)
+            h = h[:active]
+            after, _ = self.gru.run(flat[at], h, keep)
+            before = np.concatenate([h[None], after[:-1]]) * keep[:, :, None]
+            logs, _ = self.log_probabilities(before[inside], flat[at][inside])
+            out += np.bincount(owner[at][inside], logs, len(documents))
+            h = after[-1]
+        return out
 
 
 class _Numbers:
@@ -335,26 +374,28 @@ class _Numbers:
 
     def __init__(self, words: Words):
         self.words, self.ids = words, np.append(words.model_ids(), 0)  # the last is for words without a place
-        self._rare: dict[bytes, int] = {}
-
-    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(model numbers, places of the shared ones, the others)."""
-        known = np.fromiter(map(self.words.places.get, tokens, repeat(-1)), np.int32, len(tokens))
-        unknown = np.flatnonzero(known < 0)
-        ids = self.ids[known]
-        others = [tokens[i] for i in unknown.tolist()]
-        if others:
-            ids[unknown] = [self.words.frequent + self._tail(t) for t in others]
-            known = known[known >= 0]
-        return ids, known, others
-
-    def _tail(self, word: bytes) -> int:
-        found = self._rare.get(word)
-        if found is None:
-            if len(self._rare) >= FLUSH_WORDS:
-                self._rare.clear()
-            found = self._rare[word] = self.words.tail_of(word)
-        return found
+        self._end = np.array([words.places.get(END, -1)], np.int64)
+
+    def of_texts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """For each text, (model numbers, places of the shared ones, the others). Each word of several texts is looked up once."""
+        for a, b in slices(texts, TEXT_BYTES):
+            words, ends = split_words(texts[a:b])
+            coded = words.dictionary_encode()
+            names = [w.encode() for w in coded.dictionary.to_pylist()]
+            known = np.fromiter(map(self.words.places.get, names, repeat(-1)), np.int64, len(names))
+            numbers = self.ids[known]
+            for i in np.flatnonzero(known < 0).tolist():
+                numbers[i] = self.words.frequent + self.words.tail_of(names[i])
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            start = 0
+            for end in ends.tolist():
+                own = codes[start:end]
+                places = np.concatenate([known[own], self._end])
+                others = [names[i] for i in own[known[own] < 0].tolist()]
+                # The end has a place unless nothing was counted.
+                last = self.ids[self._end] if self._end[0] >= 0 else [self.words.frequent + self.words.tail_of(END)]
+                yield np.concatenate([numbers[own], last]), places[places >= 0], others + [END] * int(self._end[0] < 0)
+                start = end
 
 
 def _first_tokens(beginning: bytes) -> list[bytes]:
@@ -365,6 +406,12 @@ def _first_tokens(beginning: bytes) -> list[bytes]:
     return words if beginning[-1:].isspace() else words[:-1]
 
 
+def _first_numbers(beginning: bytes, numbers: _Numbers) -> np.ndarray:
+    tokens = _first_tokens(beginning)
+    ids = next(numbers.of_texts([b" ".join(tokens)]))[0]
+    return ids if tokens and tokens[-1] == END else ids[:-1]
+
+
 def fit(docs: DataFrame, words: Words) -> WordModel:
     """Train the recurrent model.
 
@@ -380,37 +427,43 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
     # One row of an id; repeated ones meet in the map tasks.
     first = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(beginning).alias("text")).collect()
     numbers = _Numbers(words)
-    texts = [_first_tokens(bytes(r["text"])) for r in sorted(first, key=lambda r: r["doc_id"])]
+    texts = [_first_numbers(bytes(r["text"]), numbers) for r in sorted(first, key=lambda r: r["doc_id"])]
     for _ in range(2):
-        model.train((numbers.of(t)[0] for t in texts if t), 0.01, streams=48)
+        model.train((t for t in texts if len(t)), 0.01, streams=48)
     start = spark.sparkContext.broadcast((words, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, given = start.value
         own = WordModel(given.frequent, given.n_tails, given.starts, {k: v.copy() for k, v in given.arrays.items()})
         numbers = _Numbers(words)
-        seen = own.train((numbers.of(tokens_of(t))[0] for batch in batches for t in _texts(batch)), 0.003)
+        seen = own.train((ids for batch in batches for ids, *_ in numbers.of_texts(_texts(batch))), RATE)
         if seen:
             total = {k: v.astype(np.float64) * seen for k, v in own.arrays.items()}
             yield _row(TaskContext.get().partitionId(), seen, total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, part = None, 0, 0
+        totals: dict[int, list] = {}  # a partition has few groups
         for batch in batches:
-            for row in batch.to_pylist():
-                arrays = pickle.loads(row["arrays"])
-                total = arrays if total is None else {k: total[k] + arrays[k] for k in total}
-                seen, part = seen + row["seen"], row["part"]
-        if total is not None:
-            yield _row(part, seen, total)
-
-    trained = stored(in_arrow(docs.select("text"), run, _SUM_SCHEMA), "trained")
-    # Sums in two steps, so that neither a task nor the driver gets what all tasks trained.
-    sums = in_arrow(trained.repartition(16, "part"), add, _SUM_SCHEMA).collect()
-    seen = sum(r["seen"] for r in sums)
-    if seen:
-        parts = [pickle.loads(r["arrays"]) for r in sums]
-        mean = {k: (sum(p[k] for p in parts) / seen).astype(np.float32) for k in model.arrays}
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                arrays, total = pickle.loads(row["arrays"]), totals.setdefault(row["part"], [0, None])
+                total[0] += row["seen"]
+                total[1] = arrays if total[1] is None else {k: v + arrays[k] for k, v in total[1].items()}
+        for part, (seen, arrays) in totals.items():
+            yield _row(part, seen, arrays)
+
+    sums = stored(in_arrow(docs.select("text"), run, _SUM_SCHEMA), "trained")
+    # A few rows at a time become one, until one is left: how many tasks trained, and how Spark
+    # deals their rows out, changes nothing for the driver.
+    last = sums.agg(F.max("part")).first()[0]
+    while last:
+        grouped = sums.withColumn("part", F.floor(F.col("part") / ADDED_AT_ONCE).cast("int"))
+        last //= ADDED_AT_ONCE
+        sums = stored(in_arrow(grouped.repartition(last + 1, "part"), add, _SUM_SCHEMA), "added")
+    found = sums.collect()  # one row
+    if found:
+        total = pickle.loads(found[0]["arrays"])
+        mean = {k: (total[k] / found[0]["seen"]).astype(np.float32) for k in model.arrays}
         model = WordModel(model.frequent, model.n_tails, model.starts, mean)
     return model
 
@@ -453,14 +506,13 @@ def _score_rows(docs: DataFrame, words: Words, model: WordModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), *empty, *last], names)
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
-                tokens = tokens_of(text)
-                own, known, others = numbers.of(tokens)
+            texts = _texts(batch)
+            for key, (own, known, others) in zip(batch.column("doc_id").to_pylist(), numbers.of_texts(texts), strict=True):
                 tails = own[own >= words.frequent] - words.frequent
                 in_tail = known[known >= words.frequent]
-                base = float(words.log_counts[known].sum() - len(tokens) * all_log)
+                base = float(words.log_counts[known].sum() - len(own) * all_log)
                 tail = float(words.log_counts[in_tail].sum() - words.tail_logs[tails].sum())
-                keys.append((row, key, len(tokens), len(known), base, tail))
+                keys.append((row, key, len(own), len(known), base, tail))
                 ids.append(own)
                 rare += others
                 rare_rows += [row] * len(others)
