@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..session import scratch_path
-from ..sources import datasets, files, pages
+from ..sources import datasets, files, pages, snapshots
 from . import checks
 from .cleaning import decimal_sql, hour_sql
 from .incidents import COLUMNS, WITH, incidents
@@ -38,6 +38,28 @@ def scan_csv_nulls(spark, folder):
     return files.scan_csv(spark, path)
 
 
+@query("scan_csv_records", "SELECT doc_id, text, lang FROM documents")
+def scan_csv_records(spark, folder):
+    """Whole documents, with their line breaks and quotes, as CSV that is split."""
+    texts = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    path = files.write_table(texts, scratch_path(spark, "csv-records"), "csv")
+    return files.scan_csv_records(spark, path, "doc_id long, text string, lang string")
+
+
+@query(
+    "snapshots",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus FROM orders""",
+)
+def snapshot_table(spark, folder):
+    """A version that is replaced, and a part with one more column that is appended."""
+    orders, path = read(spark, folder, "orders"), scratch_path(spark, "snapshots")
+    even, odd = (orders.where(F.col("o_orderkey") % 2 == i).select("o_orderkey", "o_custkey", *c) for i, c in ((0, []), (1, ["o_orderstatus"])))
+    snapshots.write_snapshot(odd, path)
+    snapshots.write_snapshot(even, path)
+    snapshots.write_snapshot(odd, path, append=True)
+    return snapshots.read_snapshot(spark, path)
+
+
 @query("write_table", "SELECT * FROM lineitem")
 def write_table(spark, folder):
     path = files.write_table(read(spark, folder, "lineitem"), scratch_path(spark, "table"), partition_by=("l_returnflag",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +63,8 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """A CSV file or folder with a header; NA tokens are null.
 
     Without a schema the types are inferred from all rows, which costs one more scan.
-    ``multiline`` allows line breaks within quotes; such files cannot be split.
+    ``multiline`` allows line breaks within quotes; a file is then one task's, which
+    ``scan_csv_records`` avoids.
     """
     reader = spark.read.options(**CSV_OPTIONS, multiLine=multiline)
     texts = reader.csv(path)
@@ -77,6 +78,69 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return texts.select(*(column(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields))
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first_line, record): the text of every CSV record, line breaks within quotes included.
+
+    A line begins a record if the quotes before it, in its file, are even in number; doubled
+    quotes leave that as it is. Whether a split of a file begins within quotes is not known
+    while it is read, so each split reports the parity of its quotes, a sum over the splits
+    before gives the state at its beginning, and lines are then numbered and joined. Files
+    are read by as many tasks as they have splits; a group holds one record's lines.
+    ``first_line`` orders the records of a file. Blank lines between records are left out.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),  # rises within a split
+        F.col("value"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
+    )
+    in_split = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    splits_before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    # A row a split.
+    states = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), F.count(F.lit(1)).alias("lines"))
+    states = states.select(
+        "file",
+        "split",
+        (F.coalesce(F.sum("quotes").over(splits_before), zero) % 2).alias("open"),
+        F.coalesce(F.sum("lines").over(splits_before), zero).alias("lines_before"),
+    )
+    placed = (
+        lines.withColumn("_quotes", F.coalesce(F.sum("quotes").over(in_split), zero))
+        .withColumn("_line", F.count(F.lit(1)).over(in_split))
+        .join(states, ["file", "split"])
+        .select("file", "split", "value", (F.col("lines_before") + F.col("_line")).alias("line"), ((F.col("_quotes") + F.col("open")) % 2 == 0).alias("begins"))
+    )
+    upto_line = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    begun = placed.withColumn("first_line", F.max(F.when(F.col("begins"), F.col("line"))).over(upto_line))
+    # Lines before the first beginning of a split go on with the last record of the splits before.
+    last = begun.groupBy("file", "split").agg(F.max("first_line").alias("last"))
+    going_on = last.select("file", "split", F.max("last").over(splits_before).alias("last_before"))
+    joined = begun.join(going_on, ["file", "split"]).withColumn("first_line", F.coalesce("first_line", "last_before"))
+    records = joined.groupBy("file", "first_line").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    return records.select("file", "first_line", F.rtrim(text, F.lit("\r")).alias("record")).where(F.col("record") != "")
+
+
+def scan_csv_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """``scan_csv`` with ``multiline``, but every file is split over many tasks.
+
+    The columns are those of the header of the first file; all files have the same.
+    """
+    header = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(path).columns  # reads the beginning of a file
+    names = [header[0].lstrip("\ufeff"), *header[1:]]
+    records = csv_records(spark, path).where("first_line > 0").select("record")
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+    texts = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    parsed = records.select(F.from_csv("record", texts, options).alias("r")).select("r.*")
+    cleaned = normalise_na(parsed)
+    if schema is None:
+        return infer_types(cleaned)
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return cleaned.select(*(column(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields))
+
+
 def scan_json_records(
     spark: SparkSession,
     path: str,
