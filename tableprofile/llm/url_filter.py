@@ -23,16 +23,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, _SCHEME + r"[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """All patterns that match: the domains a host is in, and the beginnings of host and path by segments."""
+def _keys(host: Column, path: Column, most_labels: int, most_segments: int) -> Column:
+    """All patterns that may match: the domains a host is in, and the beginnings of host and path by segments.
+
+    Domains of more labels, and paths of more segments, than any pattern has are left out.
+    """
     labels, segments = F.split(host, r"\."), F.split(path, "/")
-    domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    first = F.greatest(F.lit(1), F.size(labels) - F.lit(most_labels) + 1)
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    upto = F.least(F.size(segments), F.lit(most_segments))
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat_ws("/", host, F.array_join(F.slice(segments, 1, i), "/"))
+        F.sequence(F.lit(1), upto), lambda i: F.concat_ws("/", host, F.array_join(F.slice(segments, 1, i), "/"))
+    )
+    none = F.array().cast("array<string>")
+    return F.when(host == "", none).otherwise(
+        F.concat(domains if most_labels else none, F.when(path == "", none).otherwise(prefixes) if most_segments else none)
     )
-    return F.when(host == "", F.array().cast("array<string>")).when(path == "", domains).otherwise(F.concat(domains, prefixes))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -78,23 +84,20 @@ def filter_urls(
         column(key).alias(key), column(url).alias("url"), column(fetched).cast("timestamp").alias("fetched_at")
     )
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    keyed = seen.select(
-        key, "url", "fetched_at", F.explode_outer(_keys(host, path)).alias("pattern"), _stretch(F.col("fetched_at")).alias("stretch")
-    )
-    # One row: an interval that still holds is listed up to the last fetch, and none before the first.
-    span = seen.agg(_stretch(F.min("fetched_at")).alias("first"), _stretch(F.max("fetched_at")).alias("last"))
-    first, last = span.first() or (None, None)
-    if first is None:
-        first, last = 0, -1
-    begins = F.greatest(_stretch(F.col("valid_from")), F.lit(first))
-    ends = F.least(F.coalesce(_stretch(F.col("valid_to")), F.lit(last)), F.lit(last))
-    listed = (
-        held.withColumn("begins", begins)
-        .withColumn("ends", ends)
-        .where("begins <= ends")
-        .withColumn("stretch", F.explode(F.sequence("begins", "ends")))
-        .drop("begins", "ends")
+    # Two numbers of the longest patterns.
+    slashes, dots = F.size(F.split("pattern", "/")) - 1, F.size(F.split("pattern", r"\."))
+    longest = held.agg(F.max(F.when(slashes == 0, dots)).alias("labels"), F.max(slashes).alias("segments")).first()
+    keys = _keys(host, path, longest["labels"] or 0, longest["segments"] or 0)
+    keyed = seen.select(key, "url", "fetched_at", F.explode_outer(keys).alias("pattern"), _stretch(F.col("fetched_at")).alias("stretch"))
+    # The stretches in which anything was fetched: 122,000 in all the years that a timestamp has,
+    # and a dozen in one year. An interval is listed in those that it reaches.
+    stretches = sorted(r[0] for r in seen.where("fetched_at IS NOT NULL").select(_stretch(F.col("fetched_at"))).distinct().collect())
+    fetched_in = F.array(*map(F.lit, stretches)).cast("array<long>")
+    reached = F.filter(
+        fetched_in,
+        lambda s: (s >= _stretch(F.col("valid_from"))) & (F.col("valid_to").isNull() | (s <= _stretch(F.col("valid_to")))),
     )
+    listed = held.withColumn("stretch", F.explode(reached))
     now = (F.col("fetched_at") >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))
     )
