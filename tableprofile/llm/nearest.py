@@ -32,6 +32,8 @@ class Graph:
     """
 
     def __init__(self, vectors: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray], entry: int):
+        # Of one scale, so that no product leaves the range of its type; no order depends on it.
+        vectors = vectors / (np.abs(vectors).max(initial=0) or 1)
         squares = (vectors.astype(np.float64) ** 2).sum(1)
         extra = np.sqrt(np.maximum(0, (squares.max() if len(squares) else 0) - squares))
         self._points = np.concatenate([vectors, extra[:, None]], 1).astype(np.float32)
@@ -137,7 +139,7 @@ class Graph:
 
     def nearest(self, query: np.ndarray, ef: int) -> list[int]:
         """About ``ef`` vectors with the largest products with ``query``."""
-        point = np.append(query, 0).astype(np.float32)
+        point = np.append(query / (np.abs(query).max(initial=0) or 1), 0).astype(np.float32)
         found = [(float(self._points[self.entry] @ point), self.entry)]
         for level in range(len(self.links) - 1, -1, -1):
             if level and self._place[level][found[0][1]] < 0:

@@ -48,3 +48,11 @@ def test_odd_vectors_copies_and_ties(spark):
     assert not result(nearest.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0))
     few = result(nearest.nearest_neighbours(df.where("vec_id IN (100, 120, 0)"), F.col("vec_id") == 0))
     assert [i for i, _ in few[0]] == [100, 120]
+
+
+def test_large_components_keep_their_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (v * 10.0 ** rng.integers(18, 25)).tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = result(nearest.nearest_neighbours(df, F.col("vec_id") % 20 == 0)), brute(rows, range(0, 300, 20), 20)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
