@@ -13,6 +13,7 @@ BATCH_TOKENS = 65_536
 # Documents of a bucket are numbered slice by slice; a slice is a range of a hash of the id.
 SLICE_DIGITS = 3
 SLICES = 16**SLICE_DIGITS
+CHUNK_ROWS = 10_000
 
 
 def word_tokens(text: Column) -> Column:
@@ -101,24 +102,35 @@ def pack(
     placed = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))).withColumn(
         "bucket_tokens", F.get(limits, F.col("bucket"))
     )
+    # Rows of one id and length are alike: they are counted in the map tasks and placed together.
+    counted = stored(placed.groupBy("bucket", "bucket_tokens", "slice", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows")), "rows")
     # At most buckets * SLICES rows: a bucket is numbered without gathering it.
-    sizes = placed.groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = counted.groupBy("bucket", "slice").agg(F.sum("rows").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("bucket", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens"))
-    number = F.col("before") + F.col("rank") - 1
-    capacity = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket_tokens"))).cast("long")
-    return (
-        placed.withColumn("rank", rank)
+    in_slice = Window.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce("earlier", F.lit(0))
+    numbered = (
+        counted.withColumn("earlier", F.sum("rows").over(in_slice))
         .join(F.broadcast(offsets), ["bucket", "slice"])
-        .select(
-            "doc_id",
-            "n_tokens",
-            "bucket",
-            "bucket_tokens",
-            F.floor(number / capacity).alias("batch"),
-            F.pmod(number, capacity).alias("position"),
-        )
+        .select("doc_id", "n_tokens", "bucket", "bucket_tokens", first.alias("first"), "rows")
+    )
+    # Very many alike rows are dealt out in chunks before each gets its number.
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / CHUNK_ROWS)))
+    many = numbered.where(F.col("rows") > CHUNK_ROWS).withColumn("chunk", chunk)
+    many = many.withColumn("first", F.col("first") + F.col("chunk") * CHUNK_ROWS).withColumn(
+        "rows", F.least(F.lit(CHUNK_ROWS), F.col("rows") - F.col("chunk") * CHUNK_ROWS)
+    )
+    chunks = numbered.where(F.col("rows") <= CHUNK_ROWS).unionByName(many.repartition("bucket", "first").drop("chunk"))
+    number = F.col("first") + F.col("at")
+    capacity = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket_tokens"))).cast("long")
+    return chunks.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).select(
+        "doc_id",
+        "n_tokens",
+        "bucket",
+        "bucket_tokens",
+        F.floor(number / capacity).alias("batch"),
+        F.pmod(number, capacity).alias("position"),
     )
 
 

@@ -43,6 +43,18 @@ def test_batches_hold_all_rows_and_keep_the_budget(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_very_many_rows_of_one_id_are_placed_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_ROWS", 7)
+    rows = [(None, "w " * (i % 3)) for i in range(500)] + [(9, "a b c")] * 100 + [(i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, buckets=2, batch_tokens=40).collect()
+    assert len(got) == 650 and sum(r.doc_id is None for r in got) == 500
+    for bucket in {r.bucket for r in got}:
+        own = [r for r in got if r.bucket == bucket]
+        capacity = 40 // own[0].bucket_tokens
+        assert sorted(r.batch * capacity + r.position for r in own) == list(range(len(own)))
+
+
 def time(day):
     return datetime(2024, 1, day, tzinfo=UTC)
 
@@ -70,6 +82,19 @@ def test_lists_hold_as_of_the_fetch(spark):
     assert not any(r.blocked for r in url_filter.filter_urls(seen, lists.limit(0)).collect())
 
 
+def test_far_dates_and_long_urls_cost_no_more(spark):
+    lists = spark.createDataFrame([("bad.com", "block", time(2)), ("b.bad.com/x/y", "allow", time(2))], "pattern string, action string, dated_at timestamp")
+    long = "http://a.b.bad.com/x/y" + "/z" * 100_000
+    seen = spark.createDataFrame(
+        [(1, long, time(3)), (2, "http://b.bad.com/x/y/z", datetime(9998, 1, 1, tzinfo=UTC)), (3, "http://" + "l." * 5000 + "bad.com", time(3)), (4, "http://bad.com", datetime(1, 2, 1, tzinfo=UTC))],
+        "page_id long, url string, fetched_at timestamp",
+    )
+    got = url_filter.filter_urls(seen, lists)
+    assert sorted((r.page_id, r.blocked, r.pattern) for r in got.collect()) == [(1, True, "bad.com"), (2, False, "b.bad.com/x/y"), (3, True, "bad.com"), (4, False, None)]
+    keys = seen.select(F.size(url_filter._keys(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), 2, 2)))
+    assert max(r[0] for r in keys.collect()) == 4
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_query_equals_checking_sql(spark, folder, name):
     assert compare.differences(queries.builders()[name](spark, folder), compare.connect(folder), queries.oracles()[name]) is None
