@@ -216,15 +216,17 @@ def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                codes, ends = Codes.from_bytes(row["codes"]), np.cumsum([0, *row["lengths"]]).tolist()
-                texts = [codes.slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+                ends = np.cumsum([0, *row["lengths"]]).tolist()
+                # All documents of the segment are wanted, so its ids are read as one slice.
+                ids = memoryview(Codes.from_bytes(row["codes"]).slice(0, ends[-1]).tobytes())
+                texts = [ids[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array([row["start"] + a for a in ends[:-1]], pa.int64()),
                         pa.array(row["lengths"], pa.int64()),
-                        pa.array([zlib.crc32(ids) for ids in texts], pa.int64()),
-                        pa.array([ids.tobytes() if with_ids else None for ids in texts], pa.binary()),
+                        pa.array([zlib.crc32(t) for t in texts], pa.int64()),
+                        pa.array([bytes(t) if with_ids else None for t in texts], pa.binary()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
