@@ -43,6 +43,17 @@ def test_the_memory_can_be_emptied():
     assert small.encode(texts) == ENCODER.encode(texts) == small.encode(texts)
 
 
+def test_texts_without_spaces_are_not_remembered():
+    small = byte_pairs.SegmentCache(lambda s: [x.encode()[: len(x.encode()) // 4 * 4] for x in s], entries=10)
+    for i in range(200):
+        text = "日本" * 5000 + f"{i} word{i}, two word{i % 3}. {'x' * 65}"
+        whole, *spaced = text.split(" ")
+        want = [s.encode()[: len(s.encode()) // 4 * 4] for s in (whole, *(" " + s for s in spaced))]
+        assert len(small.encode([text])[0]) >= len(want[0])
+    held = [*small._known.values(), *small._before.values()]
+    assert all(len(segment) <= 64 for part in held for segment in part) and all(len(part) <= 10 for part in held)
+
+
 def test_every_row_is_encoded_and_decoded(spark):
     rows = [(1, "Hello world", 1), (1, "Hello world", 1), (2, None, 2), (3, "", 3), (None, "x " * 50_000, 4), (4, "日本", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
