@@ -103,13 +103,45 @@ class Gru:
 class ColumnGru(Gru):
     """The same layer with a line of memory for each unit, so that a step of many rows runs over whole lines."""
 
+    def step_columns(self, gates: np.ndarray, state: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The next state of each column; ``gates`` has the columns of ``inputs``, and is written over."""
+        n = self.size
+        u = weights @ state
+        both, new = gates[: 2 * n], gates[2 * n :]
+        both += u[: 2 * n]
+        both *= 0.5
+        np.tanh(both, out=both)
+        both += 1
+        both *= 0.5
+        held = u[2 * n :]
+        held *= both[n:]
+        new += held
+        np.tanh(new, out=new)
+        out = state - new
+        out *= both[:n]
+        out += new
+        return out
+
+    def before(self, ids: np.ndarray, h: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the state that each of ``ids`` (steps, rows) meets, the last states) as ``run`` has them."""
+        weights, state = np.ascontiguousarray(self.states.T), np.ascontiguousarray(h.T)
+        found = np.empty((*ids.shape, self.size), self.inputs.dtype)
+        emptied = ~keep.all(1)
+        for t in range(len(ids)):
+            if emptied[t]:
+                state = state * keep[t]
+            found[t] = state.T
+            state = self.step_columns(np.ascontiguousarray(self.inputs[ids[t]].T), state, weights)
+        return found, state.T
+
     def run(self, ids: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         n, (steps, rows) = self.size, ids.shape
-        gates = np.ascontiguousarray(self.inputs[ids].transpose(0, 2, 1))
         weights, state = np.ascontiguousarray(self.states.T), np.ascontiguousarray(h.T)
+        gates = np.empty((steps, 3 * n, rows), self.inputs.dtype)
         before, held, after = (np.empty((steps, n, rows), gates.dtype) for _ in range(3))
         emptied = np.zeros(steps, bool) if keep is None else ~keep.all(1)
         for t in range(steps):
+            gates[t] = self.inputs[ids[t]].T
             np.multiply(state, keep[t] if emptied[t] else 1, out=before[t])
             u = weights @ before[t]
             both, new = gates[t, : 2 * n], gates[t, 2 * n :]
@@ -126,44 +158,46 @@ class ColumnGru(Gru):
             np.subtract(before[t], new, out=state)
             state *= both[:n]
             state += new
-        return np.ascontiguousarray(after.transpose(0, 2, 1)), (before, gates, held)
+        return after.transpose(0, 2, 1), (before, gates, held)
 
     def gradients(
         self, ids: np.ndarray, kept: tuple, d_states: np.ndarray, keep: np.ndarray | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         n, (steps, rows) = self.size, ids.shape
         before, gates, held = kept
-        z, r, new = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-        # What does not depend on the gradient that comes back is worked out for all steps at once.
-        factors = np.empty_like(gates)
-        f_z, f_r, f_n = factors[:, :n], factors[:, n : 2 * n], factors[:, 2 * n :]
-        rest = 1 - z
-        np.multiply(new, new, out=f_n)
-        np.subtract(1, f_n, out=f_n)
-        f_n *= rest
-        np.subtract(before, new, out=f_z)
-        rest *= z
-        f_z *= rest
-        np.subtract(1, r, out=f_r)
-        f_r *= r
-        f_r *= held
-        f_r *= f_n
-        back = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        back = d_states.transpose(0, 2, 1)
+        # A step at a time, so that what it works on stays near the processor.
+        factors = np.empty((3 * n, steps, rows), gates.dtype)
+        rest, through = np.empty((n, rows), gates.dtype), np.empty((3 * n, rows), gates.dtype)
+        f_z, f_r, f_n = through[:n], through[n : 2 * n], through[2 * n :]
         d_h, d_weights = np.zeros((n, rows), gates.dtype), np.zeros((n, 3 * n), gates.dtype)
         emptied = np.zeros(steps, bool) if keep is None else ~keep.all(1)
         for t in range(steps - 1, -1, -1):
+            z, r, new = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
             d_h += back[t]
-            own = factors[t].reshape(3, n, rows)
-            own *= d_h
-            through = factors[t].copy()
-            through[2 * n :] *= r[t]
+            np.subtract(1, z, out=rest)
+            rest *= d_h
+            np.multiply(new, new, out=f_n)
+            np.subtract(1, f_n, out=f_n)
+            f_n *= rest
+            np.subtract(before[t], new, out=f_z)
+            rest *= z
+            f_z *= rest
+            np.subtract(1, r, out=f_r)
+            f_r *= r
+            f_r *= held[t]
+            f_r *= f_n
+            factors[:, t] = through
+            f_n *= r
             d_weights += before[t] @ through.T
-            d_h *= z[t]
+            d_h *= z
             d_h += self.states @ through
             if emptied[t]:
                 d_h *= keep[t]
-        d_inputs = np.zeros_like(self.inputs)
-        add_rows(d_inputs, ids.ravel(), np.ascontiguousarray(factors.transpose(0, 2, 1)).reshape(-1, 3 * n))
+        flat = ids.ravel()
+        d_inputs = np.empty_like(self.inputs)
+        for i, own in enumerate(factors.reshape(3 * n, -1)):
+            d_inputs[:, i] = np.bincount(flat, own, len(d_inputs))
         return d_inputs, d_weights
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import column
 from .common import in_arrow, slices, stored
-from .gru import Adam, ColumnGru, add_rows
+from .gru import Adam, ColumnGru
 from .samples import fold
 
 FOLDS = 10
@@ -33,7 +31,8 @@ TAIL_CLASSES = 48
 HIDDEN = 16
 # Words whose counts every task holds; the counts of the others are joined.
 SHARED_WORDS = 1 << 17
-WINDOW = 24  # steps of truncated backpropagation, and of scoring at once
+WINDOW = 24  # steps of truncated backpropagation
+SCORE_WINDOW = 96  # steps of scoring at once
 STREAMS = 384  # documents side by side in training
 SCORE_STREAMS = 256  # and in scoring
 BATCH_TOKENS = 1_500_000  # scored together, or one longer document
@@ -41,7 +40,9 @@ TEXT_BYTES = 1 << 22  # of texts taken apart together
 # The first fit, on one machine, takes the beginnings of at most FIRST_DOCS documents.
 FIRST_DOCS = 600
 FIRST_DOC_BYTES = 16_384
-FLUSH_WORDS = 1 << 19
+FLUSH_WORDS = 1 << 20  # counted by a task before they are added up
+WORDS_PER_BATCH = 1 << 16
+ROWS_AT_ONCE = 1024  # of a softmax over classes, so that they stay near the processor
 SEED = 11
 RATE = 0.005
 ADDED_AT_ONCE = 64  # rows of parameters that a task adds up
@@ -70,23 +71,34 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(word binary, c): how often each token occurs, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()).cast(pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
-            )
+        def merged() -> pa.Table:
+            sums = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return sums.select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            total = merged()
+            total = total.set_column(0, "word", total["word"].cast(pa.binary()))
+            return total.to_batches(max_chunksize=WORDS_PER_BATCH)
 
-        counts: Counter[str] = Counter()
+        found: list[pa.Table] = []  # a table without a word twice, and those of texts since
+        held = n_docs = 0
         for batch in batches:
             texts = _texts(batch)
+            n_docs += len(texts)
             for a, b in slices(texts, TEXT_BYTES):
-                found = pc.value_counts(split_words(texts[a:b])[0])
-                counts.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True)))
-                counts[END.decode()] += b - a
-                if len(counts) > FLUSH_WORDS:
-                    yield flush()
-                    counts.clear()
-        if counts:
-            yield flush()
+                counted = pc.value_counts(split_words(texts[a:b])[0])
+                found.append(pa.table({"word": counted.field(0), "c": counted.field(1)}))
+                held += len(counted)
+                if held > FLUSH_WORDS:
+                    found = [merged()]
+                    held = len(found[0])
+                    # Few words met again: what is held goes on.
+                    if 2 * held > FLUSH_WORDS:
+                        yield from flush()
+                        found, held = [], 0
+        if n_docs:
+            found.append(pa.table({"word": pa.array([END.decode()]), "c": pa.array([n_docs], pa.int64())}))
+            yield from flush()
 
     return in_arrow(docs.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -107,17 +119,21 @@ class Words:
     tail_logs: np.ndarray  # log10 of the smoothed size of each tail class
     frequent: int  # the first so many shared words have a place in the model
 
-    def tail_of(self, word: bytes) -> int:
-        return self.tails.get(_suffix(word), len(self.tail_logs) - 1)
-
     def model_ids(self) -> np.ndarray:
         """The model's number of each shared word: its place, or that of its tail class behind them."""
         ids = np.arange(len(self.places))
-        for word, place in self.places.items():
-            if place >= self.frequent:
-                ids[place] = self.frequent + self.tail_of(word)
+        names = [word.decode() for word in self.places]
+        at = np.fromiter(self.places.values(), np.int64, len(names))
+        in_tail = at >= self.frequent
+        ids[at[in_tail]] = self.tail_numbers(pa.array(names, pa.string()).filter(pa.array(in_tail)))
         return ids
 
+    def tail_numbers(self, words: pa.Array) -> np.ndarray:
+        """The model's numbers of the tail classes of words."""
+        known = pa.array(sorted(self.tails, key=self.tails.get), pa.string())
+        found = pc.index_in(pc.utf8_slice_codeunits(words, -2), value_set=known)
+        return self.frequent + found.fill_null(len(self.tail_logs) - 1).to_numpy()
+
 
 def know_words(counts: DataFrame) -> Words:
     """Gather from the stored ``counts`` what is bounded: the shared words and the tail classes."""
@@ -158,6 +174,16 @@ def know_words(counts: DataFrame) -> Words:
     )
 
 
+_ONES = {t: np.ones(FREQUENT + WORD_CLASSES + TAIL_CLASSES, t) for t in "fd"}
+
+
+def _flat(raw: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Where the elements at a column of each row are in ``raw.ravel()``."""
+    at = np.arange(0, raw.size, raw.shape[1])
+    at += columns
+    return at
+
+
 class WordModel:
     """The class of the next token by a softmax over the state, and a frequent word within its class by another.
 
@@ -169,7 +195,9 @@ class WordModel:
         self.gru = ColumnGru(arrays["in"], arrays["st"])
         self.first_tail = len(starts) - 1
         of_words = np.searchsorted(starts, np.arange(frequent), "right") - 1
-        self.class_of = np.concatenate([of_words, self.first_tail + np.arange(n_tails)])
+        classes = np.concatenate([of_words, self.first_tail + np.arange(n_tails)])
+        # Small numbers are sorted in one or two passes.
+        self.class_of = classes.astype(np.min_scalar_type(self.first_tail + n_tails))
 
     @classmethod
     def random(cls, words: Words, seed: int = SEED) -> WordModel:
@@ -196,11 +224,17 @@ class WordModel:
         """(logarithm of the softmax at the targets, sums); ``raw`` becomes its exponentials."""
         if not safe:
             raw -= raw.max(1, keepdims=True)
-        picked = raw[np.arange(len(targets)), targets].astype(np.float64)
+        picked = raw.ravel()[_flat(raw, targets)].astype(np.float64)
         np.exp(raw, out=raw)
-        total = raw @ np.ones(raw.shape[1], raw.dtype)
+        total = raw @ _ONES[raw.dtype.char][: raw.shape[1]]
         return picked - np.log(total, dtype=np.float64), total
 
+    @staticmethod
+    def _errors(raw: np.ndarray, targets: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Exponentials become the gradient of -ln P times their sum; returned is what to multiply them with."""
+        raw.ravel()[_flat(raw, targets)] -= total
+        return (1 / total).astype(raw.dtype)[:, None]
+
     def _is_safe(self) -> bool:
         """Whether no exponential can leave the range of its type: a state's numbers are between -1 and 1."""
         w = self.arrays
@@ -215,39 +249,44 @@ class WordModel:
         w, safe = self.arrays, self._is_safe() and len(states) and float(np.abs(states).max()) <= 1
         # Sorted by class, so that the tokens of a class are one run.
         order = np.argsort(self.class_of[targets], kind="stable")
-        states, targets = states[order], targets[order]
+        targets = targets[order]
         classes = self.class_of[targets]
-        raw = states @ w["class"]
-        raw += w["class_bias"]
-        out, total = self._softmax(raw, classes, safe)
+        # The last column of a state is 1: that of a weight is the bias.
+        extended = np.ones((len(order), HIDDEN + 1), states.dtype)
+        np.take(states, order, 0, out=extended[:, :HIDDEN])
+        of_classes = np.concatenate([w["class"], w["class_bias"][None]])
+        of_words = np.concatenate([w["word"], w["word_bias"][:, None]], 1)
         d_states = None
         if gradients is not None:
-            share = (1 / total).astype(states.dtype)
-            gradients["class"] += (states * share[:, None]).T @ raw
-            add_rows(gradients["class"].T, classes, -states)
-            gradients["class_bias"] += share @ raw - np.bincount(classes, minlength=raw.shape[1])
-            d_states = raw @ w["class"].T
-            d_states *= share[:, None]
-            d_states -= w["class"].T[classes]
+            d_states, d_classes, d_words = np.empty_like(states), np.zeros_like(of_classes), np.zeros_like(of_words)
+        out = np.empty(len(order))
+        for a in range(0, len(order), ROWS_AT_ONCE):
+            some = slice(a, a + ROWS_AT_ONCE)
+            h, at = extended[some], classes[some]
+            raw = h @ of_classes
+            out[some], total = self._softmax(raw, at, safe)
+            if gradients is not None:
+                share = self._errors(raw, at, total)
+                d_classes += (h * share).T @ raw
+                np.multiply(raw @ w["class"].T, share, out=d_states[some])
         bounds = np.searchsorted(classes, np.arange(self.first_tail + 1))
         for k in range(self.first_tail):
             own, a, b = slice(bounds[k], bounds[k + 1]), self.starts[k], self.starts[k + 1]
             if bounds[k] == bounds[k + 1] or b - a == 1:
                 continue
-            h, at = states[own], targets[own] - a
-            raw = h @ w["word"][a:b].T
-            raw += w["word_bias"][a:b]
+            h, at = extended[own], targets[own] - a
+            raw = h @ of_words[a:b].T
             logs, total = self._softmax(raw, at, safe)
             out[own] += logs
             if gradients is not None:
-                share = (1 / total).astype(h.dtype)
-                gradients["word"][a:b] += raw.T @ (h * share[:, None])
-                add_rows(gradients["word"][a:b], at, -h)
-                gradients["word_bias"][a:b] += share @ raw - np.bincount(at, minlength=b - a)
-                d_own = raw @ w["word"][a:b]
-                d_own *= share[:, None]
-                d_own -= w["word"][targets[own]]
-                d_states[own] += d_own
+                share = self._errors(raw, at, total)
+                d_words[a:b] = raw.T @ (h * share)
+                d_states[own] += (raw @ w["word"][a:b]) * share
+        if gradients is not None:
+            gradients["class"] += d_classes[:-1]
+            gradients["class_bias"] += d_classes[-1]
+            gradients["word"] += d_words[:, :-1]
+            gradients["word_bias"] += d_words[:, -1]
         logs = np.empty_like(out)
         logs[order] = out
         if d_states is not None:
@@ -315,7 +354,7 @@ class WordModel:
         steps, streams = ids.shape
         after, kept = self.gru.run(ids, h, keep)
         # The state before a token tells it; where a document begins it is empty.
-        before = np.concatenate([h[None], after[:-1]]) * keep[:, :, None]
+        before = np.ascontiguousarray(kept[0].transpose(0, 2, 1))
         gradients = {k: np.zeros_like(v) for k, v in self.arrays.items()}
         if lengths.min() == steps:
             _, d_before = self.log_probabilities(before.reshape(-1, HIDDEN), ids.ravel(), gradients)
@@ -324,9 +363,9 @@ class WordModel:
             inside = np.arange(steps)[:, None] < lengths
             d_before = np.zeros_like(before)
             d_before[inside] = self.log_probabilities(before[inside], ids[inside], gradients)[1]
-        d_before *= keep[:, :, None]
-        d_after = np.concatenate([d_before[1:], np.zeros_like(d_before[:1])])
-        gradients["in"], gradients["st"] = self.gru.gradients(ids, kept, d_after, keep)
+        d_after = np.zeros_like(kept[0])
+        np.multiply(d_before[1:].transpose(0, 2, 1), keep[1:, None], out=d_after[:-1])
+        gradients["in"], gradients["st"] = self.gru.gradients(ids, kept, d_after.transpose(0, 2, 1), keep)
         for g in gradients.values():
             g /= full
         adam.step(gradients)
@@ -354,18 +393,18 @@ class WordModel:
         opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         begins = np.cumsum(lengths) - lengths
         out, h = np.zeros(len(documents)), np.zeros((len(dealt), HIDDEN), np.float32)
-        for start in range(0, int(lengths[0]), WINDOW):
+        for start in range(0, int(lengths[0]), SCORE_WINDOW):
             active = int(np.searchsorted(-lengths, -start, "left"))  # streams that go on
-            steps = start + np.arange(min(WINDOW, int(lengths[0]) - start))[:, None]
+            steps = start + np.arange(min(SCORE_WINDOW, int(lengths[0]) - start))[:, None]
             inside = steps < lengths[:active]
             at = np.where(inside, begins[:active] + steps, begins[:active] + start)
             keep = 1 - opens[at].astype(np.float32)
-            h = h[:active]
-            after, _ = self.gru.run(flat[at], h, keep)
-            before = np.concatenate([h[None], after[:-1]]) * keep[:, :, None]
-            logs, _ = self.log_probabilities(before[inside], flat[at][inside])
-            out += np.bincount(owner[at][inside], logs, len(documents))
-            h = after[-1]
+            ids = flat[at]
+            before, h = self.gru.before(ids, h[:active], keep)
+            whole = int(lengths[active - 1]) >= start + len(steps)  # no stream ends here
+            at, ids, before = (x.reshape(-1, *x.shape[2:]) if whole else x[inside] for x in (at, ids, before))
+            logs, _ = self.log_probabilities(before, ids)
+            out += np.bincount(owner[at], logs, len(documents))
         return out
 
 
@@ -374,28 +413,34 @@ class _Numbers:
 
     def __init__(self, words: Words):
         self.words, self.ids = words, np.append(words.model_ids(), 0)  # the last is for words without a place
-        self._end = np.array([words.places.get(END, -1)], np.int64)
+        self._placed = pa.array([w.decode() for w in sorted(words.places, key=words.places.get)], pa.string())
+
+    def of_slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, pa.Array]]:
+        """(model numbers of all tokens, their places or -1, tokens up to the end of each text, those without a place).
 
-    def of_texts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-        """For each text, (model numbers, places of the shared ones, the others). Each word of several texts is looked up once."""
+        The last are the numbers of their texts, and the words.
+        """
+        words, upto = split_words(texts)
+        words = pa.concat_arrays([words, pa.array([END.decode()], pa.string())])
+        found = pc.index_in(words, value_set=self._placed).fill_null(-1).to_numpy()
+        numbers, unknown = self.ids[found], found < 0
+        if unknown.any():
+            numbers[unknown] = self.words.tail_numbers(words.filter(pa.array(unknown)))
+        # The end, last of the words, comes after those of each text.
+        upto = upto + np.arange(1, len(texts) + 1)
+        tokens = np.full(len(words) - 1 + len(texts), len(words) - 1)
+        is_word = np.ones(len(tokens), bool)
+        is_word[upto - 1] = False
+        tokens[is_word] = np.arange(len(words) - 1)
+        places = found[tokens]
+        others = np.flatnonzero(places < 0)
+        return numbers[tokens], places, upto, (np.searchsorted(upto, others, "right"), words.take(pa.array(tokens[others])))
+
+    def of_texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The model numbers of each text."""
         for a, b in slices(texts, TEXT_BYTES):
-            words, ends = split_words(texts[a:b])
-            coded = words.dictionary_encode()
-            names = [w.encode() for w in coded.dictionary.to_pylist()]
-            known = np.fromiter(map(self.words.places.get, names, repeat(-1)), np.int64, len(names))
-            numbers = self.ids[known]
-            for i in np.flatnonzero(known < 0).tolist():
-                numbers[i] = self.words.frequent + self.words.tail_of(names[i])
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            start = 0
-            for end in ends.tolist():
-                own = codes[start:end]
-                places = np.concatenate([known[own], self._end])
-                others = [names[i] for i in own[known[own] < 0].tolist()]
-                # The end has a place unless nothing was counted.
-                last = self.ids[self._end] if self._end[0] >= 0 else [self.words.frequent + self.words.tail_of(END)]
-                yield np.concatenate([numbers[own], last]), places[places >= 0], others + [END] * int(self._end[0] < 0)
-                start = end
+            numbers, _, upto, _ = self.of_slice(texts[a:b])
+            yield from np.split(numbers, upto[:-1])
 
 
 def _first_tokens(beginning: bytes) -> list[bytes]:
@@ -408,7 +453,7 @@ def _first_tokens(beginning: bytes) -> list[bytes]:
 
 def _first_numbers(beginning: bytes, numbers: _Numbers) -> np.ndarray:
     tokens = _first_tokens(beginning)
-    ids = next(numbers.of_texts([b" ".join(tokens)]))[0]
+    ids = next(numbers.of_texts([b" ".join(tokens)]))
     return ids if tokens and tokens[-1] == END else ids[:-1]
 
 
@@ -436,7 +481,7 @@ def fit(docs: DataFrame, words: Words) -> WordModel:
         words, given = start.value
         own = WordModel(given.frequent, given.n_tails, given.starts, {k: v.copy() for k, v in given.arrays.items()})
         numbers = _Numbers(words)
-        seen = own.train((ids for batch in batches for ids, *_ in numbers.of_texts(_texts(batch))), RATE)
+        seen = own.train((ids for batch in batches for ids in numbers.of_texts(_texts(batch))), RATE)
         if seen:
             total = {k: v.astype(np.float64) * seen for k, v in own.arrays.items()}
             yield _row(TaskContext.get().partitionId(), seen, total)
@@ -491,38 +536,44 @@ def _score_rows(docs: DataFrame, words: Words, model: WordModel) -> DataFrame:
         words, model = shared.value
         numbers, row = _Numbers(words), TaskContext.get().partitionId() << 40
         all_log = np.log10(words.n + SMOOTHING * (words.v + 1))
-        keys, ids, rare, rare_rows, size = [], [], [], [], 0
+        keys, ids, size = [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             logs = model.score(ids) / np.log(10)
             docs = [*zip(*keys, strict=True)]
             docs[5] = np.add(docs[5], logs)
             nulls = [None] * len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*docs, nulls, nulls], types, strict=True)], names)
-            counted = Counter(zip(rare_rows, rare, strict=True))
-            found = [*zip(*counted, strict=True)] or [(), ()]
-            empty = [pa.nulls(len(counted), t) for t in types[1:6]]
-            last = [pa.array(found[1], pa.binary()), pa.array(list(counted.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), *empty, *last], names)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*docs, nulls, nulls], types, strict=True)], names)
+
+        def rare(rows: np.ndarray, others: pa.Array) -> pa.RecordBatch:
+            coded = others.dictionary_encode()
+            pairs = rows * len(coded.dictionary) + coded.indices.to_numpy()
+            pairs, counts = np.unique(pairs, return_counts=True)
+            rows, codes = np.divmod(pairs, max(1, len(coded.dictionary)))
+            empty = [pa.nulls(len(pairs), t) for t in types[1:6]]
+            found = coded.dictionary.take(pa.array(codes)).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(rows + row), *empty, found, pa.array(counts, pa.int64())], names)
 
         for batch in batches:
-            texts = _texts(batch)
-            for key, (own, known, others) in zip(batch.column("doc_id").to_pylist(), numbers.of_texts(texts), strict=True):
-                tails = own[own >= words.frequent] - words.frequent
-                in_tail = known[known >= words.frequent]
-                base = float(words.log_counts[known].sum() - len(own) * all_log)
-                tail = float(words.log_counts[in_tail].sum() - words.tail_logs[tails].sum())
-                keys.append((row, key, len(own), len(known), base, tail))
-                ids.append(own)
-                rare += others
-                rare_rows += [row] * len(others)
-                row += 1
-                size += len(own)
-                if size >= BATCH_TOKENS:
-                    yield from flush()
-                    keys, ids, rare, rare_rows, size = [], [], [], [], 0
+            texts, doc_ids = _texts(batch), batch.column("doc_id").to_pylist()
+            for a, b in slices(texts, TEXT_BYTES):
+                flat, places, upto, others = numbers.of_slice(texts[a:b])
+                yield rare(*others)
+                for key, own, known in zip(doc_ids[a:b], np.split(flat, upto[:-1]), np.split(places, upto[:-1]), strict=True):
+                    known = known[known >= 0]
+                    tails = own[own >= words.frequent] - words.frequent
+                    in_tail = known[known >= words.frequent]
+                    base = float(words.log_counts[known].sum() - len(own) * all_log)
+                    tail = float(words.log_counts[in_tail].sum() - words.tail_logs[tails].sum())
+                    keys.append((row, key, len(own), len(known), base, tail))
+                    ids.append(own)
+                    row += 1
+                    size += len(own)
+                    if size >= BATCH_TOKENS:
+                        yield flush()
+                        keys, ids, size = [], [], 0
         if keys:
-            yield from flush()
+            yield flush()
 
     return in_arrow(docs, run, _SCORED)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tableprofile.llm import language_id, language_model, quality
-from tableprofile.llm.gru import Gru
+from tableprofile.llm.gru import ColumnGru, Gru
 
 FIXTURE = "/root/testdata/sf0.01"
 
@@ -217,3 +217,46 @@ def test_samples_take_one_row_of_an_id(spark, monkeypatch):
     monkeypatch.setattr(language_model, "stored", lambda df, label: df.limit(0))
     language_model.fit(repeated, language_model.know_words(counts))
     assert first == [len(ids)] * 2
+
+
+def test_columns_give_what_rows_give():
+    rng = np.random.default_rng(5)
+    inputs, states = rng.normal(0, 1, (5, 9)), rng.normal(0, 1, (3, 9))
+    ids, keep = rng.integers(0, 5, (6, 4)), (rng.random((6, 4)) > 0.3).astype(float)
+    start, weights = rng.normal(0, 1, (4, 3)), rng.normal(0, 1, (6, 4, 3))
+    rows, columns = Gru(inputs, states), ColumnGru(inputs, states)
+    after, kept = rows.run(ids, start, keep)
+    found, found_kept = columns.run(ids, start, keep)
+    assert np.allclose(found, after)
+    for a, b in zip(columns.gradients(ids, found_kept, weights, keep), rows.gradients(ids, kept, weights, keep), strict=True):
+        assert np.allclose(a, b)
+    before, last = columns.before(ids, start, keep)
+    assert np.allclose(before, [k[0] for k in kept]) and np.allclose(last, after[-1])
+
+
+def test_tokens_of_several_texts_are_numbered_at_once(small_model):
+    places = {w: i for i, w in enumerate([b"", b"a", b"b", b"c", b"d", b"e"])}
+    texts = [b" A b\tzx  a", b"", b"  ", b"zx zx q c", "\u00c9x \u00e9".encode(), b"e " * 5]
+    for placed, frequent in ((places, 4), ({}, 0)):
+        words = language_model.Words(100, 20, placed, np.zeros(len(placed)), {"zx": 0, "x": 1}, np.zeros(3), frequent)
+        numbers, found, upto, (rows, others) = language_model._Numbers(words).of_slice(texts)
+        tokens = [language_model.tokens_of(t) for t in texts]
+        assert upto.tolist() == np.cumsum([len(t) for t in tokens]).tolist()
+        flat = [(i, w) for i, own in enumerate(tokens) for w in own]
+        assert found.tolist() == [placed.get(w, -1) for _, w in flat]
+        tails = {"zx": 0, "x": 1}
+        want = [placed[w] if placed.get(w, frequent) < frequent else frequent + tails.get(w.decode()[-2:], 2) for _, w in flat]
+        assert numbers.tolist() == want
+        assert list(zip(rows.tolist(), others.to_pylist())) == [(i, w.decode()) for i, w in flat if w not in placed]
+
+
+def test_a_task_adds_up_its_words_before_it_hands_them_on(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{k}" for k in range(i % 3, 60))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    handed = []
+    kept = language_model.in_arrow
+    monkeypatch.setattr(language_model, "in_arrow", lambda *args: handed.append(kept(*args)) or handed[-1])
+    monkeypatch.setattr(language_model, "TEXT_BYTES", 500)
+    want = Counter(w for _, t in texts for w in language_model.tokens_of(t.encode()))
+    assert {bytes(r.word): r.c for r in language_model.count_tokens(docs).collect()} == want
+    assert handed[0].count() == len(want)
