@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, small_batches
-from .gru import Adam, Gru
+from .common import in_arrow, slices, small_batches
+from .gru import Adam, ColumnGru, Gru
 from .samples import fold
 
 FOLDS = 3
@@ -30,6 +31,8 @@ STEPS = 500
 CLEAR_SCORE = 0.4  # mixed texts of two languages score more, noise less
 CACHE_WORDS = 1 << 18
 GROUP_WORDS = 1 << 17  # looked up together
+BYTES_AT_ONCE = 1 << 19  # of words that the network goes through together
+ROWS_AT_ONCE = 2048  # of a step, so that they stay near the processor
 SEED = 7
 
 
@@ -48,6 +51,40 @@ def _turned(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.where(places < lengths, lengths - 1 - places, places)
 
 
+def _shared_states(gru: Gru, out: np.ndarray, words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(states times ``out``, which of them comes after each byte of each word); words share those of one beginning.
+
+    No word is empty or longer than ``SPAN``.
+    """
+    width = max(8, int(lengths.max()))
+    inside = np.arange(width) < lengths[:, None]
+    ids = np.zeros(inside.shape, np.uint8)
+    ids[inside] = np.frombuffer(b"".join(words), np.uint8)
+    # Words with the same first eight bytes come together; a later difference may part words that share more.
+    order = np.argsort(np.ascontiguousarray(ids[:, :8]).view(">u8").ravel().astype(np.uint64), kind="stable")
+    by_place, reached = np.ascontiguousarray(ids[order].T), np.ascontiguousarray(inside[order].T)
+    layer, weights = ColumnGru(gru.inputs, gru.states), np.ascontiguousarray(gru.states.T)
+    found, places, held = [], np.empty(by_place.shape, np.intp), 0
+    state, owners = np.zeros((gru.size, 1), np.float32), np.zeros(len(words), np.intp)
+    shared = np.ones(len(words) - 1, bool)  # with the word before, up to this place
+    for t in range(int(lengths.max())):
+        shared &= (by_place[t, 1:] == by_place[t, :-1]) & reached[t, :-1]
+        new = reached[t].copy()
+        new[1:] &= ~shared
+        first = np.flatnonzero(new)
+        parents, bytes_at, after = owners[first], by_place[t, first], np.empty((gru.size, len(first)), np.float32)
+        for some in (slice(i, i + ROWS_AT_ONCE) for i in range(0, len(first), ROWS_AT_ONCE)):
+            gates = np.ascontiguousarray(gru.inputs[bytes_at[some]].T)
+            after[:, some] = layer.step_columns(gates, state[:, parents[some]], weights)
+        owners = np.cumsum(new) - 1
+        np.add(owners, held, out=places[t])
+        found.append(after.T @ out)
+        state, held = after, held + len(first)
+    in_order = np.empty((len(words), width), np.intp)
+    in_order[order] = places.T
+    return np.concatenate(found), in_order[inside]
+
+
 class ByteNetwork:
     """Two recurrent layers, one from each end of a word, and a softmax over languages at each byte."""
 
@@ -81,15 +118,30 @@ class ByteNetwork:
         return [found[:n, i] for i, n in enumerate(lengths)]
 
     def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word, the sums of ``at_bytes`` over its bytes."""
+        """For each word, the sums of ``at_bytes`` over its bytes.
+
+        A beginning that several words share, or an end, is gone through once for all of them.
+        """
         out = np.zeros((len(words), len(self.languages)))
-        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(words), 4096):
-            part = by_length[at : at + 4096]
-            ids, lengths = _padded([words[i] for i in part])
-            found = self._probabilities(self._states(ids, lengths)[0])
-            found *= (np.arange(len(ids))[:, None] < lengths)[:, :, None]
-            out[part] = found.sum(0)
+        limit = BYTES_AT_ONCE * HIDDEN // max(HIDDEN, len(self.languages))
+        for start, end in slices(words, limit):
+            part = words[start:end]
+            lengths = np.array([len(w) for w in part])
+            begins = np.cumsum(lengths) - lengths
+            ahead, at_ahead = _shared_states(self.forward, self.out[:HIDDEN], part, lengths)
+            behind, at_behind = _shared_states(self.backward, self.out[HIDDEN:], [w[::-1] for w in part], lengths)
+            # From a place counted from a word's end to the same one counted from its start.
+            at_behind = at_behind[np.repeat(2 * begins + lengths - 1, lengths) - np.arange(len(at_behind))]
+            found = np.empty((len(self.languages), len(at_ahead)), np.float32)
+            for some in (slice(i, i + ROWS_AT_ONCE) for i in range(0, len(at_ahead), ROWS_AT_ONCE)):
+                raw = ahead[at_ahead[some]]
+                raw += behind[at_behind[some]]
+                raw = np.ascontiguousarray(raw.T)
+                raw += self.bias[:, None]
+                raw -= raw.max(0)
+                np.exp(raw, out=raw)
+                np.divide(raw, raw.sum(0), out=found[:, some])
+            out[start:end] = np.add.reduceat(found, begins, 1).T
         return out
 
     def train(self, words: list[bytes], labels: np.ndarray, rng: np.random.Generator, steps: int = STEPS) -> None:
@@ -123,6 +175,8 @@ class ByteNetwork:
 
 def _spans(word: str) -> list[bytes]:
     data = word.encode()
+    if len(data) <= SPAN:
+        return [data]
     return [data[i : i + SPAN] for i in range(0, len(data), SPAN)]
 
 
@@ -134,32 +188,51 @@ class Labeller:
         self._places: dict[str, int] = {}
         self._sums = np.zeros((CACHE_WORDS, len(network.languages)), np.float32)
         self._sizes = np.zeros(CACHE_WORDS, np.int32)
+        self._times = np.zeros(CACHE_WORDS, np.int64)  # how often a word was met, halved when others are forgotten
 
     def _learn(self, words: set[str]) -> None:
         first, new = len(self._places), sorted(words)
         spans, owners = [], []
         for i, word in enumerate(new, first):
-            if any(map(str.isalpha, word)):  # others say nothing
+            if word[0].isalpha() or any(map(str.isalpha, word)):  # others say nothing
                 parts = _spans(word)
                 spans += parts
                 owners += [i] * len(parts)
-        self._sums[first : first + len(new)], self._sizes[first : first + len(new)] = 0, 0
+        own = slice(first, first + len(new))
+        self._sums[own], self._sizes[own], self._times[own] = 0, 0, 0
         if spans:
-            np.add.at(self._sums, owners, self.network.sums(spans).astype(np.float32))
-            np.add.at(self._sizes, owners, np.array([len(s) for s in spans], np.int32))
+            # The spans of a word are a run.
+            begins = np.flatnonzero(np.diff(owners, prepend=-1))
+            places = np.array(owners)[begins]
+            self._sums[places] = np.add.reduceat(self.network.sums(spans), begins)
+            self._sizes[places] = np.add.reduceat([len(s) for s in spans], begins)
         self._places.update(zip(new, range(first, first + len(new)), strict=True))
 
+    def _forget(self) -> None:
+        """Keep the words that were met most, and more than once, in at most half of the memory."""
+        held = len(self._places)
+        most = np.argsort(-self._times[:held], kind="stable")[: CACHE_WORDS - GROUP_WORDS]
+        kept = np.sort(most[self._times[most] > 1])
+        names = list(self._places)  # in the order of their places
+        for values in (self._sums, self._sizes, self._times):
+            values[: len(kept)] = values[kept]
+        self._times[: len(kept)] //= 2
+        self._places = {names[i]: at for at, i in enumerate(kept.tolist())}
+
     def _known(self, words: list[str]) -> np.ndarray:
         """The places of the words, at most ``GROUP_WORDS``, in the memory."""
-        places = list(map(self._places.get, words))
-        if None in places:
-            unseen = {w for w, p in zip(words, places, strict=True) if p is None}
+        places = np.fromiter(map(self._places.get, words, repeat(-1)), np.intp, len(words))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            names = [words[i] for i in missing.tolist()]
+            unseen = set(names)
             if len(self._places) + len(unseen) > CACHE_WORDS:
-                self._places.clear()
-                unseen = set(words)
+                self._forget()
+                return self._known(words)
             self._learn(unseen)
-            places = list(map(self._places.get, words))
-        return np.array(places, np.intp)
+            places[missing] = np.fromiter(map(self._places.__getitem__, names), np.intp, len(names))
+        self._times += np.bincount(places, minlength=CACHE_WORDS)
+        return places
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """The mean of the probabilities over all bytes of words with a letter; zeros without any.

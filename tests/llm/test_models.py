@@ -260,3 +260,34 @@ def test_a_task_adds_up_its_words_before_it_hands_them_on(spark, monkeypatch):
     want = Counter(w for _, t in texts for w in language_model.tokens_of(t.encode()))
     assert {bytes(r.word): r.c for r in language_model.count_tokens(docs).collect()} == want
     assert handed[0].count() == len(want)
+
+
+def test_a_shared_beginning_is_gone_through_once(monkeypatch):
+    network = language_id.ByteNetwork.random(["a", "b", "c"], np.random.default_rng(0))
+    words = [b"begin" + bytes([97 + i % 26, 97 + i // 26]) for i in range(200)] + [b"\0", b"\0\0", b"begin", b"q" * 32, b"begin"]
+    want = [p.sum(0) for p in network.at_bytes(words)]
+    seen = []
+    step = language_id.ColumnGru.step_columns
+    monkeypatch.setattr(language_id.ColumnGru, "step_columns", lambda self, gates, *args: seen.append(gates.shape[1]) or step(self, gates, *args))
+    assert np.allclose(network.sums(words), want, atol=1e-4)
+    assert sum(seen) < 0.6 * 2 * sum(map(len, words))
+    monkeypatch.setattr(language_id, "BYTES_AT_ONCE", 50)
+    monkeypatch.setattr(language_id, "ROWS_AT_ONCE", 3)
+    assert np.allclose(network.sums(words), want, atol=1e-4)
+
+
+def test_words_that_come_again_stay_in_memory(monkeypatch):
+    monkeypatch.setattr(language_id, "CACHE_WORDS", 40)
+    monkeypatch.setattr(language_id, "GROUP_WORDS", 20)
+    network = language_id.ByteNetwork.random(["a", "b"], np.random.default_rng(0))
+    learnt = Counter()
+    learn = language_id.Labeller._learn
+    monkeypatch.setattr(language_id.Labeller, "_learn", lambda self, words: learnt.update(words) or learn(self, words))
+    texts = [f"often {'l' * 40}é w{i} x{i} often {i}" for i in range(100)]
+    found = language_id.Labeller(network).pooled(texts)
+    assert learnt["often"] == learnt["l" * 40 + "é"] == 1 and len(learnt) == 302
+    at = network.at_bytes([b"often", b"l" * 32, b"l" * 8 + "é".encode()])
+    for i in (0, 57, 99):
+        own = network.at_bytes([f"w{i}".encode(), f"x{i}".encode()])
+        sums = 2 * at[0].sum(0) + sum(p.sum(0) for p in [*at[1:], *own])
+        assert np.allclose(found[i], sums / (10 + 42 + sum(map(len, own))), atol=1e-5)
