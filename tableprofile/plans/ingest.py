@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
 from ..operators import report
@@ -157,6 +159,9 @@ def line_extractor():
     return extract
 
 
+# Documents in a landed file.
+ROWS_PER_FILE = 2_000
+
 _PAGES_SQL = """SELECT doc_id, CAST(unnest(generate_series(1, len(lines))) AS BIGINT) AS page_no, unnest(lines) AS text
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"""
 
@@ -180,10 +185,14 @@ def incremental_extract(spark, folder):
 
 
 def lines_of_file():
-    """A page extractor for text files: every line is a page."""
+    """A page extractor for text files: every line is a page, taken out of the file when its turn comes."""
 
-    def extract(content: bytes) -> list[tuple[int, str]]:
-        return list(enumerate(content.decode("utf-8").split("\n")[:-1], start=1))
+    def extract(content: bytes) -> Iterator[tuple[int, str]]:
+        number = start = 0
+        while (end := content.find(b"\n", start)) >= 0:
+            number += 1
+            yield number, content[start:end].decode("utf-8")
+            start = end + 1
 
     return extract
 
@@ -194,7 +203,9 @@ def extract_new_files(spark, folder):
     landing, cache = scratch_path(spark, "landing"), scratch_path(spark, "page-cache")
     texts = read(spark, folder, "documents")
     for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 != 0):
-        texts.where(part).select("text").write.mode("append").text(landing)
+        # Files do not grow with the table: one is held whole by the task that reads it.
+        landed = texts.where(part).select("text").write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        landed.mode("append").text(landing)
         found = pages.extract_new_files(pages.list_files(spark, landing, "*.txt"), cache, lines_of_file())
     return found.select("text")
 

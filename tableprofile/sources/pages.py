@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import batched
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from ..session import scratch_path
 
 # Pages that a worker hands back at a time.
 PAGES_PER_BATCH = 2000
+# Or so many characters, if that is less: pages may be long.
+CHARS_PER_BATCH = 1 << 22
 # Files that one run of an incremental job reads; what it did is then known for good.
 FILES_PER_RUN = 10_000
 
@@ -63,24 +65,30 @@ def extract_pages(files: DataFrame, extractor: Extractor, key: str | Sequence[st
         ]
     )
 
-    def as_batch(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=schema.names).astype({"page_no": "Int64"})
+    def as_batch(files: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        places, numbers, texts, errors = zip(*rows) if rows else ((), (), (), ())
+        names = [files.column(k).take(pa.array(places, pa.int64())) for k in keys]
+        values = [pa.array(numbers, pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays([*names, *values], schema.names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for *name, content in zip(*(batch[k] for k in keys), batch["content"]):
+            chars = 0
+            for i in range(batch.num_rows):
                 try:
-                    for number, text in extractor(bytes(content)):
-                        rows.append((*name, number, text, None))
-                        if len(rows) >= PAGES_PER_BATCH:
-                            yield as_batch(rows)
-                            rows = []
+                    # Of the files of a batch, one is taken out of it at a time.
+                    for number, text in extractor(bytes(batch.column("content")[i].as_py())):
+                        rows.append((i, number, text, None))
+                        chars += len(text or "")
+                        if len(rows) >= PAGES_PER_BATCH or chars >= CHARS_PER_BATCH:
+                            yield as_batch(batch, rows)
+                            rows, chars = [], 0
                 except Exception as e:  # noqa: BLE001 - any failure of the injected function
-                    rows.append((*name, None, None, f"{type(e).__name__}: {e}"))
-            yield as_batch(rows)
+                    rows.append((i, None, None, f"{type(e).__name__}: {e}"))
+            yield as_batch(batch, rows)
 
-    return files.select(*keys, "content").mapInPandas(run, schema)
+    return files.select(*keys, "content").mapInArrow(run, schema)
 
 
 def _identity(files: DataFrame, key: str) -> list[str]:

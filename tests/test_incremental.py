@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprofile.operators import documents, enrich
+from tableprofile.plans import ingest
 from tableprofile.sources import pages
 
 
@@ -157,3 +158,37 @@ def test_parts_are_bounded_and_are_the_document(spark):
     plan = documents.assemble_parts(pages_)._jdf.queryExecution().executedPlan().toString()
     texts = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_slice" in line]
     assert len(texts) == 3  # lengths, the starts of pages, and texts, each once
+
+
+def test_pages_are_handed_on_while_a_file_is_read(spark, tmp_path, monkeypatch):
+    content = b"".join(b"%d \xc3\xa9\n" % i for i in range(1000)) + b"\r\n\nlast"
+    found = ingest.lines_of_file()(content)
+    assert iter(found) is found  # no list of all lines
+    assert list(found) == list(enumerate(content.decode().split("\n")[:-1], 1))
+    monkeypatch.setattr(pages, "CHARS_PER_BATCH", 40)
+    handed = str(tmp_path / "handed")
+
+    def long_pages(content: bytes):
+        for i in range(content[0]):
+            with open(handed, "a") as log:
+                log.write("x")
+            yield i, "y" * 30
+        raise ValueError("end")
+
+    files = spark.createDataFrame([("a", bytearray([5])), ("b", None), ("c", bytearray([1]))], "stem string, content binary").coalesce(1)
+    rows = pages.extract_pages(files, long_pages).collect()
+    want = [("a", i, "y" * 30, None) for i in range(5)] + [("a", None, None, "ValueError: end")]
+    want += [("b", None, None, "TypeError: cannot convert 'NoneType' object to bytes"), ("c", 0, "y" * 30, None), ("c", None, None, "ValueError: end")]
+    assert [tuple(r) for r in rows] == want
+
+
+def test_landed_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    texts = [(i, f"line {i}\nof {i}" if i % 7 else "") for i in range(90)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ingest, "ROWS_PER_FILE", 10)
+    landed = []
+    listed = pages.list_files
+    monkeypatch.setattr(pages, "list_files", lambda *args: landed.append(listed(*args)) or landed[-1])
+    got = ingest.extract_new_files(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == sorted(line for _, t in texts for line in t.split("\n"))
+    assert listed(spark, os.path.dirname(landed[-1].first().path[len("file:") :]), "*.txt").count() == 10
