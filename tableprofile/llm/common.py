@@ -15,6 +15,9 @@ from ..session import scratch_path
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
@@ -55,6 +58,18 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def texts_in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``in_arrow`` for rows with whole texts, or sets of them: they travel about ``BATCH_BYTES`` at a time.
+
+    Spark's batches, of 10,000 rows or 64 MB, are held beside the heap of an executor and again by
+    each of its workers. The limit can only be set for the session; one that it has stays.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return in_arrow(df, run, schema)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)

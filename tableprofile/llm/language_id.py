@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, slices, small_batches
+from .common import slices, small_batches, texts_in_arrow
 from .gru import Adam, ColumnGru, Gru
 from .samples import fold
 
@@ -367,7 +367,7 @@ def label_languages(df: DataFrame, doc: str = "doc_id", text: str = "text", lang
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double").select(
+    return texts_in_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "lang_pred",
@@ -396,4 +396,4 @@ def keep_clear(
                 kept = [s > 0 and s >= least for s in labeller.label(texts)[1]]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return in_arrow(df, run, df.schema)
+    return texts_in_arrow(df, run, df.schema)

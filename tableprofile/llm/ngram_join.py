@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, mix, slices, small_batches, stored, word_hashes
+from .common import mix, slices, small_batches, stored, texts_in_arrow, word_hashes
 from .components import components
 from .set_trie import similar
 
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "node", "keys"],
             )
 
-    return in_arrow(docs, run, "doc_id long, n_shingles long, set_id binary, node long, keys array<long>")
+    return texts_in_arrow(docs, run, "doc_id long, n_shingles long, set_id binary, node long, keys array<long>")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +151,8 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(sets: DataFrame) -> DataFrame:
     """(node, block): nodes with a chance of a link, and what holds all they can link to."""
-    met = in_arrow(sets.where(F.col("node").isNotNull()).select("node", "keys"), _meetings, "key long, a long, b long")
-    # A batch of MEETING_ROWS rows has sent one node a key, so the rows of a key stay few.
+    met = texts_in_arrow(sets.where(F.col("node").isNotNull()).select("node", "keys"), _meetings, "key long, a long, b long")
+    # A batch, of MEETING_ROWS rows at most, has sent one node a key, so the rows of a key stay few.
     heads = met.where(F.col("key").isNotNull()).select("key", "a")
     across = heads.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")).where("a != b")
     within = met.where(F.col("key").isNull()).select("a", "b")
@@ -198,7 +198,7 @@ def _links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             yield join(held)
 
     in_tasks = rows.repartition("task").sortWithinPartitions("task")
-    return in_arrow(in_tasks, run, "a long, b long")
+    return texts_in_arrow(in_tasks, run, "a long, b long")
 
 
 def _links_of_large_blocks(members: DataFrame, n: int, percent: int, block_docs: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import in_arrow, mix, slices, small_batches, word_hashes
+from .common import mix, slices, small_batches, texts_in_arrow, word_hashes
 from .gru import Adam, sigmoid
 from .samples import fold, sample
 
@@ -136,7 +136,7 @@ def _features_of(docs: DataFrame, keys: DataFrame) -> np.ndarray:
             found = pa.array(list(features(_binary(batch))), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "x"])
 
-    every = in_arrow(docs.join(F.broadcast(keys), "doc_id").select("doc_id", "text"), run, "doc_id long, x array<float>")
+    every = texts_in_arrow(docs.join(F.broadcast(keys), "doc_id").select("doc_id", "text"), run, "doc_id long, x array<float>")
     rows = every.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
     found = rows.column("x").combine_chunks()
     return found.flatten().to_numpy().reshape(-1, N_FEATURES)
@@ -190,7 +190,7 @@ def score_quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
             scores = pa.array(_scores(model, batch, "text"), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return in_arrow(docs, run, "doc_id long, score double").select(
+    return texts_in_arrow(docs, run, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"),
         "score",
@@ -206,4 +206,4 @@ def keep_good(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
         for batch in small_batches(batches):
             yield batch.filter(pa.array(_scores(model, batch, text) >= THRESHOLD))
 
-    return in_arrow(df, run, df.schema)
+    return texts_in_arrow(df, run, df.schema)

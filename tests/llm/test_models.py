@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tableprofile.llm import language_id, language_model, quality
+from tableprofile.llm import language_id, language_model, ngram_join, quality
 from tableprofile.llm.gru import ColumnGru, Gru
 
 FIXTURE = "/root/testdata/sf0.01"
@@ -291,3 +292,25 @@ def test_words_that_come_again_stay_in_memory(monkeypatch):
         own = network.at_bytes([f"w{i}".encode(), f"x{i}".encode()])
         sums = 2 * at[0].sum(0) + sum(p.sum(0) for p in [*at[1:], *own])
         assert np.allclose(found[i], sums / (10 + 42 + sum(map(len, own))), atol=1e-5)
+
+
+def test_texts_travel_a_few_megabytes_at_a_time(spark, monkeypatch):
+    def checked(batches, rows=1000):
+        for batch in batches:
+            assert batch.nbytes < 5 << 20, batch.nbytes
+            yield batch
+
+    for module in (quality, language_id, ngram_join):
+        monkeypatch.setattr(module, "small_batches", checked)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 25_000)
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.expr("CAST(NULL AS STRING)").alias("lang"))
+    labels = spark.createDataFrame([(1, None)], "doc_id long, quality int")
+    spark.conf.unset(limit)
+    for found in (quality.keep_good(docs, labels), language_id.keep_clear(docs), ngram_join.ngram_join(docs)):
+        assert found.count() == 200
+    # A limit that the session sets itself stays.
+    spark.conf.set(limit, "1m")
+    quality.keep_good(docs, labels)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
