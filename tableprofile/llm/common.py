@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+HASHED_BYTES = 1 << 18  # of texts whose words are hashed together; several numbers for each byte are held
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -88,7 +89,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, up to ``n``."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n + n // 4, 1 << 19)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = []
         for base in (_BASE, inverse):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import mix, slices, small_batches, stored, texts_in_arrow, word_hashes
+from .common import HASHED_BYTES, mix, slices, small_batches, stored, texts_in_arrow, word_hashes
 from .components import components
 from .set_trie import similar
 
@@ -34,7 +34,7 @@ def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """
     salts = mix(np.arange(1, n + 2, dtype=np.uint64))
     sets = []
-    for start, end in slices(texts):
+    for start, end in slices(texts, HASHED_BYTES):
         words, ends = word_hashes(texts[start:end])
         grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
         for i in range(n):

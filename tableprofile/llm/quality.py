@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
-from .common import mix, slices, small_batches, texts_in_arrow, word_hashes
+from .common import HASHED_BYTES, mix, slices, small_batches, texts_in_arrow, word_hashes
 from .gru import Adam, sigmoid
 from .samples import fold, sample
 
@@ -39,7 +39,7 @@ def _share(part: np.ndarray | float, whole: float) -> np.ndarray | float:
 def features(texts: list[bytes]) -> np.ndarray:
     """Shares of bytes by kind, sizes, and how much words, word pairs and lines repeat, per text."""
     out = np.zeros((len(texts), N_FEATURES), np.float32)
-    for start, end in slices(texts):
+    for start, end in slices(texts, HASHED_BYTES):
         words, ends = word_hashes(texts[start:end])
         for row, text, a, b in zip(range(start, end), texts[start:end], ends, ends[1:], strict=False):
             kinds = np.bincount(_CLASSES[np.frombuffer(text, np.uint8)], minlength=_N_CLASSES)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tableprofile.llm import ngram_join
+from tableprofile.llm import common, ngram_join, quality
 from tableprofile.llm.set_trie import similar
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,3 +131,19 @@ def test_similar_sets_share_a_key(percent):
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * len(np.union1d(a, b)):
             assert np.intersect1d(parts.of(a), parts.of(b)).size
+
+
+def test_words_of_many_texts_are_hashed_a_little_at_a_time(monkeypatch):
+    texts = [f"{i} b c d e f g {i % 7} ".encode() * 20 for i in range(20_000)]
+    hashed = []
+
+    def word_hashes(some):
+        hashed.append(sum(map(len, some)))
+        return common.word_hashes(some)
+
+    monkeypatch.setattr(common, "_powers", [])
+    for module, of in ((ngram_join, lambda t: ngram_join.ngram_sets(t, 5)), (quality, quality.features)):
+        monkeypatch.setattr(module, "word_hashes", word_hashes)
+        found = of(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(found[::999], [of([t])[0] for t in texts[::999]], strict=True))
+    assert max(hashed) <= 1 << 18 and len(common._powers[0]) <= 1 << 19
